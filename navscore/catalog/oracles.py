@@ -113,6 +113,10 @@ def _rounded(value: str) -> str:
     return f"cast(cast({value} as decimal(16, 3)) * 1000 as bigint)"
 
 
+def _std(value: str) -> str:
+    return f"floor(stddev_pop({value}::double) * (1 + 1e-12)::double + 0.5::double)"
+
+
 # Report -> metric columns, in thousandths (the count of R1 is a plain count).
 METRICS = {
     "r1_opposite": {
@@ -121,10 +125,10 @@ METRICS = {
     },
     "r2_abs_mean": {"abs_mean": _half_up("100 * sum(dev)", "count(*)")},
     "r3_abs_median": {"abs_median": _median("abs_round")},
-    "r4_abs_std": {"abs_std": _rounded("stddev_pop(abs_round / 1000.0::double)")},
+    "r4_abs_std": {"abs_std": _std("abs_round")},
     "r5_rel_mean": {"rel_mean": _rounded("sum(ratio) / count(*) * 100")},
     "r6_rel_median": {"rel_median": _median("rel_round")},
-    "r7_rel_std": {"rel_std": _rounded("stddev_pop(rel_round / 1000.0::double)")},
+    "r7_rel_std": {"rel_std": _std("rel_round")},
 }
 
 

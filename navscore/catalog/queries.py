@@ -152,21 +152,21 @@ def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the summary by day and read it back."""
+    """The summary written by day and read back."""
     path = scratch_path(spark, "summary")
     store.write_summary(table_summary(spark, sf_dir), path)
-    return store.read_summary(spark, path)
-
-
-def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_summary(spark, sf_dir).select(*summary_columns())
+    return store.read_summary(spark, path).select(*summary_columns())
 
 
 def stored_week_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weekly report of the latest seven days, straight from the stored summaries."""
-    stored = stored_summary(spark, sf_dir)
-    week = stored.filter(in_days(latest_days(stored.select("day"), 7)))
-    return with_double_metrics(report(name, week, scope("week")))
+    """The weekly report of the latest seven days, written day by day and read from
+    the stored summaries."""
+    summary = table_summary(spark, sf_dir)
+    week = latest_days(TB.quotes(spark, sf_dir).select("day"), 7)
+    path = scratch_path(spark, "summary")
+    store.write_summary(summary.filter(in_days(week)), path)
+    stored = store.read_summary(spark, path, days=week)
+    return with_double_metrics(report(name, stored, scope("week")))
 
 
 def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +211,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name in ("r1_opposite", "r5_rel_mean", "r9_abs_cumulative", "r10_rel_bands"):
         found[f"display_{name}_week"] = partial(run_display, name, "week")
     found["display_r8_abs_bands_day"] = partial(run_display, "r8_abs_bands", "day")
-    found["store_summary_by_day"] = stored_rows
+    found["store_summary_by_day"] = stored_summary
     for name in ("r2_abs_mean", "r3_abs_median", "r11_rel_cumulative"):
         found[f"stored_week_{name}"] = partial(stored_week_report, name)
         found[f"scores_week_{name}"] = partial(scored_report, name)

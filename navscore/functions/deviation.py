@@ -54,6 +54,16 @@ def thousandths_to_metric(count: Column) -> Column:
     return (count * F.lit(Decimal("0.001"))).cast(METRIC)
 
 
+def std_metric(std_thousandths: Column) -> Column:
+    """A standard deviation of thousandths as a metric, rounded half up.
+
+    The square root of a small group often lies exactly between two metrics; the factor
+    keeps rounding noise of the last binary digits from deciding there.
+    """
+    rounded = F.floor(std_thousandths * F.lit(1 + 1e-12) + F.lit(0.5))
+    return thousandths_to_metric(rounded)
+
+
 def edge_value(edge: Decimal, relative: bool) -> Column:
     """A band edge on the scale of the deviation it is compared with."""
     return F.lit(float(edge if relative else edge * UNITS))

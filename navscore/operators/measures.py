@@ -31,8 +31,7 @@ def _aggregates(part: str, edges, prefix: str = "") -> list:
     if what == "sum":
         return [F.sum(name).alias(f"{name}_sum")]
     if what == "std":
-        rounded = F.col(f"{name}_rounded").cast("double") / F.lit(1e3)
-        return [F.stddev_pop(rounded).alias(f"{name}_std")]
+        return [F.stddev_pop(f"{name}_rounded").alias(f"{name}_std")]
     limits = [D.edge_value(edge, relative=kind == "rel") for edge in edges[kind]]
     value = F.col(name)
     return [
@@ -52,7 +51,7 @@ def measures(
     """One row per group: ``fund_count`` and, per vendor ``v``, the measures of ``parts``.
 
     ``v_opposite`` counts rows; ``v_abs_sum`` (in units) and ``v_rel_sum``; ``v_abs_std``
-    and ``v_rel_std`` of the deviations rounded to three decimals; ``v_abs_le_i`` and
+    and ``v_rel_std`` of the deviations rounded to thousandths; ``v_abs_le_i`` and
     ``v_rel_le_i`` count rows up to edge ``i``, ``v_abs_gt`` and ``v_rel_gt`` the rest.
     """
     edges = {"abs": abs_edges, "rel": rel_edges}

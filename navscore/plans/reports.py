@@ -20,7 +20,7 @@ from navscore.operators.bands import band_columns, band_labels, band_shares
 from navscore.operators.deviations import wide_deviations
 from navscore.operators.measures import ABS_EDGES, PARTS, REL_EDGES, all_measures, measures
 from navscore.operators.median import grouped_medians
-from navscore.schemas import ALL_VENDORS, METRIC, VENDORS
+from navscore.schemas import ALL_VENDORS, VENDORS
 
 KINDS = ("abs", "rel")
 
@@ -79,19 +79,25 @@ def _mean(kind: str, mean):
     return build
 
 
-def _plain(kind: str, what: str):
-    """A column that is already the metric."""
-
+def _metric(kind: str, what: str, metric):
     def build(source: DataFrame, scope: Scope) -> DataFrame:
         def columns(code):
             name = f"{code}_{kind}_{what}"
-            return [F.col(name).cast(METRIC).alias(name)]
+            return [metric(F.col(name)).alias(name)]
 
         return _wide(source, scope, columns)
 
     return build
 
 
+def _std(kind: str):
+    return _metric(kind, "std", D.std_metric)
+
+
+def _median(kind: str):
+    return _metric(kind, "median", lambda value: value)
+
+
 def _bands(kind: str, cumulative: bool):
     def build(measured: DataFrame, scope: Scope) -> DataFrame:
         edges = scope.abs_edges if kind == "abs" else scope.rel_edges
@@ -135,14 +141,14 @@ REPORTS = {
         Report(
             "r3_abs_median",
             "medians",
-            _plain("abs", "median"),
+            _median("abs"),
             "abs",
             (("abs_median", "估值绝对偏差中值"),),
         ),
         Report(
             "r4_abs_std",
             "abs_std",
-            _plain("abs", "std"),
+            _std("abs"),
             "abs",
             (("abs_std", "估值绝对偏差标准差"),),
         ),
@@ -157,7 +163,7 @@ REPORTS = {
         Report(
             "r6_rel_median",
             "medians",
-            _plain("rel", "median"),
+            _median("rel"),
             "rel",
             (("rel_median", "估值相对偏差中值"),),
             percent=True,
@@ -165,7 +171,7 @@ REPORTS = {
         Report(
             "r7_rel_std",
             "rel_std",
-            _plain("rel", "std"),
+            _std("rel"),
             "rel",
             (("rel_std", "估值相对偏差标准差"),),
             percent=True,

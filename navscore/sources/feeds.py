@@ -71,16 +71,16 @@ def _feed(
     split = lines.select(
         F.col("value").alias("line"), P.split_fields(F.col("value"), separator).alias("fields")
     )
-    parsed = split.select(
-        "line", "fields", *[expr.alias(name) for name, expr in columns.items()]
-    )
     checks = [] if arity is None else [("field_count", F.size("fields") != arity)]
     checks += rejects
-    checks += [(f"unreadable_{name}", F.col(name).isNull()) for name in columns]
+    checks += [(f"unreadable_{name}", value.isNull()) for name, value in columns.items()]
     reason = F.coalesce(*[F.when(bad, F.lit(label)) for label, bad in checks])
-    return Feed(
-        parsed.select("line", *columns, reason.alias("reject_reason")), tuple(columns)
+    # One generated row per line keeps the filter on the reason above the parsing. Pushed
+    # below it, the filter would split and read the line again for every field.
+    row = F.struct(
+        *[value.alias(name) for name, value in columns.items()], reason.alias("reject_reason")
     )
+    return Feed(split.select("line", F.inline(F.array(row))), tuple(columns))
 
 
 def _at(position: int) -> Column:
@@ -95,10 +95,6 @@ def _code(text: Column, start: int = 1) -> Column:
     )
 
 
-def _compact_day(text: Column) -> Column:
-    return P.day_compact(text)
-
-
 def load_truth(lines: DataFrame) -> Feed:
     """t0: disclosed values with the jy and tiantian estimates; 13 tab-separated fields."""
     # Positions that must not be empty.
@@ -113,7 +109,7 @@ def load_truth(lines: DataFrame) -> Feed:
         {
             "fund_code": _code(_at(0)),
             "fund_type": _at(1),
-            "day": _compact_day(_at(2)),
+            "day": P.day_compact(_at(2)),
             "jy_nav": P.number(_at(3)),
             "jy_return": P.number(_at(4)),
             "report_nav": P.number(_at(5)),
@@ -146,7 +142,7 @@ def load_hm(lines: DataFrame, layout: str = "tab") -> Feed:
         arity,
         {
             "fund_code": _code(_at(first), code_start),
-            "day": _compact_day(day_text),
+            "day": P.day_compact(day_text),
             "quote_time": _at(first + 2),
             "hm_nav": P.number(_at(first + 3)),
             "hm_return": P.number(_at(first + 4)),
