@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from navscore.schemas import VALUE
 
 # How each separator is written in a pattern.
-SEPARATOR_PATTERNS = {"\t": r"\t", "|": r"\|"}
+SEPARATOR_PATTERNS = {"\t": "\t", "|": r"\|"}
 
 
 def split_fields(line: Column, separator: str) -> Column:
     """Split a line; empty fields at its end do not count towards the number of fields."""
-    pattern = SEPARATOR_PATTERNS[separator]
-    return F.split(F.regexp_replace(line, f"(?:{pattern})+$", ""), pattern)
+    return F.split(F.rtrim(line, F.lit(separator)), SEPARATOR_PATTERNS[separator])
 
 
 def number(text: Column) -> Column:
-    """A finite number, or null when the text is none."""
-    value = text.try_cast(VALUE)
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    """The number in a text, or null; :func:`unusable` finds those that are not finite."""
+    return text.try_cast(VALUE)
+
+
+def unusable(name: str, is_number: bool) -> Column:
+    """True for a parsed column that is null, or a number that is not finite."""
+    value = F.col(name)
+    return ~(F.abs(value) < F.lit(float("inf"))) | value.isNull() if is_number else value.isNull()
 
 
 def day_compact(text: Column) -> Column:
@@ -46,7 +50,7 @@ def day_dashed(text: Column) -> Column:
 
 def percent_number(text: Column) -> Column:
     """``"+1.23%"`` to 1.23: quotes, plus and percent signs are stripped."""
-    return number(F.regexp_replace(text, '[%"+]', ""))
+    return number(F.translate(text, '%"+', ""))
 
 
 def percent_text(value: Column) -> Column:

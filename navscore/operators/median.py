@@ -3,18 +3,19 @@
 The built-in median gathers all distinct values of a group in one task. That is the right
 plan for groups known to be small, and it is used for them. A type that holds a third of
 a long history needs another one, in two passes over the data. The values are whole
-numbers (thousandths): the first pass counts rows by the leading digits of the value and
-finds, per group, the prefix that holds the middle ranks; the second keeps only the rows
-with that prefix and counts them by value, so that the middle ranks can be read off. Both
-passes aggregate before they shuffle: counts travel, not rows, and a hot value or group
-shrinks on the map side. A group has at most some 130 000 prefixes, and a prefix at most
-a million values as long as values have up to ten digits (a deviation of 10 000 per
-share), whatever the number of rows.
+numbers (thousandths). The first pass counts rows by a bucket of the value and finds, per
+group, the bucket that holds the middle ranks; the second keeps only the values in that
+bucket and counts them, so that the middle ranks can be read off. Both passes aggregate
+before they shuffle: counts travel, not rows, and a hot value or group shrinks on the map
+side. Buckets are as wide as 0.1 percent of the value, so a group has at most some
+40 000 of them whatever its number of rows, and one bucket holds at most a million
+different values as long as deviations stay below 1000 per share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,34 +28,49 @@ from navscore.functions.deviation import thousandths_to_metric
 # hundreds of megabytes at the worst.
 SMALL_GROUP_ROWS = 10_000
 
-PREFIX_DIGITS = 4
-MAX_DIGITS = 18
+# Up to this many groups, the middle buckets (one row per group) are broadcast: some tens
+# of megabytes. Beyond it the rows are joined with their groups through a shuffle.
+BROADCAST_GROUPS = 50_000
+
+BUCKETS_PER_E_FOLD = 1000
 
 # Values are never negative, so this marks a missing one and sorts before all others.
 MISSING = -1
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Rows of the largest group: one pass over the keys, aggregated on the map side."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.agg(F.max("rows")).first()[0] or 0
+@dataclass(frozen=True)
+class GroupSizes:
+    """The number of groups and the rows of the largest one."""
+
+    groups: int
+    largest: int
+
+    @classmethod
+    def of(cls, sizes: DataFrame, rows: str) -> "GroupSizes":
+        """Read off a frame with one row per group and its size in the column ``rows``."""
+        found = sizes.agg(F.count(F.lit(1)), F.max(rows)).first()
+        return cls(found[0], found[1] or 0)
+
+
+def group_sizes(df: DataFrame, keys) -> GroupSizes:
+    """One pass over the keys alone, aggregated on the map side."""
+    return GroupSizes.of(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), "rows")
 
 
 def grouped_medians(
-    df: DataFrame, keys, values: Mapping[str, Column], largest: int | None = None
+    df: DataFrame, keys, values: Mapping[str, Column], sizes: GroupSizes | None = None
 ) -> DataFrame:
     """``keys``, ``fund_count`` and the exact median of each of ``values``.
 
     ``values`` are counts of thousandths, not negative; the medians are rounded half up
     to three decimals. Nulls do not take part, and a group without values has the median
-    null. ``largest`` is the number of rows of the largest group, counted when not given.
+    null. ``sizes`` are counted when not given.
     """
     keys = list(keys)
-    if largest is None:
-        largest = largest_group(df, keys)
-    if largest <= SMALL_GROUP_ROWS:
+    sizes = sizes or group_sizes(df, keys)
+    if sizes.largest <= SMALL_GROUP_ROWS:
         return small_group_medians(df, keys, values)
-    return large_group_medians(df, keys, values)
+    return large_group_medians(df, keys, values, broadcast=sizes.groups <= BROADCAST_GROUPS)
 
 
 def small_group_medians(df: DataFrame, keys, values: Mapping[str, Column]) -> DataFrame:
@@ -69,51 +85,50 @@ def small_group_medians(df: DataFrame, keys, values: Mapping[str, Column]) -> Da
     )
 
 
-def large_group_medians(df: DataFrame, keys, values: Mapping[str, Column]) -> DataFrame:
-    """Medians located by their leading digits first, then ranked within them."""
-    group = [*keys, "measure"]
-    prefixed = measured_values(df, keys, values)
-    located = locate_middle(prefixed, group)
-    ranked = rank_values(_join_null_safe(prefixed, located, group, "prefix"), group)
+def large_group_medians(
+    df: DataFrame, keys, values: Mapping[str, Column], broadcast: bool = False
+) -> DataFrame:
+    """Medians located by bucket first, then ranked within it. ``broadcast`` the middle
+    buckets only when the number of groups is known to be small."""
+    names = list(values)
+    rows = df.select(
+        *keys,
+        *[F.coalesce(v.cast("bigint"), F.lit(MISSING)).alias(n) for n, v in values.items()],
+    )
+    located = locate_middle(rows, keys, names)
+    if broadcast:
+        located = F.broadcast(located)
+    ranked = rank_values(candidates(rows, located, keys, names), keys)
     low_and_high = [
         F.min(
-            F.when(
-                (F.col("measure") == name) & (F.col("reached") >= F.col(rank)), F.col("value")
-            )
+            F.when((F.col("measure") == i) & (F.col("reached") >= F.col(rank)), F.col("value"))
         ).alias(f"{name}_{rank}")
-        for name in values
+        for i, name in enumerate(names)
         for rank in ("low", "high")
     ]
     picked = ranked.groupBy(*keys).agg(F.max("group_rows").alias("fund_count"), *low_and_high)
-    return picked.select(*keys, "fund_count", *[_middle(name).alias(name) for name in values])
-
-
-def leading_digits(value: Column) -> Column:
-    """``value`` with all digits behind the first four set to zero; keeps the order."""
-    cases = F.when(value < 10**PREFIX_DIGITS, value)
-    for digits in range(PREFIX_DIGITS + 1, MAX_DIGITS):
-        unit = 10 ** (digits - PREFIX_DIGITS)
-        cases = cases.when(value < F.lit(10**digits), value - value % F.lit(unit))
-    return F.coalesce(cases, F.lit(10**MAX_DIGITS))
+    return picked.select(*keys, "fund_count", *[_middle(name).alias(name) for name in names])
 
 
-def measured_values(df: DataFrame, keys, values: Mapping[str, Column]) -> DataFrame:
-    """One row per row of ``df`` and measure: the value and its prefix."""
-    wide = df.select(*keys, *[v.cast("bigint").alias(name) for name, v in values.items()])
-    long = wide.unpivot([F.col(k) for k in keys], list(values), "measure", "value")
-    return long.withColumn("value", F.coalesce("value", F.lit(MISSING))).withColumn(
-        "prefix", leading_digits(F.col("value"))
-    )
+def bucket(value: Column) -> Column:
+    """A bucket number that never decreases with the value; missing values come first."""
+    return F.coalesce(F.floor(F.log1p(value) * F.lit(float(BUCKETS_PER_E_FOLD))), F.lit(MISSING))
 
 
-def locate_middle(prefixed: DataFrame, group) -> DataFrame:
-    """The prefixes, one or two per group, that hold the middle ranks: the ranks ``low``
-    and ``high``, the rows ``before`` the prefix and all ``group_rows``."""
+def locate_middle(rows: DataFrame, keys, names) -> DataFrame:
+    """One row per group: ``group_rows`` and, per measure ``i``, the ranks ``low_i`` and
+    ``high_i`` of the middle, the buckets ``first_i`` and ``last_i`` that hold them, and
+    the rows ``before_i`` the first of these."""
+    group = [*keys, "measure"]
+    measured = [part for i, name in enumerate(names) for part in (F.lit(i), F.col(name))]
+    bucketed = rows.select(
+        *keys, F.stack(F.lit(len(names)), *measured).alias("measure", "value")
+    ).withColumn("bucket", bucket(F.col("value")))
     whole = Window.partitionBy(*group)
-    running = whole.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    missing = F.when(F.col("prefix") == MISSING, F.col("rows")).otherwise(0)
-    return (
-        prefixed.groupBy(*group, "prefix")
+    running = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    missing = F.when(F.col("bucket") == MISSING, F.col("rows")).otherwise(0)
+    middle = (
+        bucketed.groupBy(*group, "bucket")
         .agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("reached", F.sum("rows").over(running))
         .withColumn("group_rows", F.max("reached").over(whole))
@@ -122,35 +137,63 @@ def locate_middle(prefixed: DataFrame, group) -> DataFrame:
         .withColumn("high", F.expr("missing + (group_rows - missing) div 2 + 1"))
         .withColumn("before", F.col("reached") - F.col("rows"))
         .filter((F.col("reached") >= F.col("low")) & (F.col("before") < F.col("high")))
-        .select(*group, "prefix", "before", "low", "high", "group_rows")
     )
-
-
-def rank_values(candidates: DataFrame, group) -> DataFrame:
-    """The candidate values with ``reached``, the rows of the group up to the value."""
-    by_value = Window.partitionBy(*group).orderBy("value")
-    running = F.sum("rows").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
-    same = ("low", "high", "group_rows", "before")
+    columns = []
+    for i in range(len(names)):
+        mine = F.col("measure") == i
+        for label, aggregate, source in (
+            ("low", F.min, "low"),
+            ("high", F.min, "high"),
+            ("before", F.min, "before"),
+            ("first", F.min, "bucket"),
+            ("last", F.max, "bucket"),
+        ):
+            columns.append(aggregate(F.when(mine, F.col(source))).alias(f"{label}_{i}"))
+    return middle.groupBy(*keys).agg(F.max("group_rows").alias("group_rows"), *columns)
+
+
+def candidates(rows: DataFrame, located: DataFrame, keys, names) -> DataFrame:
+    """The values that share a bucket with the middle, counted per group and measure.
+
+    A row is joined with its group once; only the values that qualify become rows.
+    """
+    quoted = []
+    for i, name in enumerate(names):
+        quoted.append(
+            F.when(
+                bucket(F.col(name)).between(F.col(f"first_{i}"), F.col(f"last_{i}")),
+                F.struct(
+                    F.lit(i).alias("measure"),
+                    F.col(name).alias("value"),
+                    *[F.col(f"{c}_{i}").alias(c) for c in ("low", "high", "before")],
+                ),
+            )
+        )
+    joined = _join_on_group(rows, located, keys)
+    same = ("low", "high", "before", "group_rows")
     return (
-        candidates.groupBy(*group, "value")
+        joined.select(*keys, "group_rows", F.inline(F.array_compact(F.array(*quoted))))
+        .groupBy(*keys, "measure", "value")
         .agg(F.count(F.lit(1)).alias("rows"), *[F.min(c).alias(c) for c in same])
-        .withColumn("reached", running)
-        .withColumn("reached", F.col("reached") + F.min("before").over(Window.partitionBy(*group)))
     )
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, group, exact: str) -> DataFrame:
-    """Inner join on the group, in which null keys match each other, and on ``exact``."""
-    shared = [*group, exact]
-    renamed = right.select(
-        *[F.col(c).alias(f"r_{c}") for c in shared],
-        *[c for c in right.columns if c not in shared],
-    )
-    matches = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in group]
-    matches.append(F.col(exact) == F.col(f"r_{exact}"))
-    return left.join(renamed, reduce(lambda a, b: a & b, matches)).drop(
-        *[f"r_{c}" for c in shared]
-    )
+def rank_values(counted: DataFrame, keys) -> DataFrame:
+    """The counted values with ``reached``, the rows of the group up to the value."""
+    by_value = Window.partitionBy(*keys, "measure").orderBy("value")
+    running = F.sum("rows").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("reached", F.col("before") + running)
+
+
+def _join_on_group(rows: DataFrame, located: DataFrame, keys) -> DataFrame:
+    """Join each row with its group; null keys match each other. Without keys there is
+    one group, and both sides carry the same constant."""
+    shared = list(keys) or ["one"]
+    if not keys:
+        rows, located = rows.withColumn("one", F.lit(0)), located.withColumn("one", F.lit(0))
+    renamed = located.withColumnsRenamed({c: f"group_{c}" for c in shared})
+    matches = [F.col(c).eqNullSafe(F.col(f"group_{c}")) for c in shared]
+    return rows.join(renamed, reduce(lambda a, b: a & b, matches))
 
 
 def _middle(name: str) -> Column:

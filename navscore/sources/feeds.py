@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from navscore.functions import parsing as P
-from navscore.schemas import VENDORS, summary_columns
+from navscore.schemas import VALUE, VENDORS, summary_columns
 
 NO_VALUE = "-"
 CODE_LENGTH = 6
@@ -71,16 +71,18 @@ def _feed(
     split = lines.select(
         F.col("value").alias("line"), P.split_fields(F.col("value"), separator).alias("fields")
     )
+    # The columns come out of a generator so that they are parsed once: a filter on the
+    # reason stays above it, and would otherwise repeat the parsing for every check.
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    parsed = split.select("line", "fields", F.inline(F.array(row)))
+    numbers = {f.name for f in parsed.schema.fields if f.dataType == VALUE}
     checks = [] if arity is None else [("field_count", F.size("fields") != arity)]
     checks += rejects
-    checks += [(f"unreadable_{name}", value.isNull()) for name, value in columns.items()]
+    checks += [(f"unreadable_{name}", P.unusable(name, name in numbers)) for name in columns]
     reason = F.coalesce(*[F.when(bad, F.lit(label)) for label, bad in checks])
-    # One generated row per line keeps the filter on the reason above the parsing. Pushed
-    # below it, the filter would split and read the line again for every field.
-    row = F.struct(
-        *[value.alias(name) for name, value in columns.items()], reason.alias("reject_reason")
+    return Feed(
+        parsed.select("line", *columns, reason.alias("reject_reason")), tuple(columns)
     )
-    return Feed(split.select("line", F.inline(F.array(row))), tuple(columns))
 
 
 def _at(position: int) -> Column:
