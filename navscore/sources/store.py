@@ -32,24 +32,16 @@ def read_summary(spark: SparkSession, path: str, days=None) -> DataFrame:
     return stored if days is None else stored.filter(in_days(days))
 
 
-def write_csv(report: DataFrame, path: str, mode: str = "append") -> None:
-    """Add a report to a CSV folder as one file with a header.
+def write_csv(report: DataFrame, path: str, order=(), mode: str = "append") -> None:
+    """Add a report to a CSV folder as one file with a header, sorted by ``order``.
 
     The rows are brought together only after the aggregation is complete: without the
     exchange, the one writing task would also have to merge all partial results.
     """
-    report.repartition(1).write.mode(mode).option("header", True).csv(path)
-
-
-def write_sorted_csv(report: DataFrame, path: str, order, mode: str = "append") -> None:
-    """As :func:`write_csv`, with the rows of the file in the given order."""
-    (
-        report.repartition(1)
-        .sortWithinPartitions(*order)
-        .write.mode(mode)
-        .option("header", True)
-        .csv(path)
-    )
+    single = report.repartition(1)
+    if order:
+        single = single.sortWithinPartitions(*order)
+    single.write.mode(mode).option("header", True).csv(path)
 
 
 def preview(frame: DataFrame, rows: int = 20) -> DataFrame:

@@ -31,7 +31,8 @@ def _joined(summary, keys, vendors, column):
     rest = [part.drop(f"n_{code}") for code, part in zip(vendors[1:], parts[1:])]
     if keys:
         return reduce(lambda a, b: a.join(b, list(keys)), rest, first)
-    return reduce(lambda a, b: a.crossJoin(b), rest, first)
+    rows = [part.withColumn("one", F.lit(1)) for part in (first, *rest)]
+    return reduce(lambda a, b: a.join(b, "one"), rows).drop("one")
 
 
 def _bands(summary, keys, vendors, value, edges, names, cumulative):

@@ -297,7 +297,7 @@ def test_csv_sink_appends_single_files_with_header(spark, sample, tmp_path):
     assert len(files) == 2
     lines = files[0].read_text().splitlines()
     assert lines[0] == ",".join(frame.columns) and len(lines) == 4
-    store.write_sorted_csv(frame, path, ["fund_count", "type"], mode="overwrite")
+    store.write_csv(frame, path, ["fund_count", "type"], mode="overwrite")
     (written,) = (tmp_path / "csv").glob("part-*.csv")
     counts = [int(line.split(",")[1]) for line in written.read_text().splitlines()[1:]]
     assert counts == sorted(counts)
