@@ -193,7 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             *summary_columns()
         ),
         "summary_join": joined_summary,
-        "summary_nowind": partial(_nowind),
+        "summary_nowind": partial(joined_summary, vendors=VENDORS_NO_WIND),
         "summary_top": summary_top,
         "summary_top_fanout": summary_top_fanout,
         "summary_latest_day": summary_latest,
@@ -219,6 +219,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found["preview_smallest_groups"] = preview_report
     return found
 
-
-def _nowind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined_summary(spark, sf_dir, VENDORS_NO_WIND)

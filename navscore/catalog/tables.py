@@ -13,8 +13,6 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navscore.schemas import VENDORS
-
 # Band edges that suit the size of the absolute deviations in these tables.
 TABLE_ABS_EDGES = tuple(Decimal(e) for e in ("1", "3", "5", "10", "20"))
 
@@ -137,7 +135,3 @@ def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("funds"))
         .select("class_code", "type")
     )
-
-
-NAV_COLUMNS = ["report_nav"] + [v.nav for v in VENDORS.values()]
-RETURN_COLUMNS = ["report_return"] + [v.ret for v in VENDORS.values() if v.has_return]
