@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from navscore.llm import decontaminate, quality_rules
+from navscore.llm import decontaminate, quality_rules, simhash_gray
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op10_simhash": simhash_gray.op10_simhash,
 }
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
