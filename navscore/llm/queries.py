@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from navscore.llm import decontaminate, quality_rules, simhash_gray
+from navscore.llm import (
+    decontaminate,
+    piece_fst,
+    quality_rules,
+    simhash_gray,
+    token_count,
+    token_files,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_token_counts": token_count.op3_token_counts,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_token_files": token_files.op5_token_files,
+    "op9_sentencepiece": piece_fst.op9_sentencepiece,
     "op10_simhash": simhash_gray.op10_simhash,
 }
 SQL = {
