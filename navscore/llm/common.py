@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -76,3 +77,13 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, order: Column)
         rate = F.when(F.col(label) == F.lit(row[label]), F.lit(share)).otherwise(rate)
     point = F.pmod(F.xxhash64(order, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.where(point < rate)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps that nothing refers to any more.
+
+    The context cleaner acts when the driver collects garbage, which a driver that only
+    plans may not do for half an hour; between large steps that would keep all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

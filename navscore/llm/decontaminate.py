@@ -91,31 +91,36 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` with ``positions`` and ``items`` of its hits (empty arrays when clean)."""
+    """``docs`` with ``hit_positions`` and ``hit_items`` (empty arrays when clean)."""
+    if {"hit_positions", "hit_items"} & set(docs.columns):
+        raise ValueError("the input has a column hit_positions or hit_items already")
     found = hits(docs, benchmark, size).select(
-        F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"), "positions", "items"
+        F.col("doc_id").alias("__hit_doc"),
+        F.col("text_key").alias("__hit_key"),
+        F.col("positions").alias("hit_positions"),
+        F.col("items").alias("hit_items"),
     )
-    keyed = docs.withColumn("decon_key", F.xxhash64(text_of()))
-    return keyed.join(
+    return docs.join(
         found,
-        F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("decon_key") == F.col("hit_key")),
+        F.col("doc_id").eqNullSafe(F.col("__hit_doc"))
+        & (F.xxhash64(text_of()) == F.col("__hit_key")),
         "left",
     ).select(
         *[docs[c] for c in docs.columns],
-        F.coalesce("positions", F.array().cast("array<int>")).alias("positions"),
-        F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
+        F.coalesce("hit_positions", F.array().cast("array<int>")).alias("hit_positions"),
+        F.coalesce("hit_items", F.array().cast("array<bigint>")).alias("hit_items"),
     )
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents without any hit, with the columns of ``docs``."""
     found = hits(docs, benchmark, size).select(
-        F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key")
+        F.col("doc_id").alias("__hit_doc"), F.col("text_key").alias("__hit_key")
     )
     return docs.join(
         found,
-        F.col("doc_id").eqNullSafe(F.col("hit_doc"))
-        & (F.xxhash64(text_of()) == F.col("hit_key")),
+        F.col("doc_id").eqNullSafe(F.col("__hit_doc"))
+        & (F.xxhash64(text_of()) == F.col("__hit_key")),
         "left_anti",
     )
 
@@ -132,7 +137,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Dat
             gaps,
             lambda gap, i: F.concat(
                 gap,
-                F.when(F.array_contains("positions", i), "").otherwise(
+                F.when(F.array_contains("hit_positions", i), "").otherwise(
                     F.coalesce(F.get(words, i), F.lit(""))
                 ),
             ),
@@ -140,7 +145,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Dat
         return F.array_join(kept, "")
 
     words = F.regexp_extract_all(text, F.lit(f"({word})"), 1)
-    cleaned = F.when(F.size("positions") > 0, let(words, cut)).otherwise(F.col("text"))
+    cleaned = F.when(F.size("hit_positions") > 0, let(words, cut)).otherwise(F.col("text"))
     return marked.select(*[cleaned.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
@@ -149,8 +154,8 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = hits(docs, benchmark).select(
-        F.col("doc_id").alias("hit_doc"),
-        F.col("text_key").alias("hit_key"),
+        F.col("doc_id").alias("__hit_doc"),
+        F.col("text_key").alias("__hit_key"),
         F.size("positions").cast("long").alias("hit"),
         F.size("items").cast("long").alias("item_count"),
         F.sha2(
@@ -165,7 +170,7 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     none = F.lit(0).cast("long")
     return counted.join(
         found,
-        F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_key")),
+        F.col("doc_id").eqNullSafe(F.col("__hit_doc")) & (F.col("text_key") == F.col("__hit_key")),
         "left",
     ).select(
         "doc_id",
