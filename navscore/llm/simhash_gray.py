@@ -268,6 +268,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, with the columns of ``docs``.
+
+    It is the one that names the component; of repeated rows with that id, the first by text.
+    Documents without an id cannot be told apart by it, one of each distinct text that no
+    document with an id is linked to stays.
+    """
+    named = near_duplicates(docs).where("doc_id = component_id or component_id is null")
+    names = named.select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp")).distinct()
+    joined = docs.join(names, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")))
+    keyed = joined.select(*[docs[c] for c in docs.columns], "__doc", "__fp")
+    return keyed.dropDuplicates(["__doc"]).select(*docs.columns)
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
