@@ -108,13 +108,24 @@ def _median(value: str) -> str:
     return f"(({half}[(count(*) + 1) // 2] + {half}[count(*) // 2 + 1] + 1) // 2)"
 
 
-def _rounded(value: str) -> str:
-    """A double rounded to three decimals, as thousandths."""
-    return f"cast(cast({value} as decimal(16, 3)) * 1000 as bigint)"
+def _std(value: str) -> str:
+    """Population deviation of whole numbers rounded half up, decided on whole numbers."""
+    n = "count(*)::hugeint"
+    v = f"({n} * sum({value}::hugeint * {value}) - sum({value}::hugeint) * sum({value}))"
+    k = f"cast(floor(sqrt(({v})::double) / count(*) + 0.5::double) as hugeint)"
+    return (
+        f"(case when 4 * {v} >= (2 * {k} + 1) * (2 * {k} + 1) * {n} * {n} then {k} + 1 "
+        f"when {k} > 0 and 4 * {v} < (2 * {k} - 1) * (2 * {k} - 1) * {n} * {n} then {k} - 1 "
+        f"else {k} end)"
+    )
 
 
-def _std(value: str) -> str:
-    return f"floor(stddev_pop({value}::double) * (1 + 1e-12)::double + 0.5::double)"
+def _ratio_total() -> str:
+    """Ratios summed with twelve decimals."""
+    return (
+        "sum(cast(floor(ratio) as hugeint) * 1000000000000 "
+        "+ cast(floor((ratio - floor(ratio)) * 1e12::double + 0.5::double) as hugeint))"
+    )
 
 
 # Report -> metric columns, in thousandths (the count of R1 is a plain count).
@@ -126,7 +137,7 @@ METRICS = {
     "r2_abs_mean": {"abs_mean": _half_up("100 * sum(dev)", "count(*)")},
     "r3_abs_median": {"abs_median": _median("abs_round")},
     "r4_abs_std": {"abs_std": _std("abs_round")},
-    "r5_rel_mean": {"rel_mean": _rounded("sum(ratio) / count(*) * 100")},
+    "r5_rel_mean": {"rel_mean": _half_up(_ratio_total(), "count(*) * 10000000")},
     "r6_rel_median": {"rel_median": _median("rel_round")},
     "r7_rel_std": {"rel_std": _std("rel_round")},
 }
@@ -302,6 +313,12 @@ def oracle_sql() -> dict[str, str]:
     for name in ("r2_abs_mean", "r3_abs_median", "r11_rel_cumulative"):
         found[f"stored_week_{name}"] = report_sql(name, "week", latest_week)
         found[f"scores_week_{name}"] = report_sql(name, "week")
+    mixed = TABLE_SUMMARY.format(top=f"where day > {last} - 7 and day <= {last} - 3")
+    for name in ("r2_abs_mean", "r9_abs_cumulative"):
+        found[f"stored_mixed_vendors_{name[:2]}"] = report_sql(name, "week", mixed)
+    for scope_name in ("week", "all"):
+        for name in REPORTS:
+            found[f"text_{scope_name}_{name.split('_')[0]}"] = report_sql(name, scope_name)
     found["csv_report_week"] = (
         "select columns(*)::varchar from (" + report_sql("r5_rel_mean", "week", text=True) + ")"
     )

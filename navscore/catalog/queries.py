@@ -7,11 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from navscore.catalog import feedlines as L
 from navscore.catalog import tables as TB
 from navscore.operators.summary import build_summary, classify, in_days, restrict_to_list
-from navscore.plans.reports import REPORTS, Scope, Scores, display, report
+from navscore.plans.reports import COMMON_LABELS, REPORTS, Scope, Scores, display, report
+from navscore.plans.runs import load_feeds
 from navscore.schemas import ALL_VENDORS, GROUPINGS, VENDORS_NO_WIND, summary_columns
 from navscore.session import scratch_path, tune
 from navscore.sources import feeds, store
@@ -60,10 +62,14 @@ def run_display(name: str, scope_name: str, spark: SparkSession, sf_dir: str) ->
 # --- the summary from its feeds ---------------------------------------------------------
 
 
-def joined_summary(spark: SparkSession, sf_dir: str, vendors=ALL_VENDORS, days=None) -> DataFrame:
+def joined_summary(
+    spark: SparkSession, sf_dir: str, vendors=ALL_VENDORS, days=None, chosen=None
+) -> DataFrame:
+    """The summary of all funds, or of the ``chosen`` ones."""
     fund_types = classify(TB.fund_classes(spark, sf_dir), TB.class_names(spark, sf_dir))
+    truth = TB.truth_feed(tune(spark), sf_dir)
     return build_summary(
-        TB.truth_feed(tune(spark), sf_dir),
+        truth if chosen is None else restrict_to_list(truth, chosen),
         TB.estimate_feeds(spark, sf_dir),
         fund_types,
         vendors,
@@ -89,7 +95,7 @@ def summary_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = TB.with_text_code(TB.top_list(spark, sf_dir).withColumnRenamed("fund_code", "part_key"))
-    return restrict_to_list(joined_summary(spark, sf_dir), chosen)
+    return joined_summary(spark, sf_dir, chosen=chosen)
 
 
 def summary_top_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,19 +149,15 @@ def feed_rows(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected lines per feed and reason."""
-    counted = None
-    for name, (load, lines) in FEEDS.items():
-        counts = load(lines(tune(spark), sf_dir)).reject_counts()
-        counts = counts.select(F.lit(name).alias("feed"), "reject_reason", "lines")
-        counted = counts if counted is None else counted.unionByName(counts)
-    return counted
+    loaded = {name: load(lines(tune(spark), sf_dir)) for name, (load, lines) in FEEDS.items()}
+    return feeds.line_counts(loaded).filter("reject_reason is not null")
 
 
 def stored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary written by day and read back."""
     path = scratch_path(spark, "summary")
     store.write_summary(table_summary(spark, sf_dir), path)
-    return store.read_summary(spark, path).select(*summary_columns())
+    return store.read_summary(spark, path, code_type=T.LongType())
 
 
 def stored_week_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,15 +166,37 @@ def stored_week_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame
     summary = table_summary(spark, sf_dir)
     week = latest_days(TB.quotes(spark, sf_dir).select("day"), 7)
     path = scratch_path(spark, "summary")
-    store.write_summary(summary.filter(in_days(week)), path)
-    stored = store.read_summary(spark, path, days=week)
-    return with_double_metrics(report(name, stored, scope("week")))
+    store.write_summary(summary.filter(in_days(week)), path, week)
+    stored = store.read_summary(spark, path, week, T.LongType())
+    return with_double_metrics(report(name, store.complete_rows(stored), scope("week")))
+
+
+def stored_mixed_vendors(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly report of the latest seven days of which the last three were stored
+    without wind: only the days that hold every vendor take part."""
+    summary = table_summary(spark, sf_dir)
+    days = TB.quotes(spark, sf_dir).select("day")
+    week, late = latest_days(days, 7), latest_days(days, 3)
+    path = scratch_path(spark, "summary")
+    store.write_summary(summary.filter(in_days(late)).drop("wind_nav"), path)
+    store.write_summary(summary.filter(in_days(week) & ~in_days(late)), path)
+    stored = store.read_summary(spark, path, week, T.LongType())
+    return with_double_metrics(report(name, store.complete_rows(stored), scope("week")))
+
+
+def text_report(name: str, scope_name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report from the weekly summary text: lines written to files and read as text."""
+    path = scratch_path(spark, "lines")
+    L.summary_lines(tune(spark), sf_dir).write.text(path)
+    loaded = load_feeds(spark, {"summary_text": path})
+    return with_double_metrics(report(name, loaded["summary_text"].rows, scope(scope_name)))
 
 
 def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report written as one CSV file with a header, and read back as text."""
     path = scratch_path(spark, "report")
-    store.write_csv(run_display("r5_rel_mean", "week", spark, sf_dir), path)
+    order = [COMMON_LABELS["fund_count"], COMMON_LABELS["type"]]
+    store.write_csv(run_display("r5_rel_mean", "week", spark, sf_dir), path, order)
     return spark.read.option("header", True).csv(path)
 
 
@@ -215,6 +239,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name in ("r2_abs_mean", "r3_abs_median", "r11_rel_cumulative"):
         found[f"stored_week_{name}"] = partial(stored_week_report, name)
         found[f"scores_week_{name}"] = partial(scored_report, name)
+    for name in ("r2_abs_mean", "r9_abs_cumulative"):
+        found[f"stored_mixed_vendors_{name[:2]}"] = partial(stored_mixed_vendors, name)
+    for scope_name in ("week", "all"):
+        for name in REPORTS:
+            label = f"text_{scope_name}_{name.split('_')[0]}"
+            found[label] = partial(text_report, name, scope_name)
     found["csv_report_week"] = csv_report
     found["preview_smallest_groups"] = preview_report
     return found

@@ -1,10 +1,13 @@
 """Deviation of an estimate from the disclosed value, and exact rounding of metrics.
 
 Deviations are counted in whole units of the eighth decimal, held in doubles. Funds
-publish at most that many decimals, so the count is exact: a deviation on a band edge is
-on it, sums of counts do not depend on the order of rows, and rounding half up is an
-operation on whole numbers. The arithmetic stays plain double arithmetic in generated
-code, without a decimal object per value.
+publish at most that many decimals, so the count is exact below 2 ** 53 units: a deviation
+on a band edge is on it, and rounding half up is an operation on whole numbers. Digits
+behind the eighth decimal are not part of the data and are rounded away; a disclosed value
+below half a unit counts as zero. Ratios are summed with twelve decimals.
+
+Sums do not depend on the order of rows: they are sums of longs, put together as decimals
+once per group. No value becomes a decimal object by itself.
 """
 
 from __future__ import annotations
@@ -18,6 +21,12 @@ from navscore.schemas import METRIC
 
 UNITS = 10**8
 
+# Ratios are summed in whole parts of this size: twelve decimals.
+RATIO_PARTS = 10**12
+
+# Exact totals are whole numbers of up to 38 digits.
+WIDE = "decimal(38,0)"
+
 
 def units(value: Column) -> Column:
     """``abs(value)`` as a count of eighth decimals."""
@@ -54,14 +63,79 @@ def thousandths_to_metric(count: Column) -> Column:
     return (count * F.lit(Decimal("0.001"))).cast(METRIC)
 
 
-def std_metric(std_thousandths: Column) -> Column:
-    """A standard deviation of thousandths as a metric, rounded half up.
+def exact_sum(count: Column) -> Column:
+    """The sum of whole numbers held in doubles (or longs), exact in any order of rows.
+
+    Two long sums, of the parts above and below 2 ** 24, are put together as a decimal; the
+    upper one stays in range for 10 ** 12 rows of deviations up to 10 ** 6.
+    """
+    whole = count.cast("bigint")
+    high, low = F.shiftright(whole, 24), whole.bitwiseAND(F.lit((1 << 24) - 1))
+    return F.sum(high).cast(WIDE) * F.lit(1 << 24).cast(WIDE) + F.sum(low).cast(WIDE)
+
+
+def exact_square_sum(count: Column) -> Column:
+    """The sum of squares of whole numbers, exact in any order of rows.
+
+    A number is ``a * 2 ** 16 + b``; the sums of ``a * a``, ``a * b`` and ``b * b`` are longs.
+    """
+    whole = count.cast("bigint")
+    a, b = F.shiftright(whole, 16), whole.bitwiseAND(F.lit((1 << 16) - 1))
+    return (
+        F.sum(a * a).cast(WIDE) * F.lit(1 << 32).cast(WIDE)
+        + F.sum(a * b).cast(WIDE) * F.lit(1 << 17).cast(WIDE)
+        + F.sum(b * b).cast(WIDE)
+    )
+
+
+def ratio_parts(ratio: Column) -> Column:
+    """A ratio as a whole number of parts of ``RATIO_PARTS``, its scale for sums.
 
-    The square root of a small group often lies exactly between two metrics; the factor
-    keeps rounding noise of the last binary digits from deciding there.
+    The whole part and the fraction are converted apart, so large ratios keep theirs.
     """
-    rounded = F.floor(std_thousandths * F.lit(1 + 1e-12) + F.lit(0.5))
-    return thousandths_to_metric(rounded)
+    whole = F.floor(ratio)
+    parts = F.floor((ratio - whole) * F.lit(float(RATIO_PARTS)) + F.lit(0.5))
+    return F.struct(whole.alias("whole"), parts.alias("parts"))
+
+
+def exact_ratio_sum(ratio: Column) -> Column:
+    """The sum of ratios in parts of ``RATIO_PARTS``, exact in any order of rows."""
+    split = ratio_parts(ratio)
+    return (
+        F.sum(split["whole"]).cast(WIDE) * F.lit(RATIO_PARTS).cast(WIDE)
+        + F.sum(split["parts"]).cast(WIDE)
+    )
+
+
+def std_thousandths(count: Column, total: Column, squares: Column) -> Column:
+    """Population standard deviation of whole numbers, rounded half up to a whole number.
+
+    With the exact ``v = count * squares - total ** 2`` the deviation is ``sqrt(v) / count``.
+    A double gives the nearest whole number up to one; which of the neighbours is right is
+    decided by comparing ``4 * v`` with ``((2 * k + 1) * count) ** 2`` as whole numbers. All of
+    them fit 38 digits while ``count`` times the largest value stays below 10 ** 18.
+    """
+    n = count.cast(WIDE)
+    v = n * squares - total * total
+    guess = F.floor(F.sqrt(v.cast("double")) / count.cast("double") + F.lit(0.5)).cast("bigint")
+
+    def decide(pair: Column) -> Column:
+        k, four_v = pair["k"], pair["v"] * F.lit(4).cast(WIDE)
+        above = (F.lit(2) * k + 1).cast(WIDE) * pair["n"]
+        below = (F.lit(2) * k - 1).cast(WIDE) * pair["n"]
+        return (
+            F.when(four_v >= above * above, k + 1)
+            .when((k > 0) & (four_v < below * below), k - 1)
+            .otherwise(k)
+        )
+
+    pair = F.array(F.struct(guess.alias("k"), v.alias("v"), n.alias("n")))
+    return F.when(count > 0, F.get(F.transform(pair, decide), F.lit(0)))
+
+
+def std_metric(thousandths: Column) -> Column:
+    """A standard deviation in whole thousandths as a metric."""
+    return thousandths_to_metric(thousandths)
 
 
 def edge_value(edge: Decimal, relative: bool) -> Column:
@@ -69,14 +143,23 @@ def edge_value(edge: Decimal, relative: bool) -> Column:
     return F.lit(float(edge if relative else edge * UNITS))
 
 
+def _half_up(numerator: Column, denominator: Column) -> Column:
+    """Quotient of whole numbers, not negative, rounded half up; null when dividing by zero."""
+    two = F.lit(2).cast(WIDE)
+    halves = F.struct((numerator * two + denominator).alias("a"), (denominator * two).alias("b"))
+    quotient = F.transform(F.array(halves), lambda h: F.floor(F.try_divide(h["a"] - h["a"] % h["b"], h["b"])))
+    return F.when(denominator > 0, F.get(quotient, F.lit(0)).cast("bigint"))
+
+
 def abs_mean(total_units: Column, count: Column) -> Column:
     """Mean deviation x 1000, rounded half up to three decimals; null without rows."""
-    return F.try_divide(total_units.cast("decimal(30,0)") / F.lit(UNITS // 1000), count).cast(METRIC)
+    return thousandths_to_metric(_half_up(total_units, count.cast(WIDE) * F.lit(100).cast(WIDE)))
 
 
-def rel_mean(total: Column, count: Column) -> Column:
-    """Mean ratio in percent, rounded to three decimals; null without rows."""
-    return (F.try_divide(total, count) * F.lit(100)).cast(METRIC)
+def rel_mean(total_parts: Column, count: Column) -> Column:
+    """Mean ratio in percent, rounded half up to three decimals; null without rows."""
+    parts = F.lit(RATIO_PARTS // 10**5).cast(WIDE)
+    return thousandths_to_metric(_half_up(total_parts, count.cast(WIDE) * parts))
 
 
 def share_percent(part: Column, whole: Column) -> Column:

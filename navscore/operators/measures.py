@@ -29,9 +29,14 @@ def _aggregates(part: str, edges, prefix: str = "") -> list:
     kind, what = part.split("_")
     name = f"{prefix}{kind}"
     if what == "sum":
-        return [F.sum(name).alias(f"{name}_sum")]
+        total = D.exact_sum if kind == "abs" else D.exact_ratio_sum
+        return [total(F.col(name)).alias(f"{name}_sum")]
     if what == "std":
-        return [F.stddev_pop(f"{name}_rounded").alias(f"{name}_std")]
+        rounded = F.col(f"{name}_rounded")
+        deviation = D.std_thousandths(
+            F.count(rounded), D.exact_sum(rounded), D.exact_square_sum(rounded)
+        )
+        return [deviation.alias(f"{name}_std")]
     limits = [D.edge_value(edge, relative=kind == "rel") for edge in edges[kind]]
     value = F.col(name)
     return [
@@ -50,8 +55,8 @@ def measures(
 ) -> DataFrame:
     """One row per group: ``fund_count`` and, per vendor ``v``, the measures of ``parts``.
 
-    ``v_opposite`` counts rows; ``v_abs_sum`` (in units) and ``v_rel_sum``; ``v_abs_std``
-    and ``v_rel_std`` of the deviations rounded to thousandths; ``v_abs_le_i`` and
+    ``v_opposite`` counts rows; ``v_abs_sum`` in units and ``v_rel_sum`` in parts of a ratio;
+    ``v_abs_std`` and ``v_rel_std`` in whole thousandths; ``v_abs_le_i`` and
     ``v_rel_le_i`` count rows up to edge ``i``, ``v_abs_gt`` and ``v_rel_gt`` the rest.
     """
     edges = {"abs": abs_edges, "rel": rel_edges}

@@ -1,21 +1,20 @@
-"""Exact grouped medians whose working set is bounded.
-
-The built-in median gathers all distinct values of a group in one task. That is the right
-plan for groups known to be small, and it is used for them. A type that holds a third of
-a long history needs another one, in two passes over the data. The values are whole
-numbers (thousandths). The first pass counts rows by a bucket of the value and finds, per
-group, the bucket that holds the middle ranks; the second keeps only the values in that
-bucket and counts them, so that the middle ranks can be read off. Both passes aggregate
-before they shuffle: counts travel, not rows, and a hot value or group shrinks on the map
-side. Buckets are as wide as 0.1 percent of the value, so a group has at most some
-40 000 of them whatever its number of rows, and one bucket holds at most a million
-different values as long as deviations stay below 1000 per share.
+"""Exact grouped medians from counted values, one plan for groups of every size.
+
+The values are whole numbers (thousandths). One aggregation turns the rows into counts per
+group, measure and value; it combines before the shuffle, so a hot value or group costs its
+distinct values and not its rows. Everything else reads these counts, through the same
+shuffle: counts per bucket of values, a running count over the buckets that finds the one
+or two which hold the middle ranks, and a running count over the values of those buckets.
+
+A bucket is as wide as 0.1 percent of its values. A group has at most some 40 000 buckets
+whatever its number of rows, and a bucket holds at most a thousandth of its largest value
+(in thousandths) as distinct values; these are the largest sets one task sorts. No group is
+one key, no size is probed, and nothing is broadcast by hint.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,82 +22,22 @@ from pyspark.sql import functions as F
 
 from navscore.functions.deviation import thousandths_to_metric
 
-# Up to this many rows per group the built-in median is used. A task keeps the values of
-# at most 128 groups in memory before Spark falls back to sorting, so this is some
-# hundreds of megabytes at the worst.
-SMALL_GROUP_ROWS = 10_000
-
-# Up to this many groups, the middle buckets (one row per group) are broadcast: some tens
-# of megabytes. Beyond it the rows are joined with their groups through a shuffle.
-BROADCAST_GROUPS = 50_000
-
 BUCKETS_PER_E_FOLD = 1000
 
 # Values are never negative, so this marks a missing one and sorts before all others.
 MISSING = -1
 
 
-@dataclass(frozen=True)
-class GroupSizes:
-    """The number of groups and the rows of the largest one."""
-
-    groups: int
-    largest: int
-
-    @classmethod
-    def of(cls, sizes: DataFrame, rows: str) -> "GroupSizes":
-        """Read off a frame with one row per group and its size in the column ``rows``."""
-        found = sizes.agg(F.count(F.lit(1)), F.max(rows)).first()
-        return cls(found[0], found[1] or 0)
-
-
-def group_sizes(df: DataFrame, keys) -> GroupSizes:
-    """One pass over the keys alone, aggregated on the map side."""
-    return GroupSizes.of(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), "rows")
-
-
-def grouped_medians(
-    df: DataFrame, keys, values: Mapping[str, Column], sizes: GroupSizes | None = None
-) -> DataFrame:
+def grouped_medians(df: DataFrame, keys, values: Mapping[str, Column]) -> DataFrame:
     """``keys``, ``fund_count`` and the exact median of each of ``values``.
 
     ``values`` are counts of thousandths, not negative; the medians are rounded half up
     to three decimals. Nulls do not take part, and a group without values has the median
-    null. ``sizes`` are counted when not given.
+    null.
     """
-    keys = list(keys)
-    sizes = sizes or group_sizes(df, keys)
-    if sizes.largest <= SMALL_GROUP_ROWS:
-        return small_group_medians(df, keys, values)
-    return large_group_medians(df, keys, values, broadcast=sizes.groups <= BROADCAST_GROUPS)
-
-
-def small_group_medians(df: DataFrame, keys, values: Mapping[str, Column]) -> DataFrame:
-    """Medians by the built-in aggregate, which holds a group in one task."""
-    middles = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("fund_count"),
-        *[F.median(value).alias(name) for name, value in values.items()],
-    )
-    half_up = {n: F.floor(F.col(n) + F.lit(0.5)).cast("bigint") for n in values}
-    return middles.select(
-        *keys, "fund_count", *[thousandths_to_metric(v).alias(n) for n, v in half_up.items()]
-    )
-
-
-def large_group_medians(
-    df: DataFrame, keys, values: Mapping[str, Column], broadcast: bool = False
-) -> DataFrame:
-    """Medians located by bucket first, then ranked within it. ``broadcast`` the middle
-    buckets only when the number of groups is known to be small."""
-    names = list(values)
-    rows = df.select(
-        *keys,
-        *[F.coalesce(v.cast("bigint"), F.lit(MISSING)).alias(n) for n, v in values.items()],
-    )
-    located = locate_middle(rows, keys, names)
-    if broadcast:
-        located = F.broadcast(located)
-    ranked = rank_values(candidates(rows, located, keys, names), keys)
+    keys, names = list(keys), list(values)
+    counted = value_counts(df, keys, values)
+    ranked = rank_values(counted, locate_middle(counted, keys), keys)
     low_and_high = [
         F.min(
             F.when((F.col("measure") == i) & (F.col("reached") >= F.col(rank)), F.col("value"))
@@ -106,7 +45,8 @@ def large_group_medians(
         for i, name in enumerate(names)
         for rank in ("low", "high")
     ]
-    picked = ranked.groupBy(*keys).agg(F.max("group_rows").alias("fund_count"), *low_and_high)
+    rows = F.coalesce(F.max("group_rows"), F.lit(0)).alias("fund_count")
+    picked = ranked.groupBy(*keys).agg(rows, *low_and_high)
     return picked.select(*keys, "fund_count", *[_middle(name).alias(name) for name in names])
 
 
@@ -115,85 +55,52 @@ def bucket(value: Column) -> Column:
     return F.coalesce(F.floor(F.log1p(value) * F.lit(float(BUCKETS_PER_E_FOLD))), F.lit(MISSING))
 
 
-def locate_middle(rows: DataFrame, keys, names) -> DataFrame:
-    """One row per group: ``group_rows`` and, per measure ``i``, the ranks ``low_i`` and
-    ``high_i`` of the middle, the buckets ``first_i`` and ``last_i`` that hold them, and
-    the rows ``before_i`` the first of these."""
-    group = [*keys, "measure"]
-    measured = [part for i, name in enumerate(names) for part in (F.lit(i), F.col(name))]
-    bucketed = rows.select(
-        *keys, F.stack(F.lit(len(names)), *measured).alias("measure", "value")
-    ).withColumn("bucket", bucket(F.col("value")))
-    whole = Window.partitionBy(*group)
-    running = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    missing = F.when(F.col("bucket") == MISSING, F.col("rows")).otherwise(0)
-    middle = (
-        bucketed.groupBy(*group, "bucket")
+def value_counts(df: DataFrame, keys, values: Mapping[str, Column]) -> DataFrame:
+    """``keys``, ``measure`` (the position in ``values``), ``bucket``, ``value``, ``rows``."""
+    quoted = []
+    for i, value in enumerate(values.values()):
+        quoted += [F.lit(i), F.coalesce(value.cast("bigint"), F.lit(MISSING))]
+    long = df.select(*keys, F.stack(F.lit(len(values)), *quoted).alias("measure", "value"))
+    return (
+        long.withColumn("bucket", bucket(F.col("value")))
+        .groupBy(*keys, "measure", "bucket", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("reached", F.sum("rows").over(running))
+    )
+
+
+def locate_middle(counted: DataFrame, keys) -> DataFrame:
+    """The buckets that hold the middle ranks ``low`` and ``high`` of a group and measure,
+    with the rows ``before`` the bucket and the ``group_rows``."""
+    whole = Window.partitionBy(*keys, "measure")
+    running = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    missing = F.when(F.col("bucket") == MISSING, F.col("bucket_rows")).otherwise(0)
+    return (
+        counted.groupBy(*keys, "measure", "bucket")
+        .agg(F.sum("rows").alias("bucket_rows"))
+        .withColumn("reached", F.sum("bucket_rows").over(running))
         .withColumn("group_rows", F.max("reached").over(whole))
         .withColumn("missing", F.max(missing).over(whole))
         .withColumn("low", F.expr("missing + (group_rows - missing + 1) div 2"))
         .withColumn("high", F.expr("missing + (group_rows - missing) div 2 + 1"))
-        .withColumn("before", F.col("reached") - F.col("rows"))
+        .withColumn("before", F.col("reached") - F.col("bucket_rows"))
         .filter((F.col("reached") >= F.col("low")) & (F.col("before") < F.col("high")))
+        .select(*keys, "measure", "bucket", "low", "high", "before", "group_rows")
     )
-    columns = []
-    for i in range(len(names)):
-        mine = F.col("measure") == i
-        for label, aggregate, source in (
-            ("low", F.min, "low"),
-            ("high", F.min, "high"),
-            ("before", F.min, "before"),
-            ("first", F.min, "bucket"),
-            ("last", F.max, "bucket"),
-        ):
-            columns.append(aggregate(F.when(mine, F.col(source))).alias(f"{label}_{i}"))
-    return middle.groupBy(*keys).agg(F.max("group_rows").alias("group_rows"), *columns)
-
-
-def candidates(rows: DataFrame, located: DataFrame, keys, names) -> DataFrame:
-    """The values that share a bucket with the middle, counted per group and measure.
-
-    A row is joined with its group once; only the values that qualify become rows.
-    """
-    quoted = []
-    for i, name in enumerate(names):
-        quoted.append(
-            F.when(
-                bucket(F.col(name)).between(F.col(f"first_{i}"), F.col(f"last_{i}")),
-                F.struct(
-                    F.lit(i).alias("measure"),
-                    F.col(name).alias("value"),
-                    *[F.col(f"{c}_{i}").alias(c) for c in ("low", "high", "before")],
-                ),
-            )
-        )
-    joined = _join_on_group(rows, located, keys)
-    same = ("low", "high", "before", "group_rows")
-    return (
-        joined.select(*keys, "group_rows", F.inline(F.array_compact(F.array(*quoted))))
-        .groupBy(*keys, "measure", "value")
-        .agg(F.count(F.lit(1)).alias("rows"), *[F.min(c).alias(c) for c in same])
-    )
 
 
-def rank_values(counted: DataFrame, keys) -> DataFrame:
-    """The counted values with ``reached``, the rows of the group up to the value."""
-    by_value = Window.partitionBy(*keys, "measure").orderBy("value")
+def rank_values(counted: DataFrame, located: DataFrame, keys) -> DataFrame:
+    """The values of the middle buckets with ``reached``, the rows of the group up to them.
+
+    All columns are matched null-safe, which also keeps the optimizer from filtering one of
+    the two readers of ``counted`` and so from computing it twice.
+    """
+    shared = [*keys, "measure", "bucket"]
+    renamed = located.withColumnsRenamed({c: f"middle_{c}" for c in shared})
+    matches = [F.col(c).eqNullSafe(F.col(f"middle_{c}")) for c in shared]
+    candidates = counted.join(renamed, reduce(lambda a, b: a & b, matches))
+    by_value = Window.partitionBy(*shared).orderBy("value")
     running = F.sum("rows").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
-    return counted.withColumn("reached", F.col("before") + running)
-
-
-def _join_on_group(rows: DataFrame, located: DataFrame, keys) -> DataFrame:
-    """Join each row with its group; null keys match each other. Without keys there is
-    one group, and both sides carry the same constant."""
-    shared = list(keys) or ["one"]
-    if not keys:
-        rows, located = rows.withColumn("one", F.lit(0)), located.withColumn("one", F.lit(0))
-    renamed = located.withColumnsRenamed({c: f"group_{c}" for c in shared})
-    matches = [F.col(c).eqNullSafe(F.col(f"group_{c}")) for c in shared]
-    return rows.join(renamed, reduce(lambda a, b: a & b, matches))
+    return candidates.withColumn("reached", F.col("before") + running)
 
 
 def _middle(name: str) -> Column:

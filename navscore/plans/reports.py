@@ -19,7 +19,7 @@ from navscore.functions.parsing import percent_text
 from navscore.operators.bands import band_columns, band_labels, band_shares
 from navscore.operators.deviations import wide_deviations
 from navscore.operators.measures import ABS_EDGES, PARTS, REL_EDGES, all_measures, measures
-from navscore.operators.median import GroupSizes, grouped_medians
+from navscore.operators.median import grouped_medians
 from navscore.schemas import ALL_VENDORS, VENDORS
 
 KINDS = ("abs", "rel")
@@ -40,7 +40,7 @@ class Scope:
     def all_measures(self, summary: DataFrame) -> DataFrame:
         return all_measures(summary, self.keys, self.vendors, self.abs_edges, self.rel_edges)
 
-    def medians(self, summary: DataFrame, kinds=KINDS, sizes=None) -> DataFrame:
+    def medians(self, summary: DataFrame, kinds=KINDS) -> DataFrame:
         rounded = [f"{kind}_rounded" for kind in kinds]
         deviations = wide_deviations(summary, self.keys, self.vendors, only=rounded)
         values = {
@@ -48,7 +48,7 @@ class Scope:
             for code in self.vendors
             for kind in kinds
         }
-        return grouped_medians(deviations, self.keys, values, sizes)
+        return grouped_medians(deviations, self.keys, values)
 
 
 def _wide(source: DataFrame, scope: Scope, columns) -> DataFrame:
@@ -212,8 +212,7 @@ class Scores:
             return session.read.schema(frame.schema).parquet(target)
 
         self.measured = stored(scope.all_measures(summary), "measures")
-        sizes = GroupSizes.of(self.measured, "fund_count")
-        self.middles = stored(scope.medians(summary, sizes=sizes), "medians")
+        self.middles = stored(scope.medians(summary), "medians")
 
     def report(self, name: str) -> DataFrame:
         spec = REPORTS[name]

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navscore.operators.summary import build_summary, classify, restrict_to_list
+from navscore.operators.summary import build_summary, classify, in_days, restrict_to_list
 from navscore.plans.reports import COMMON_LABELS, REPORTS, Scope, Scores, display
 from navscore.schemas import ALL_VENDORS, GROUPINGS
 from navscore.sources import feeds, store
@@ -19,32 +19,48 @@ LOADERS = {
     "fund_classes": feeds.load_fund_classes,
     "class_names": feeds.load_class_names,
     "top_list": feeds.load_top_list,
+    "summary_text": feeds.load_summary_text,
 }
 
 
 def load_feeds(
-    spark: SparkSession, paths: Mapping[str, str], hm_layout: str = "tab", encoding: str = "utf-8"
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    hm_layout: str = "tab",
+    encodings: Mapping[str, str] | None = None,
 ) -> dict[str, feeds.Feed]:
-    """Load every feed that has a path; see ``LOADERS`` for the names."""
+    """Load every feed that has a path; see ``LOADERS`` for the names. ``encodings`` names
+    the feeds that are not UTF-8."""
     found = {}
     for name, path in paths.items():
         options = {"layout": hm_layout} if name == "hm" else {}
+        encoding = (encodings or {}).get(name, "utf-8")
         found[name] = LOADERS[name](feeds.read_lines(spark, path, encoding), **options)
     return found
 
 
+def write_rejects(loaded: Mapping[str, feeds.Feed], path: str) -> None:
+    """Write the rejected lines of each feed with their reasons, and the number of rows and
+    of rejected lines by reason (``lines_by_reason``, a null reason for rows)."""
+    root = path.rstrip("/")
+    for name, feed in loaded.items():
+        feed.rejected.write.mode("overwrite").parquet(f"{root}/{name}")
+    feeds.line_counts(loaded).write.mode("overwrite").parquet(f"{root}/lines_by_reason")
+
+
 def daily_summary(loaded: Mapping[str, feeds.Feed], days, vendors=ALL_VENDORS) -> DataFrame:
     """The summary of ``days``, restricted to the top list when that feed was loaded."""
-    summary = build_summary(
-        loaded["truth"].rows,
+    truth = loaded["truth"].rows
+    if "top_list" in loaded:
+        # before the vendor joins, so that a short list shrinks what they shuffle
+        truth = restrict_to_list(truth, loaded["top_list"].rows)
+    return build_summary(
+        truth,
         {code: loaded[code].rows for code in ("hm", "ant", "wind") if code in loaded},
         classify(loaded["fund_classes"].rows, loaded["class_names"].rows),
         vendors,
         days,
     )
-    if "top_list" in loaded:
-        summary = restrict_to_list(summary, loaded["top_list"].rows)
-    return summary
 
 
 def write_reports(summary: DataFrame, scope: Scope, work_path: str, csv_path: str) -> Scores:
@@ -66,11 +82,16 @@ def daily_run(
     csv_path: str,
     vendors=ALL_VENDORS,
     hm_layout: str = "tab",
+    encodings: Mapping[str, str] | None = None,
 ) -> Scores:
-    """Load the feeds, store the summary of ``days``, and report by type and day."""
-    loaded = load_feeds(spark, paths, hm_layout)
-    store.write_summary(daily_summary(loaded, days, vendors), store_path)
-    stored = store.read_summary(spark, store_path, days)
+    """Load the feeds, store the summary of ``days``, and report by type and day.
+
+    Rejected lines and counts go to ``rejects`` in the work folder.
+    """
+    loaded = load_feeds(spark, paths, hm_layout, encodings)
+    write_rejects(loaded, f"{work_path.rstrip('/')}/rejects")
+    store.write_summary(daily_summary(loaded, days, vendors), store_path, days)
+    stored = store.complete_rows(store.read_summary(spark, store_path, days), vendors)
     return write_reports(stored, Scope(GROUPINGS["day"], tuple(vendors)), work_path, csv_path)
 
 
@@ -83,6 +104,35 @@ def range_run(
     grouping: str = "week",
     vendors=ALL_VENDORS,
 ) -> Scores:
-    """Report a range of stored days by type (``week``) or as a whole (``all``)."""
+    """Report a range of stored days by type (``week``) or as a whole (``all``).
+
+    Only rows that hold every chosen vendor take part; the days that lack one are written to
+    ``incomplete_days`` in the work folder.
+    """
     stored = store.read_summary(spark, store_path, days)
-    return write_reports(stored, Scope(GROUPINGS[grouping], tuple(vendors)), work_path, csv_path)
+    left_out = store.incomplete_days(stored, vendors)
+    left_out.write.mode("overwrite").parquet(f"{work_path.rstrip('/')}/incomplete_days")
+    return write_reports(
+        store.complete_rows(stored, vendors),
+        Scope(GROUPINGS[grouping], tuple(vendors)),
+        work_path,
+        csv_path,
+    )
+
+
+def text_range_run(
+    spark: SparkSession,
+    path: str,
+    work_path: str,
+    csv_path: str,
+    days=None,
+    grouping: str = "week",
+    vendors=ALL_VENDORS,
+    encoding: str = "utf-8",
+) -> Scores:
+    """The reports of :func:`range_run` from the weekly summary text instead of the store."""
+    loaded = load_feeds(spark, {"summary_text": path}, encodings={"summary_text": encoding})
+    write_rejects(loaded, f"{work_path.rstrip('/')}/rejects")
+    rows = loaded["summary_text"].rows
+    rows = rows if days is None else rows.filter(in_days(days))
+    return write_reports(rows, Scope(GROUPINGS[grouping], tuple(vendors)), work_path, csv_path)

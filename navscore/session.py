@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -17,11 +16,13 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
+# Map status on the driver grows with map tasks times reduce partitions.
+MOST_PARTITIONS = 20_000
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to ``spark`` and return it."""
@@ -30,25 +31,31 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shuffle_partitions(input_bytes: int, cores: int) -> int:
-    """Shuffle partitions that hold about 128 MB each, and keep every core busy."""
-    return max(cores, -(-input_bytes // TARGET_PARTITION_BYTES))
+def shuffle_partitions(shuffled_bytes: int, cores: int) -> int:
+    """Shuffle partitions of about 128 MB of what the largest join shuffles.
+
+    At least one per core, so aggregations, which shuffle little, keep every core busy; AQE
+    merges what is too small. At most ``MOST_PARTITIONS``: beyond some 2.5 TB per shuffle the
+    partitions grow and spill instead of the driver's map status.
+    """
+    return min(max(cores, -(-shuffled_bytes // TARGET_PARTITION_BYTES)), max(cores, MOST_PARTITIONS))
 
 
 def build_session(
     app_name: str = "navscore",
     master: str | None = None,
-    input_bytes: int | None = None,
+    shuffled_bytes: int | None = None,
     cores: int = 8,
     settings: dict[str, str] | None = None,
 ) -> SparkSession:
-    """A session with the engine's settings; ``input_bytes`` sizes the shuffles."""
+    """A session with the engine's settings; ``shuffled_bytes`` (of the vendor joins, not of
+    the whole input) sizes the shuffles."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    if input_bytes is not None:
+    if shuffled_bytes is not None:
         builder = builder.config(
-            "spark.sql.shuffle.partitions", shuffle_partitions(input_bytes, cores)
+            "spark.sql.shuffle.partitions", shuffle_partitions(shuffled_bytes, cores)
         )
     for key, value in (settings or {}).items():
         builder = builder.config(key, value)
@@ -56,14 +63,9 @@ def build_session(
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder: on a cluster the
-    executors would not see it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="navscore-")
+    """A fresh path in the shared folder named by ``spark.checkpoint.dir``, or under the
+    warehouse folder where that is unset. Neither is a temporary folder of one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    )
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -131,3 +131,22 @@ def test_percent_number(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     found = [r[0] for r in frame.select(P.percent_number(frame.t)).collect()]
     assert found == [1.23, -0.4, 1.23, 2.0, None]
+
+
+def test_no_line_is_lost_in_any_encoding(spark, tmp_path):
+    lines = ["股票型", "", "a\u0001b", " 债券 ", "last"]
+    path = tmp_path / "gbk.txt"
+    path.write_bytes("\n".join(lines).encode("gbk"))
+    with pytest.raises(ValueError, match="javaCharsets"):
+        S.read_lines(spark, str(path), "GBK")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        got = [r.value for r in S.read_lines(spark, str(path), "GBK").collect()]
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    assert got == lines
+    (tmp_path / "latin.txt").write_bytes("é\n\nx\u0001y".encode("latin-1"))
+    read = S.read_lines(spark, str(tmp_path / "latin.txt"), "latin-1")
+    assert [r.value for r in read.collect()] == ["é", "", "x\u0001y"]
+    with pytest.raises(ValueError, match="UTF-16"):
+        S.read_lines(spark, str(path), "UTF-16LE")

@@ -63,3 +63,43 @@ def test_list_run_without_wind(spark, paths, tmp_path):
     (row,) = csv_rows(spark, at[2], "r3_abs_median")
     assert row["基金类型"] == "债券型"
     assert not [c for c in row.asDict() if c.startswith("万得")]
+
+
+def test_every_line_of_a_run_is_a_row_or_a_reject(spark, paths, tmp_path, write_lines):
+    bad = ["short", "", truth_line(f5="n/a"), truth_line(f3="")]
+    good = [truth_line(f0="000001.OF"), truth_line(f0="000002.OF")]
+    some = dict(paths, truth=write_lines(good + bad, name="mixed.txt"))
+    at = [str(tmp_path / n) for n in ("store", "work", "csv")]
+    runs.daily_run(spark, some, FIRST, *at)
+    counts = spark.read.parquet(f"{at[1]}/rejects/lines_by_reason").collect()
+    for name, path in some.items():
+        with open(path, encoding="utf-8") as file:
+            total = len(file.read().splitlines())
+        assert sum(r["lines"] for r in counts if r["feed"] == name) == total
+    rejected = spark.read.parquet(f"{at[1]}/rejects/truth").collect()
+    assert sorted(r["line"] for r in rejected) == sorted(bad)
+
+
+def test_encoding_of_one_feed(spark, paths, tmp_path, write_lines):
+    ant = open(paths["ant"], encoding="utf-8").read().splitlines()
+    some = dict(paths, ant=write_lines([x.replace("\tn\t", "\t基金\t") for x in ant], "gbk", "gbk.txt"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        loaded = runs.load_feeds(spark, some, encodings={"ant": "GBK"})
+        assert {r.fund_name for r in loaded["ant"].rows.collect()} == {"基金"}
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+
+
+def test_weekly_run_from_text_equals_the_run_from_the_store(spark, paths, tmp_path):
+    everyone = {k: v for k, v in paths.items() if k != "top_list"}
+    at = {n: str(tmp_path / n) for n in ("store", "w1", "d1", "w2", "week", "w3", "text")}
+    runs.daily_run(spark, everyone, [FIRST, SECOND], at["store"], at["w1"], at["d1"])
+    runs.range_run(spark, at["store"], (FIRST, SECOND), at["w2"], at["week"])
+    stored = store.read_summary(spark, at["store"])
+    lines = str(tmp_path / "lines")
+    stored.selectExpr("concat_ws('\t', *) AS value").write.text(lines)
+    runs.text_range_run(spark, lines, at["w3"], at["text"], (FIRST, SECOND))
+    for name in REPORTS:
+        assert csv_rows(spark, at["text"], name) == csv_rows(spark, at["week"], name), name
+    assert spark.read.parquet(f"{at['w2']}/incomplete_days").count() == 0
