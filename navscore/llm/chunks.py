@@ -12,17 +12,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-MEMO = 600_000
+MEMO = 400_000
 SEGMENT = 1 << 20
 
 _WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _AFTER_SPACE = [" " + c for c in _WHITE]
+_ASCII_AFTER_SPACE = [pair for pair in _AFTER_SPACE if pair.isascii()]
 _SAFE = re.compile(r"(?<=\S) | (?=\S)")
 
 
 def spaced(text: str) -> list[str]:
     """Pieces of a text; every piece but the first has lost the space it starts with."""
-    if text.endswith(" ") or any(pair in text for pair in _AFTER_SPACE):
+    pairs = _ASCII_AFTER_SPACE if text.isascii() else _AFTER_SPACE
+    if text.endswith(" ") or any(pair in text for pair in pairs):
         return _SAFE.split(text)
     return text.split(" ")
 

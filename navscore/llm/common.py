@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +90,19 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch whose texts have together about ``size`` bytes.
+
+    A longer text stands alone. Working on slices bounds the Python objects of a task
+    whatever the number of rows in a batch.
+    """
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(ends):
+        done = ends[row - 1] if row else 0
+        stop = max(row + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield batch.slice(row, stop - row)
+        row = stop

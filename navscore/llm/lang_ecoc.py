@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = batch.column("t")
             names, scores, close = [], [], []
             for low in range(0, len(texts), 256):
-                some = [t.as_py() for t in texts[low : low + 256]]
+                some = texts[low : low + 256].to_pylist()
                 spoken = [bool(model and _LETTER.search(t)) for t in some]
                 said = [t for t, yes in zip(some, spoken) if yes]
                 found = iter(())

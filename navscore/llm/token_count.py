@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navscore.llm.chunks import Memo, segments, spaced
-from navscore.llm.common import text_of
+from navscore.llm.common import byte_slices, text_of
 
 LIMIT = 1024
-SLICE = 1 << 21  # characters of text whose pieces are looked up together
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -42,38 +41,27 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
-class RankMerger:
-    """Counts the symbols that byte-pair merging leaves of each of many byte strings."""
+class PairTable:
+    """Ranks of pairs of symbols, and the symbol each rank makes."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        vocab = spec["model"]["vocab"]
-        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.width = max(vocab.values()) + 1
-        self.of_byte = np.array([vocab[s] for s in byte_symbols()], dtype=np.int64)
-        keys = np.array([vocab[a] * self.width + vocab[b] for a, b in merges], dtype=np.int64)
-        made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
+    def __init__(self, pairs: list[tuple[int, int, int]], made: list[int], width: int):
+        """``pairs`` are (left, right, rank); ``made`` is by rank."""
+        table = np.array(pairs, dtype=np.int64).reshape(-1, 3)
+        keys = table[:, 0] * width + table[:, 1]
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
-        self.never = len(merges)
-        self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.split = regex.compile(PATTERN).findall
+        self.keys, self.ranks, self.width = keys[order], table[order, 2], width
+        self.made, self.never = np.array(made, np.int64), len(made)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], self.never)
 
-    def counts(self, items: list[bytes]) -> np.ndarray:
-        """Symbols left of each item; items are not empty."""
-        lengths = np.fromiter(map(len, items), np.int64, len(items))
-        counts = lengths.copy()
-        if not len(items):
-            return counts
-        symbol = self.of_byte[np.frombuffer(b"".join(items), np.uint8)]
-        owner = np.repeat(np.arange(len(items)), lengths)
-        last = np.r_[owner[1:] != owner[:-1], True]
+    def merge(self, symbol: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of symbols left of each sequence and its first one; none is empty."""
+        counts, firsts = lengths.copy(), np.zeros(len(lengths), np.int64)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        last = np.r_[owner[1:] != owner[:-1], np.ones(min(len(owner), 1), bool)]
         rank = np.full(len(symbol), self.never)
         inner = np.flatnonzero(~last)
         rank[inner] = self.rank(symbol[inner], symbol[inner + 1])
@@ -82,13 +70,13 @@ class RankMerger:
             sizes = np.diff(np.r_[starts, len(owner)])
             lowest = np.minimum.reduceat(rank, starts)
             open_ = lowest < self.never
-            counts[owner[starts[~open_]]] = sizes[~open_]
+            done = starts[~open_]
+            counts[owner[done]], firsts[owner[done]] = sizes[~open_], symbol[done]
             stays = np.repeat(open_, sizes)
             symbol, owner, last, rank = symbol[stays], owner[stays], last[stays], rank[stays]
             if not len(symbol):
                 break
-            chosen = rank == np.repeat(lowest[open_], sizes[open_])
-            place = np.flatnonzero(chosen)
+            place = np.flatnonzero(rank == np.repeat(lowest[open_], sizes[open_]))
             # equal neighbours ("aaa"): in a run of overlapping pairs every second one merges
             run = np.flatnonzero(np.r_[True, np.diff(place) > 1])
             offset = np.arange(len(place)) - np.repeat(run, np.diff(np.r_[run, len(place)]))
@@ -100,7 +88,7 @@ class RankMerger:
             dirty = np.zeros(len(symbol), bool)
             dirty[place] = True
             before = place[place > 0] - 1
-            # the symbol before may itself have been merged away: mark the one that now stands there
+            # the symbol before may itself be merged away: mark the one that now stands there
             dirty[np.where(stays[before], before, before - 1)] = True
             symbol, owner, last, rank, dirty = (
                 x[stays] for x in (symbol, owner, last, rank, dirty)
@@ -108,7 +96,31 @@ class RankMerger:
             rank[last] = self.never
             again = np.flatnonzero(dirty & ~last)
             rank[again] = self.rank(symbol[again], symbol[again + 1])
-        return counts
+        return counts, firsts
+
+
+class RankMerger:
+    """Counts the symbols that byte-pair merging leaves of each of many byte strings."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocab = spec["model"]["vocab"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.of_byte = np.array([vocab[s] for s in byte_symbols()], dtype=np.int64)
+        self.table = PairTable(
+            [(vocab[a], vocab[b], rank) for rank, (a, b) in enumerate(merges)],
+            [vocab[a + b] for a, b in merges],
+            max(vocab.values()) + 1,
+        )
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.split = regex.compile(PATTERN).findall
+
+    def counts(self, items: list[bytes]) -> np.ndarray:
+        """Symbols left of each item; items are not empty."""
+        lengths = np.fromiter(map(len, items), np.int64, len(items))
+        symbols = self.of_byte[np.frombuffer(b"".join(items), np.uint8)]
+        return self.table.merge(symbols, lengths)[0]
 
     def pieces(self, pieces: list[str]) -> list[int]:
         """Tokens of each piece, a piece being cut into pre-tokens first."""
@@ -161,32 +173,19 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
-def slices(texts: list[str], size: int = SLICE) -> Iterator[list[str]]:
-    """Consecutive texts, together about ``size`` characters; a longer text stands alone."""
-    held, total = [], 0
-    for text in texts:
-        if held and total + len(text) > size:
-            yield held
-            held, total = [], 0
-        held.append(text)
-        total += len(text)
-    if held:
-        yield held
-
-
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens)``, one row per document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(vocabulary)
         for batch in batches:
-            texts = batch.column("t")
-            sizes = pc.binary_length(texts).cast(pa.int64())
-            found = [n for part in slices(texts.to_pylist()) for n in tokens.slice(part)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), sizes, pa.array(found, pa.int64())],
-                ["doc_id", "n_bytes", "n_tokens"],
-            )
+            for rows in byte_slices(batch, 1):
+                texts = rows.column("t")
+                sizes = pc.binary_length(texts).cast(pa.int64())
+                found = pa.array(tokens.slice(texts.to_pylist()), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), sizes, found], ["doc_id", "n_bytes", "n_tokens"]
+                )
 
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")
