@@ -69,7 +69,8 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, order: Column)
     """About ``per_label`` rows of each label, chosen by a hash and so the same every time.
 
     One count per label sets the rate at which its rows are taken; no row is shuffled. The
-    expected size is ``per_label``, whatever the table holds, and at most twice that is kept.
+    expected size is ``per_label`` whatever the table holds. Rows with equal ``order`` come
+    together, so the caller makes rows distinct before or after.
     """
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:

@@ -139,7 +139,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                         [batch.column("lang").slice(row, 1), pa.array([found.tobytes()])], ["lang", "x"]
                     )
 
-    got = chosen.select("lang", "text").mapInArrow(count, "lang string, x binary").collect()
+    # repeated rows of the sample are one; after that its size is bounded
+    found = chosen.select("lang", "text").mapInArrow(count, "lang string, x binary")
+    got = found.distinct().orderBy("lang", "x").collect()
     if not got:
         return None
     x = np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in got])

@@ -12,7 +12,8 @@ by a hash of the id; the driver receives their features only. Scoring maps over
 without a shuffle.
 
 Defined cases: null and empty texts are scored on zero features; without labels every score
-is 0.5; a repeated ``doc_id`` gives one training row; repeated documents are scored alike;
+is 0.5; a repeated ``doc_id`` gives one training
+row, with the lower label where they differ; repeated documents are scored alike;
 a null ``doc_id`` has no label; ``score`` keeps every column of its input.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from navscore.llm.common import fold, labelled_sample
+from navscore.llm.common import byte_slices, fold, labelled_sample
 
 SAMPLE = 4000
 THRESHOLD = 0.7
@@ -221,8 +222,8 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from a bounded sample of ``labels`` (``doc_id``, ``quality``)."""
-    known = labels.where("doc_id is not null and quality in (0, 1)").select(
-        "doc_id", F.col("quality").cast("int").alias("quality")
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(
+        F.min("quality").cast("int").alias("quality")
     )
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = labelled_sample(known, "quality", sample, F.col("doc_id"))
@@ -262,11 +263,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch.column(where)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(model.score(x), pa.float64())],
-                [*batch.schema.names, "quality_score"],
-            )
+            for rows in byte_slices(batch, where):
+                texts = rows.column(where).to_pylist()
+                x = np.array(list(map(features, texts))).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, pa.array(model.score(x), pa.float64())],
+                    [*rows.schema.names, "quality_score"],
+                )
 
     return docs.mapInArrow(run, docs.select("*").schema.add("quality_score", DoubleType()))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navscore.llm.common import stored, text_of
+from navscore.llm.common import byte_slices, stored, text_of
 from navscore.llm.components import components
 
 SHINGLE = 3
@@ -83,18 +83,29 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("t").cast(pa.binary())
-        found = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"]
-        )
+        for rows in byte_slices(batch, 3):
+            texts = rows.column("t").cast(pa.binary()).to_pylist()
+            found = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns[:3], pa.array(found.view(np.int64))], ["doc_id", "k1", "k2", "fp"]
+            )
+
+
+KEY = ["k1", "k2"]
+
+
+def _row_keys() -> list:
+    """Two hashes of id and text, never null: rows that share them are repeated rows."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return [F.xxhash64(name, text_of()), F.xxhash64(text_of(), name)]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``, one row per document; ``fp`` holds the bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).mapInArrow(
-        _fingerprints, "doc_id long, fp long"
-    )
+    """``(doc_id, k1, k2, fp)``, one row per document; ``fp`` holds the bits as a signed long."""
+    k1, k2 = _row_keys()
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text_of().alias("t")
+    ).mapInArrow(_fingerprints, "doc_id long, k1 long, k2 long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -255,8 +266,8 @@ def near_pairs(codes: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp, component_id)``, one row per document."""
+def _components(docs: DataFrame) -> DataFrame:
+    """The fingerprint rows with ``root`` and ``component_id``."""
     rows = stored(fingerprints(docs), "fingerprints")
     codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "codes")
     roots = components(near_pairs(codes.select("fp"))).withColumnRenamed("node", "fp")
@@ -264,22 +275,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "fp", "first_doc", F.coalesce("root", "fp").alias("root")
     )
     lowest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    ids = named.join(lowest, "root").select("fp", "component_id")
-    return rows.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+    ids = named.join(lowest, "root").select("fp", "root", "component_id")
+    return rows.join(ids, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fp, component_id)``, one row per document."""
+    return _components(docs).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of ``docs``.
 
-    It is the one that names the component; of repeated rows with that id, the first by text.
-    Documents without an id cannot be told apart by it, one of each distinct text that no
-    document with an id is linked to stays.
+    It is the one that names the component; among several rows with that id (or, in a
+    component without any id, among all) the one whose text has the smallest hash.
     """
-    named = near_duplicates(docs).where("doc_id = component_id or component_id is null")
-    names = named.select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp")).distinct()
-    joined = docs.join(names, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")))
-    keyed = joined.select(*[docs[c] for c in docs.columns], "__doc", "__fp")
-    return keyed.dropDuplicates(["__doc"]).select(*docs.columns)
+    winners = (
+        _components(docs).where("doc_id <=> component_id")
+        .groupBy("root").agg(F.min(F.struct(*KEY)).alias("key")).select("key.*").toDF("__k1", "__k2")
+    )
+    k1, k2 = _row_keys()
+    # repeated rows combine on the map side, before any of them is moved
+    rows = docs.withColumns({"__k1": k1, "__k2": k2}).dropDuplicates(["__k1", "__k2"])
+    return rows.join(winners, ["__k1", "__k2"], "left_semi").select(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,152 @@
+import numpy as np
+import pytest
+
+from navscore.llm import html_blocks as H
+from navscore.llm import lang_ecoc as L
+from navscore.llm import quality_gam as Q
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+# -- quality
+
+
+def test_held_out_quality(spark):
+    rows = Q.op2_quality_classifier(spark, SF_DIR)
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    assert rows.count() == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
+    got = rows.where("held_out").join(labels, "doc_id").collect()
+    assert len(got) > 50 and all(0 <= r.score <= 1 for r in got)
+    assert np.mean([r.predicted == r.quality for r in got]) > 0.95
+    assert all(r.predicted == int(r.score >= 0.7) for r in got)
+
+
+def test_labels_of_the_held_out_fold_do_not_matter(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    flipped = labels.selectExpr(
+        "doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, 1 - quality, quality) AS quality"
+    )
+    flipped.write.parquet(f"{tmp_path}/labels.parquet")
+    a = {tuple(r) for r in Q.op2_quality_classifier(spark, SF_DIR).collect()}
+    assert a == {tuple(r) for r in Q.op2_quality_classifier(spark, str(tmp_path)).collect()}
+
+
+def test_additive_model_learns_a_curve_and_a_pair():
+    rng = np.random.default_rng(0)
+    x = rng.uniform(-1, 1, (4000, 3))
+    y = ((np.abs(x[:, 0]) > 0.5) ^ ((x[:, 1] > 0) & (x[:, 2] > 0))).astype(float)
+    model = Q.fit(x[:3000], y[:3000], np.ones(3000))
+    assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
+    assert (2, 1) in model.pairs
+    one = Q.fit(x[:10], np.ones(10), np.ones(10))
+    assert (one.score(x) > 0.9).all()
+
+
+def test_quality_edge_cases(spark):
+    docs = spark.createDataFrame(
+        [(1, None, "a"), (2, "", "b"), (None, "x " * 200_000, None), (2, "", "b")],
+        "doc_id long, text string, score string",
+    )
+    labels = spark.createDataFrame(
+        [(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int"
+    )
+    for model in (Q.train(docs, labels), Q.train(docs.limit(0), labels), Q.train(docs, labels.limit(0))):
+        rows = Q.score(docs, model).collect()
+        assert len(rows) == 4 and all(0 <= r.quality_score <= 1 for r in rows)
+        assert sorted(r.score or "" for r in rows) == ["", "a", "b", "b"]
+    assert Q.score(docs.limit(0), Q.Model()).collect() == []
+    with pytest.raises(ValueError):
+        Q.score(docs.selectExpr("*", "1 AS quality_score"), Q.Model())
+
+
+# -- language
+
+
+def test_held_out_language(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang")
+    got = L.op6_language_id(spark, SF_DIR).where("held_out").join(docs, "doc_id").collect()
+    assert len(got) > 100
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+
+
+def test_codes_correct_errors():
+    for n in (2, 3, 4, 5, 9, 30):
+        code = L.codewords(n)
+        apart = min(
+            (code[a] != code[b]).sum() for a in range(n) for b in range(a)
+        )
+        assert len(code) == n and apart >= (1 if n == 2 else 2 if n == 3 else 4)
+    model = L.Model(list("abcd"), L.codewords(4), np.zeros((L.SLOTS + 1, 7)), np.ones(7))
+    for k in range(4):
+        for wrong in range(7):  # one bit is far on the wrong side
+            margins = model.code[k] * 4.0
+            margins[wrong] = -margins[wrong]
+            model.weights[-1] = margins
+            best, score, close = model.predict(np.zeros((1, L.SLOTS)))
+            assert best[0] == k and score[0] > 0.9 and not close[0]
+
+
+def test_language_edge_cases(spark):
+    docs = spark.createDataFrame(
+        [(1, None, "en"), (2, "123 !?", "en"), (3, "some words", None), (None, "é", "fr"), (4, "a" * 3_000_000, "en")],
+        "doc_id long, text string, lang string",
+    )
+    docs = docs.withColumn("score", docs["doc_id"])
+    model = L.train(docs)
+    assert model.languages == ["en", "fr"]
+    rows = {r.doc_id: r for r in L.predict(docs, model).collect()}
+    assert rows[1].lang_pred == rows[2].lang_pred == "und" and rows[1].score == 0
+    assert rows[3].lang_pred in ("en", "fr") and 0 <= rows[3].score <= 1
+    assert {r.lang_pred for r in L.predict(docs, None).collect()} == {"und"}
+    only = L.train(docs.where("lang = 'fr'"))
+    assert {r.lang_pred for r in L.predict(docs.where("doc_id = 3"), only).collect()} == {"fr"}
+    assert L.train(docs.limit(0)) is None
+    assert L.predict(docs.limit(0), model).collect() == []
+
+
+# -- pages
+
+PARAGRAPH = "This is a paragraph of the article, and it is long enough to be seen as text by itself."
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (None, ""),
+        ("", ""),
+        ("just words", "just words"),
+        ("<p>One &amp; two&nbsp;&#233;&copy", "One & two é©"),
+        (f"<nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>Of.<p>{PARAGRAPH}</article>"
+         "<footer>&copy; site</footer>", f"Title\n\nOf.\n\n{PARAGRAPH}"),
+        (f"<div class='sidebar'>{PARAGRAPH}</div><main><p>Text <b>bold</b>\n  more<br>line</p></main>",
+         "Text bold more line"),
+        (f"<article><script>if (a < b) '</p>'</script><style>p {{}}</style><p>{PARAGRAPH}</p>"
+         f"<div class=\"ad\">Buy</div><section id='comments'><p>{PARAGRAPH}</p></section><p>End.</p></article>",
+         f"{PARAGRAPH}\n\nEnd."),
+        (f"<body><div>{PARAGRAPH}</div><div>short</div><div>{PARAGRAPH}</div><ul><li><a href=a>Link one</a>"
+         "</li></ul><div>odd</div></body>", f"{PARAGRAPH}\n\nshort\n\n{PARAGRAPH}"),
+        ("<article><p>First <!-- <p>hidden</p> --> part<p>Cut off in a ta<di", "First part\n\nCut off in a ta"),
+        ("<article><form><p>Name</p><input></form><p>A</p><aside>x</aside><p>B</p></article>", "A\n\nB"),
+    ],
+)
+def test_main_text(html, text):
+    assert H.main_text(html) == text
+
+
+def test_pages_table(spark):
+    pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
+    got = {r.page_id: r for r in H.op7_html_extraction(spark, SF_DIR).collect()}
+    assert len(got) == pages.count()
+    for r in got.values():
+        assert r.n_chars == len(r.text) > 0 and "<" not in r.text and "©" not in r.text
+
+
+def test_pages_edge_cases(spark):
+    rows = [(None, None, None), (1, "u", "<p>x</p>" * 50_000), (1, "u", "<p>x</p>"), (2, "v", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = pages.withColumn("text", pages["url"])
+    got = sorted((r.n_chars for r in H.extract(pages).collect()))
+    assert got == [0, 0, 1, 50_000 * 3 - 2]
+    assert H.extract(pages.limit(0)).collect() == []
