@@ -9,22 +9,24 @@ with one trigger form a phrase; a phrase is about ``REACH / 2`` starts long, and
 becomes a parse of ``bytes / (REACH / 2)`` rows.
 
 *Dictionary.* A phrase is known by the digest of its context (all bytes its windows cover)
-and filed under the digest of the bytes that every window of it shares to the right of the
-trigger. A phrase without a partner under that second digest cannot repeat. Contexts that
+and filed under its core: the digest of the bytes that every window of it shares to the
+right of the trigger. A phrase without a partner under that second digest cannot repeat. Contexts that
 occur twice repeat as a whole, whatever their number: one dictionary entry stands for all
 copies, so highly repetitive text costs one row per phrase and no comparison.
 
 *Suffixes.* What is left are entries that share their right part but differ somewhere, at
-the edges of repeats. For one representative of each, every window (a suffix of a
-dictionary phrase followed by the parse) is put in order with all others at depth
-``LENGTH``; neighbours that are equal repeat. Order beyond that depth has no influence on
-the result, so windows are grouped by a 128-bit digest instead of building global suffix
+the edges of repeats. One representative of each is cut into cells of ``CELL`` window
+starts, counted from the trigger, and the cells are filed in the same way, under the bytes
+that all windows of a cell share. Only for cells that are still open every single window (a
+suffix of a dictionary phrase followed by the parse) is put next to its equals at depth
+``LENGTH``. Order beyond that depth, or between different windows, has no influence on the
+result, so windows are grouped by a 128-bit digest instead of building global suffix
 arrays, which would pass whole suffixes between tasks.
 
 Counts combine on the map side and joins are sort-merge joins whose large partitions can be
 split, so a passage in a third of all documents neither meets in one task nor forms pairs.
-Rows refer to a document by ``(doc_id, hash of its text)``; repeated rows share it, count
-twice, and all get the same result.
+Rows refer to a text by two hashes of it: documents with equal texts count each, and share
+the result.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` bytes never match; very
 long texts are parsed in overlapping segments; a null ``doc_id`` is kept; other columns are
@@ -42,15 +44,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navscore.llm.common import release, stored, text_of
+from navscore.llm.common import byte_slices, release, stored, text_of
 
 LENGTH = 400
 REACH = 128
 GRAM = 8
 SEGMENT = 1 << 21  # window starts that are parsed together
 
-_PARSE = "doc_id long, text_key long, first int, starts int, copies int, right long, context long"
-_WINDOWS = "doc_id long, text_key long, first int, d1 long, d2 long"
+CELL = 16
+
+_PARSE = (
+    "k1 long, k2 long, first int, starts int, trigger int, unit int, copies int, "
+    "core long, context long"
+)
+_WINDOWS = "k1 long, k2 long, first int, d1 long, d2 long"
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -100,7 +107,8 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int,
 
 
 def phrases(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns (text number, first start, starts, copies, right digest, context digest)."""
+    """Columns (text number, first start, starts, trigger, starts of one copy, copies, digest
+    of the right part, digest of the context)."""
     right = LENGTH - REACH + 1
     digest = xxhash.xxh3_64_intdigest
     for data, parts in _segments(texts):
@@ -133,126 +141,145 @@ def phrases(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
             number[part[run]],
             (first - begin[part] + offset[part])[run],
             np.add.reduceat(starts, run),
+            (trigger - begin[part] + offset[part])[run],
+            starts[run],
             np.diff(np.r_[run, len(first)]),
             shared[run].view(np.int64),
             context[run].view(np.int64),
         )
 
 
-def _slices(batch: pa.RecordBatch, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch whose texts ("t") have together about ``size`` bytes."""
-    ends = np.cumsum([len(t) for t in batch.column("t").cast(pa.binary()).to_pylist()])
-    row = 0
-    while row < len(ends):
-        done = ends[row - 1] if row else 0
-        stop = max(row + 1, int(np.searchsorted(ends, done + size)))
-        yield batch.slice(row, stop - row)
-        row = stop
+def _rows(names: str, given: pa.RecordBatch, number, columns) -> pa.RecordBatch:
+    """A batch of ``columns`` behind the document that each row belongs to."""
+    at = pa.array(number)
+    arrays = [given.column("k1").take(at), given.column("k2").take(at)]
+    fields = [field.split() for field in names.split(", ")]
+    for (_, kind), column in zip(fields[2:], columns):
+        arrays.append(pa.array(column, pa.int32() if kind == "int" else pa.int64()))
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _PARSE.split(", ")]
     for batch in batches:
-        for rows in _slices(batch):
+        for rows in byte_slices(batch, 2, 1 << 23):
             texts = rows.column("t").cast(pa.binary()).to_pylist()
-            for number, first, starts, copies, right, context in phrases(texts):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id").take(pa.array(number)),
-                        rows.column("text_key").take(pa.array(number)),
-                        pa.array(first.astype(np.int32)),
-                        pa.array(starts.astype(np.int32)),
-                        pa.array(copies.astype(np.int32)),
-                        pa.array(right),
-                        pa.array(context),
-                    ],
-                    names,
-                )
+            for number, *columns in phrases(texts):
+                yield _rows(_PARSE, rows, number, columns)
+
+
+def _marked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, bytes, list[np.ndarray]]]:
+    """Each document of a batch with its text and some thousand of its marks at a time."""
+    for row in range(batch.num_rows):
+        text = batch.column("t")[row].as_py().encode()
+        marks = batch.column("marks")[row].values
+        for low in range(0, len(marks), 4096):
+            some = marks.slice(low, 4096)
+            yield batch.slice(row, 1), text, [
+                some.field(name).to_numpy() for name in ("first", "unit", "trigger")
+            ]
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marked phrases cut into cells, counted from their trigger."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        for given, text, (first, unit, trigger) in _marked(batch):
+            nearest, furthest = (trigger - first - unit + 1) // CELL, (trigger - first) // CELL
+            count = furthest - nearest + 1
+            phrase = np.repeat(np.arange(len(first)), count)
+            cell = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            end = trigger[phrase] - (nearest[phrase] + cell) * CELL  # last start of a whole cell
+            begin = end - CELL + 1
+            low = np.maximum(begin, first[phrase])
+            high = np.minimum(end, first[phrase] + unit[phrase] - 1)
+            core = [digest(text[a : b + LENGTH], 1) for a, b in zip(end.tolist(), begin.tolist())]
+            whole = [digest(text[a : b + LENGTH]) for a, b in zip(low.tolist(), high.tolist())]
+            size = high - low + 1
+            yield _rows(
+                _PARSE,
+                given,
+                np.zeros(len(low), np.int32),
+                [
+                    low,
+                    size,
+                    low,
+                    size,
+                    np.ones(len(low), np.int32),
+                    np.array(core, np.uint64).view(np.int64),
+                    np.array(whole, np.uint64).view(np.int64),
+                ],
+            )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of every window of the phrases listed for each document."""
+    """Digest of every window of the marked cells."""
     digest = xxhash.xxh3_128_digest
-    names = [c.split()[0] for c in _WINDOWS.split(", ")]
     for batch in batches:
-        for row in range(batch.num_rows):
-            text = batch.column("t")[row].as_py().encode()
-            marks = batch.column("marks")[row].values
-            firsts = marks.field("first").to_numpy()
-            counts = marks.field("starts").to_numpy()
-            for low in range(0, len(firsts), 4096):
-                at = np.concatenate(
-                    [np.arange(a, a + n) for a, n in zip(firsts[low : low + 4096], counts[low : low + 4096])]
-                )
-                both = np.frombuffer(
-                    b"".join([digest(text[a : a + LENGTH]) for a in at.tolist()]), "<i8"
-                ).reshape(-1, 2)
-                same = pa.array(np.zeros(len(at), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(row, 1).take(same),
-                        batch.column("text_key").slice(row, 1).take(same),
-                        pa.array(at.astype(np.int32)),
-                        pa.array(both[:, 0]),
-                        pa.array(both[:, 1]),
-                    ],
-                    names,
-                )
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = text_of()
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("t")
-    )
+        for given, text, (first, unit, _) in _marked(batch):
+            at = np.repeat(first, unit) + (
+                np.arange(unit.sum()) - np.repeat(np.cumsum(unit) - unit, unit)
+            )
+            both = np.frombuffer(
+                b"".join([digest(text[a : a + LENGTH]) for a in at.tolist()]), "<i8"
+            ).reshape(-1, 2)
+            yield _rows(_WINDOWS, given, np.zeros(len(at), np.int32), [at, both[:, 0], both[:, 1]])
 
 
-def _same_document(left: DataFrame, right: DataFrame):
-    return left["text_key"].eqNullSafe(right["text_key"]) & left["doc_id"].eqNullSafe(
-        right["doc_id"]
-    )
+KEY = ["k1", "k2"]
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, spans)``: runs of window starts that repeat, as (first, starts)."""
-    spark = docs.sparkSession
-    texts = _keyed(docs)
-    parse = texts.where(F.octet_length("t") >= LENGTH).mapInArrow(_parse, _PARSE)
-    shared = (
-        parse.groupBy("right").agg(F.sum("copies").alias("n")).where("n > 1").select("right")
-    )
-    filed = stored(parse.join(shared, "right"), "filed")
-    release(spark)
+def _keys(text) -> list:
+    """Two hashes of a text; documents with the same text share everything here."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(LENGTH), text).alias("k2")]
+
+
+def _resolve(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """What repeats as a whole, and what is open: representatives of entries that share their
+    core with another entry, as marks per document."""
+    shared = rows.groupBy("core").agg(F.sum("copies").alias("n")).where("n > 1").select("core")
+    filed = stored(rows.join(shared, "core"), label)
+    release(rows.sparkSession)
     entries = stored(
-        filed.groupBy("right", "context").agg(
+        filed.groupBy("core", "context").agg(
             F.sum("copies").alias("n"),
-            F.min(F.struct("doc_id", "text_key", "first", "starts")).alias("entry"),
+            F.min(F.struct(*KEY, "first", "unit", "trigger")).alias("entry"),
         ),
-        "entries",
-    )
-    mixed = entries.groupBy("right").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    open_ = entries.join(mixed.select("right"), "right").select("n", "entry.*")
-    whole = filed.join(entries.where("n > 1").select("right", "context"), ["right", "context"])
-    whole = whole.select("doc_id", "text_key", "first", "starts")
-
-    marks = open_.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("first", "starts")).alias("marks")
-    )
-    listed = texts.join(marks, _same_document(texts, marks)).select(
-        marks["doc_id"], marks["text_key"], "t", "marks"
+        f"{label}-entries",
     )
-    # repeated rows of a document list the same places; a place counts once
-    windows = stored(
-        listed.dropDuplicates(["doc_id", "text_key"]).mapInArrow(_windows, _WINDOWS), "windows"
+    whole = filed.join(entries.where("n > 1").select("core", "context"), ["core", "context"])
+    mixed = entries.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    marks = entries.join(mixed.select("core"), "core").select("entry.*")
+    return (
+        whole.select(*KEY, "first", "starts"),
+        marks.groupBy(*KEY).agg(
+            F.collect_list(F.struct("first", "unit", "trigger")).alias("marks")
+        ),
     )
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """``(k1, k2, spans)`` per text: runs of window starts that repeat, as (first, starts)."""
+    spark = docs.sparkSession
+    rows = docs.select(text_of().alias("t")).where(F.octet_length("t") >= LENGTH)
+    rows = rows.select(*_keys(F.col("t")), "t")
+    # copies are merged on the map side, so a text in a third of all rows moves once per task
+    texts = rows.groupBy(*KEY).agg(F.first("t").alias("t"))
+    phrases_, marks = _resolve(rows.mapInArrow(_parse, _PARSE), "phrases")
+    cells = stored(texts.join(marks, KEY).mapInArrow(_cells, _PARSE), "cells")
+    release(spark)
+    cells_, marks = _resolve(cells, "cells-filed")
+    windows = stored(texts.join(marks, KEY).mapInArrow(_windows, _WINDOWS), "windows")
     release(spark)
     twice = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     single = windows.join(twice.select("d1", "d2"), ["d1", "d2"]).select(
-        "doc_id", "text_key", "first", F.lit(1).alias("starts")
-    )
-    return whole.unionByName(single).groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("first", "starts")).alias("spans")
+        *KEY, "first", F.lit(1).alias("starts")
     )
+    # copies of a text list the same runs
+    found = phrases_.unionByName(cells_).unionByName(single)
+    spans = found.groupBy(*KEY).agg(F.collect_set(F.struct("first", "starts")).alias("spans"))
+    spans = stored(spans, "spans")
+    release(spark)
+    return spans
 
 
 def cover(first: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,15 +322,11 @@ def dedup(docs: DataFrame) -> DataFrame:
             arrays[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    found = repeats(docs).select(
-        F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")
+    k1, k2 = _keys(text_of())
+    found = repeats(docs).toDF("__k1", "__k2", "__spans")
+    joined = docs.join(found, (F.col("__k1") == k1) & (F.col("__k2") == k2), "left").select(
+        *[docs[c] for c in columns], "__spans"
     )
-    joined = docs.join(
-        found,
-        F.col("__doc").eqNullSafe(docs["doc_id"].cast("long"))
-        & (F.col("__key") == F.xxhash64(text_of())),
-        "left",
-    ).select(*[docs[c] for c in columns], "__spans")
     result = joined.mapInArrow(cut, docs.schema)
     if "n_chars" in columns:
         result = result.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -333,11 +356,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What the repeated 400-byte strings leave of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    keyed = _keyed(docs)
-    spans = repeats(docs)
-    rows = keyed.join(spans, _same_document(keyed, spans), "left").select(
-        keyed["doc_id"], "t", "spans"
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
+    rows = rows.select("doc_id", "t", *_keys(F.col("t")))
+    rows = rows.join(repeats(docs), KEY, "left").select("doc_id", "t", "spans")
     return rows.mapInArrow(
         _digest,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
