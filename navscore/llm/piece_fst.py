@@ -28,7 +28,6 @@ import zlib
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
-from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -36,135 +35,234 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navscore.llm.chunks import Memo
-from navscore.llm.common import text_of
-from navscore.llm.token_count import slices
+from navscore.llm.common import byte_slices
+from navscore.llm.token_count import PairTable
 
 ESCAPE = "▁"
-SEGMENT = 1 << 20
-PAIRS = 1_000_000  # remembered neighbours; emptied when full
+PAIRS = 500_000  # remembered neighbours; emptied when full
+ROWS = 256  # documents that are decoded together
 
 _CUTS = re.compile(f"{ESCAPE}+[^{ESCAPE}]*")
 
 
+class PairFilter:
+    """Which piece may follow which: answers for arrays of pairs, computed once per pair."""
+
+    def __init__(self, solve, size: int = PAIRS):
+        self.solve, self.size = solve, size
+        self.keys, self.allowed = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.recent, self.recent_allowed = self.keys, self.allowed
+
+    def _find(self, keys, allowed, wanted) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return keys[at] == wanted, allowed[at]
+
+    def _merge(self, keys, allowed, new, new_allowed) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys := np.r_[keys, new], kind="stable")
+        return keys[order], np.r_[allowed, new_allowed][order]
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        known, answer = self._find(self.keys, self.allowed, wanted)
+        for _ in range(2):
+            rest = np.flatnonzero(~known)
+            if not len(rest):
+                break
+            found, value = self._find(self.recent, self.recent_allowed, wanted[rest])
+            answer[rest[found]], known[rest[found]] = value[found], True
+            new = np.unique(wanted[rest[~found]])
+            if not len(new):
+                break
+            solved = self.solve(new)
+            self.recent, self.recent_allowed = self._merge(
+                self.recent, self.recent_allowed, new, solved
+            )
+        if len(self.recent) > 1 << 14:
+            if len(self.keys) > self.size:
+                self.keys, self.allowed = self.keys[:0], self.allowed[:0]
+            self.keys, self.allowed = self._merge(
+                self.keys, self.allowed, self.recent, self.recent_allowed
+            )
+            self.recent, self.recent_allowed = self.keys[:0], self.allowed[:0]
+        return answer
+
+
 class PieceTransducer:
     def __init__(self, path: str, kind: str = "bpe"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = model.vocab_size()
         self.kind = kind
-        self.text = [model.id_to_piece(i) for i in range(model.vocab_size())]
-        self.score = [model.get_score(i) for i in range(model.vocab_size())]
-        bytes_ = [i for i in range(model.vocab_size()) if model.is_byte(i)]
+        self.text = [model.id_to_piece(i) for i in range(size)]
+        self.score = [model.get_score(i) for i in range(size)]
+        bytes_ = [i for i in range(size) if model.is_byte(i)]
         self.byte_ids = {int(self.text[i][1:-1], 16): i for i in bytes_}
         special = set(bytes_) | {
             i
-            for i in range(model.vocab_size())
+            for i in range(size)
             if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
         }
         self.id = {t: i for i, t in enumerate(self.text) if i not in special}
+        if not all(c in self.id for piece in self.id for c in piece):
+            raise ValueError("a character of a piece is no piece itself")
         self.unknown = model.unk_id()
-        self.trie: dict = {}
-        for piece, i in self.id.items():
-            node = self.trie
-            for character in piece:
-                node = node.setdefault(character, {})
-            node[None] = i
-        self.pair: dict[tuple[int, int], bool] = {}
+        self._compile()
         # what each id adds to a decoded text
         self.output = [t.replace(ESCAPE, " ").encode() for t in self.text]
         for i in special:
             self.output[i] = b""
         for byte, i in self.byte_ids.items():
             self.output[i] = bytes([byte])
-        self.memo = Memo(lambda new: [self._packed(ESCAPE + p) for p in new])
+        self.memo = Memo(lambda new: self._packed([ESCAPE + p for p in new]))
+
+    def _compile(self) -> None:
+        """The trie as arrays: sorted (state, character) keys, next states, emitted pieces."""
+        alphabet = {c: k + 1 for k, c in enumerate(sorted({c for p in self.id for c in p}))}
+        self.character = np.zeros(0x110000, np.int32)  # 0: in no piece
+        for c, k in alphabet.items():
+            self.character[ord(c)] = k
+        self.width = len(alphabet) + 1
+        arcs: dict[int, int] = {}
+        emits = [-1]
+        for piece, i in self.id.items():
+            state = 0
+            for c in piece:
+                key = state * self.width + alphabet[c]
+                if key not in arcs:
+                    arcs[key] = len(emits)
+                    emits.append(-1)
+                state = arcs[key]
+            emits[state] = i
+        self.arc = np.array(sorted(arcs), np.int64)
+        self.next = np.array([arcs[k] for k in self.arc.tolist()], np.int64)
+        self.emit = np.array(emits, np.int64)
+        # ids beyond the vocabulary: the start of a text, and a character of the fallback
+        self.start, self.raw = len(self.text), len(self.text) + 1
+        self.states = len(self.text) + 2
+        self.pairs = PairFilter(self._follows)
+        self.weight = np.array([*(-x for x in self.score), 0.0, 1e6])
+        # merging, the better score first: which two pieces make which
+        best = sorted(self.id.values(), key=lambda i: -self.score[i])
+        merges = [
+            (self.id[t[:k]], self.id[t[k:]], rank)
+            for rank, t in enumerate(self.text[i] for i in best)
+            for k in range(1, len(t))
+            if t[:k] in self.id and t[k:] in self.id
+        ]
+        self.merges = PairTable(merges, best, self.states)
 
     # -- encoding
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging the best neighbours first makes of a short text."""
-        parts = list(text)
-        while True:
-            best, at = -inf, -1
-            for i in range(len(parts) - 1):
-                found = self.id.get(parts[i] + parts[i + 1])
-                if found is not None and self.score[found] > best:
-                    best, at = self.score[found], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def follows(self, left: int, right: int) -> bool:
-        """Whether merging keeps the two pieces apart and whole."""
-        known = self.pair.get((left, right))
-        if known is None:
-            a, b = self.text[left], self.text[right]
-            known = self.merged(a + b) == [a, b]
-            if len(self.pair) >= PAIRS:
-                self.pair.clear()
-            self.pair[left, right] = known
-        return known
+    def _follows(self, keys: np.ndarray) -> np.ndarray:
+        """Whether merging keeps two neighbours apart and whole (or the second one whole,
+        where nothing that could merge stands before it)."""
+        left, right = np.divmod(keys, self.states)
+        texts = [
+            (self.text[a] if a < self.start else "") + self.text[b]
+            for a, b in zip(left.tolist(), right.tolist())
+        ]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        symbols = np.fromiter(map(self.id.__getitem__, "".join(texts)), np.int64, lengths.sum())
+        counts, firsts = self.merges.merge(symbols, lengths)
+        alone = left >= self.start
+        return (counts == np.where(alone, 1, 2)) & (firsts == np.where(alone, right, left))
 
     def fallback(self, character: str) -> list[int]:
         if not self.byte_ids:
             return [self.unknown]
         return [self.byte_ids[b] for b in character.encode()]
 
-    def shortest(self, text: str) -> list[int]:
-        """Ids on the shortest path through the lattice of an escaped text."""
-        size = len(text)
-        cost = [inf] * (size + 1)
-        back: list = [None] * (size + 1)  # (position before, id or None for the fallback)
-        cost[0] = 0.0
-        merges = self.kind == "bpe"
-        pair = self.pair
-        for start in range(size):
-            here = cost[start]
-            if here == inf:
-                continue
-            previous = back[start][1] if back[start] else None
-            node, end = self.trie, start
-            single = False
-            while end < size:
-                node = node.get(text[end])
-                if node is None:
+    def shortest(self, texts: list[str]) -> list[bytes]:
+        """Ids on the shortest path through the lattice of each escaped text, little-endian.
+
+        The texts are composed with the transducer together, one start position after the
+        other; ``last`` and ``back`` hold the last piece and where it starts.
+        """
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        longest = int(lengths.max())
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        chars = np.zeros((len(texts), longest), np.int64)
+        chars[np.arange(longest) < lengths[:, None]] = self.character[points]
+        cost = np.full((len(texts), longest + 1), np.inf)
+        last = np.full((len(texts), longest + 1), self.start)
+        back = np.zeros((len(texts), longest + 1), np.int64)
+        cost[:, 0] = 0
+        for begin in range(longest):
+            rows = np.flatnonzero((lengths > begin) & (cost[:, begin] < np.inf))
+            raw = rows[chars[rows, begin] == 0]
+            self._relax(cost, last, back, raw, begin, begin + 1, np.full(len(raw), self.raw))
+            state = np.zeros(len(rows), np.int64)
+            for end in range(begin + 1, longest + 1):
+                key = state * self.width + chars[rows, end - 1]
+                at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+                on = self.arc[at] == key
+                rows, state = rows[on], self.next[at[on]]
+                if not len(rows):
                     break
-                end += 1
-                piece = node.get(None)
-                if piece is None:
-                    continue
-                single = single or end == start + 1
-                if merges:
-                    if previous is None:
-                        allowed = start != 0 or self._whole(piece)
-                    else:
-                        allowed = pair.get((previous, piece))
-                        if allowed is None:
-                            allowed = self.follows(previous, piece)
-                    if allowed and here < cost[end]:
-                        cost[end], back[end] = here, (start, piece)
-                elif here - self.score[piece] < cost[end]:
-                    cost[end], back[end] = here - self.score[piece], (start, piece)
-            if not single:
-                weight = here if merges else here + 1e6
-                if weight < cost[start + 1]:
-                    cost[start + 1], back[start + 1] = weight, (start, None)
-        ids: list[int] = []
-        at = size
-        while at:
-            before, piece = back[at]
-            ids[:0] = self.fallback(text[before]) if piece is None else [piece]
-            at = before
+                piece = self.emit[state]
+                full = piece >= 0
+                self._relax(cost, last, back, rows[full], begin, end, piece[full])
+                on = lengths[rows] > end
+                rows, state = rows[on], state[on]
+        return self._paths(texts, lengths, last, back)
+
+    def _relax(self, cost, last, back, rows, begin, end, piece) -> None:
+        """Arcs that emit ``piece`` between two positions of some rows."""
+        if not len(rows):
+            return
+        weight = cost[rows, begin]
+        if self.kind == "bpe":
+            checked = piece < self.start
+            allowed = np.ones(len(rows), bool)
+            pair = last[rows[checked], begin] * self.states + piece[checked]
+            allowed[checked] = self.pairs.of(pair)
+            weight = np.where(allowed, weight, np.inf)
+        else:
+            weight = weight + self.weight[piece]
+        better = weight < cost[rows, end]
+        rows = rows[better]
+        cost[rows, end], last[rows, end], back[rows, end] = weight[better], piece[better], begin
+
+    def _paths(self, texts, lengths, last, back) -> list[bytes]:
+        """The pieces on the way back from the end of each text, in order."""
+        rows, at, steps = np.arange(len(texts)), lengths.copy(), []
+        while len(rows):
+            piece = last[rows, at]
+            at = back[rows, at]
+            steps.append((rows, piece, at))
+            on = at > 0
+            rows, at = rows[on], at[on]
+        rows, piece, at = (np.concatenate([s[k] for s in steps]) for k in range(3))
+        order = np.lexsort((at, rows))
+        rows, piece, at = rows[order], piece[order], at[order]
+        data = piece.astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(rows, minlength=len(texts)))
+        ids = [data[4 * a : 4 * b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+        for row in np.unique(rows[piece == self.raw]).tolist():
+            low, high = int(ends[row - 1]) if row else 0, int(ends[row])
+            path = []
+            for k in range(low, high):
+                character = texts[row][at[k]]
+                path += self.fallback(character) if piece[k] == self.raw else [int(piece[k])]
+            ids[row] = np.array(path, "<u4").tobytes()
         return ids
 
-    def _whole(self, piece: int) -> bool:
-        known = self.pair.get((-1, piece))
-        if known is None:
-            known = self.pair[-1, piece] = self.merged(self.text[piece]) == [self.text[piece]]
-        return known
-
-    def _packed(self, text: str) -> bytes:
-        cuts = [text] if ESCAPE not in text[1:] else _CUTS.findall(text)
-        return np.array([i for c in cuts for i in self.shortest(c)], dtype="<u4").tobytes()
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of cuts, those of like length together."""
+        out: list[bytes] = [b""] * len(texts)
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        low = 0
+        while low < len(order):
+            high = low + 1
+            width = len(texts[order[low]]) + 8
+            while high < len(order) and len(texts[order[high]]) <= width and (high - low) < 1 << 14:
+                high += 1
+            for i, ids in zip(order[low:high], self.shortest([texts[i] for i in order[low:high]])):
+                out[i] = ids
+            low = high
+        return out
 
     def _pieces(self, text: str) -> list[str]:
         """Cuts of a text without the escaped space each starts with."""
@@ -181,8 +279,7 @@ class PieceTransducer:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that encoding put in front goes again."""
-        output = self.output
-        text = b"".join([output[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -201,19 +298,15 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(model, kind)
         for batch in batches:
-            texts = [t or "" for t in batch.column(where).to_pylist()]
-            row = 0
-            for part in slices(texts):
-                ids = fst.encode(part)
+            for given in byte_slices(batch, where):
+                ids = fst.encode([t or "" for t in given.column(where).to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)]) // 4
                 lists = pa.ListArray.from_arrays(
                     pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 )
-                given = batch.slice(row, len(part))
                 yield pa.RecordBatch.from_arrays(
                     [*given.columns, lists], [*batch.schema.names, "piece_ids"]
                 )
-                row += len(part)
 
     from pyspark.sql.types import ArrayType, IntegerType
 
@@ -228,22 +321,28 @@ def decode(rows: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(model, kind)
         for batch in batches:
-            texts = [fst.decode(ids.as_py() or []) for ids in batch.column(where)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"]
-            )
+            for low in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(low, ROWS)
+                values, offsets = _values(rows.column(where))
+                texts = [fst.decode(values[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "decoded"]
+                )
 
     from pyspark.sql.types import StringType
 
     return rows.mapInArrow(run, rows.select("*").schema.add("decoded", StringType()))
 
 
+def _values(lists: pa.ListArray) -> tuple[np.ndarray, list[int]]:
+    """The ids of all lists and the offsets between which each list's are; null is empty."""
+    return lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().tolist()
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column("piece_ids")
-        offsets = lists.offsets.to_numpy()
-        values = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        data = memoryview(values).cast("B")
+        values, offsets = _values(batch.column("piece_ids"))
+        data = memoryview(values.astype("<u4", copy=False)).cast("B")
         sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])]
         digests, same = [], []
         for text, decoded in zip(batch.column("text"), batch.column("decoded")):
