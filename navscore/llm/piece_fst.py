@@ -88,33 +88,45 @@ class PairFilter:
         return answer
 
 
-class PieceTransducer:
-    def __init__(self, path: str, kind: str = "bpe"):
+class PieceOutput:
+    """What each id adds to a decoded text."""
+
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.vocab_size()
+        self.text = [model.id_to_piece(i) for i in range(model.vocab_size())]
+        self.output = [t.replace(ESCAPE, " ").encode() for t in self.text]
+        self.byte_ids: dict[int, int] = {}
+        self.special: set[int] = set()
+        for i, piece in enumerate(self.text):
+            if model.is_byte(i):
+                byte = int(piece[1:-1], 16)
+                self.byte_ids[byte], self.output[i] = i, bytes([byte])
+            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+                self.output[i] = b""
+            else:
+                continue
+            self.special.add(i)
+        self.score = [model.get_score(i) for i in range(len(self.text))]
+        self.unknown = model.unk_id()
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; the space that encoding put in front goes again."""
+        text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
+
+class PieceTransducer(PieceOutput):
+    """The transducer compiled from a model file; ``kind`` is ``bpe`` or ``unigram``."""
+
+    def __init__(self, path: str, kind: str = "bpe"):
+        super().__init__(path)
         self.kind = kind
-        self.text = [model.id_to_piece(i) for i in range(size)]
-        self.score = [model.get_score(i) for i in range(size)]
-        bytes_ = [i for i in range(size) if model.is_byte(i)]
-        self.byte_ids = {int(self.text[i][1:-1], 16): i for i in bytes_}
-        special = set(bytes_) | {
-            i
-            for i in range(size)
-            if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
-        }
-        self.id = {t: i for i, t in enumerate(self.text) if i not in special}
+        self.id = {t: i for i, t in enumerate(self.text) if i not in self.special}
         if not all(c in self.id for piece in self.id for c in piece):
             raise ValueError("a character of a piece is no piece itself")
-        self.unknown = model.unk_id()
         self._compile()
-        # what each id adds to a decoded text
-        self.output = [t.replace(ESCAPE, " ").encode() for t in self.text]
-        for i in special:
-            self.output[i] = b""
-        for byte, i in self.byte_ids.items():
-            self.output[i] = bytes([byte])
         self.memo = Memo(lambda new: self._packed([ESCAPE + p for p in new]))
 
     def _compile(self) -> None:
@@ -153,8 +165,6 @@ class PieceTransducer:
         ]
         self.merges = PairTable(merges, best, self.states)
 
-    # -- encoding
-
     def _follows(self, keys: np.ndarray) -> np.ndarray:
         """Whether merging keeps two neighbours apart and whole (or the second one whole,
         where nothing that could merge stands before it)."""
@@ -275,13 +285,6 @@ class PieceTransducer:
         cut = [self._pieces(t) if t else [] for t in texts]
         return [b"".join(ids) for ids in self.memo.of(cut)]
 
-    # -- decoding
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; the space that encoding put in front goes again."""
-        text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
 
 @cache
 def transducer(path: str, kind: str = "bpe") -> PieceTransducer:
@@ -289,6 +292,12 @@ def transducer(path: str, kind: str = "bpe") -> PieceTransducer:
     return PieceTransducer(path, kind)
 
 
+@cache
+def outputs(path: str) -> PieceOutput:
+    """One decoder for each worker process and model."""
+    return PieceOutput(path)
+
+
 def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     """``docs`` with its columns and ``piece_ids array<int>``."""
     if "piece_ids" in docs.columns:
@@ -314,17 +323,17 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
+def decode(rows: DataFrame, model: str) -> DataFrame:
     """``rows`` with ``decoded``, the text of its ``piece_ids``."""
     where = rows.columns.index("piece_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = transducer(model, kind)
+        pieces = outputs(model)
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(low, ROWS)
                 values, offsets = _values(rows.column(where))
-                texts = [fst.decode(values[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
+                texts = [pieces.decode(values[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "decoded"]
                 )
