@@ -16,19 +16,22 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from navscore.llm.chunks import Memo, segments, spaced
-from navscore.llm.common import scratch, text_of
-from navscore.llm.token_count import slices
+from navscore.llm.common import byte_slices, scratch, text_of
+from navscore.llm.token_count import PATTERN, byte_symbols
 
 END = 2
+MEMO = 800_000  # pieces a worker remembers, some 200 MB
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 # Settings of the ORC writer.
 LAYOUT = {
@@ -42,20 +45,58 @@ LAYOUT = {
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; equal pieces are encoded once."""
+    """Ids of whole texts by the tokenizers library; equal pre-tokens are encoded once.
+
+    A new piece is cut into the pre-tokens of the library's pattern. Those of letters are
+    mostly known from other pieces, the others go to the library's model one by one, written
+    in its symbols for bytes.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         added = self.library.get_added_tokens_decoder().values()
         self.specials = [token.content for token in added]
-        self.inner = Memo(lambda new: self._encode([" " + p for p in new]))
+        self.split = regex.compile(PATTERN).findall
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.inner = Memo(self._pieces, MEMO)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _token(self, token: str) -> bytes:
+        """Ids of one pre-token."""
+        if token.isascii() and token.isprintable():
+            symbols = token.replace(" ", self.symbols[32])
+        else:
+            symbols = token.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of new pieces, each of which has lost its space."""
+        known, fresh, encode = self.inner.known, {}, self._token
+        out = []
+        for piece in pieces:
+            spaced_ = " " + piece
+            if piece.isalpha() and piece.isascii():
+                tokens = (spaced_,)
+            else:
+                tokens = self.split(spaced_)
+            parts = []
+            for token in tokens:
+                ids = fresh.get(token)
+                if ids is None:
+                    ids = known.get(token[1:]) if token[0] == " " else None
+                    if ids is None:
+                        ids = encode(token)
+                    fresh[token] = ids
+                parts.append(ids)
+            out.append(parts[0] if len(parts) == 1 else b"".join(parts))
+        return out
 
     def slice(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -92,18 +133,17 @@ def write(docs: DataFrame, vocabulary: str, path: str, end: int = END) -> None:
         from pyspark import TaskContext
 
         library = encoder(vocabulary)
-        part, start, row = TaskContext.get().partitionId(), 0, 0
+        part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            row = 0
-            for texts in slices(batch.column("t").to_pylist()):
-                ids = [x + tail for x in library.slice(texts)]
+            for rows in byte_slices(batch, 1):
+                ids = [x + tail for x in library.slice(rows.column("t").to_pylist())]
                 lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 ends = np.cumsum(lengths)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 offsets = pa.array(np.r_[0, ends].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(row, len(ids)),
+                        rows.column("doc_id"),
                         pa.array(np.full(len(ids), part, np.int32)),
                         pa.array(start + ends - lengths),
                         pa.array(lengths),
@@ -112,7 +152,6 @@ def write(docs: DataFrame, vocabulary: str, path: str, end: int = END) -> None:
                     ["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
                 start += int(ends[-1])
-                row += len(ids)
 
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
