@@ -25,14 +25,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from navscore.llm.chunks import Memo
 from navscore.llm.common import byte_slices
@@ -298,13 +298,15 @@ def outputs(path: str) -> PieceOutput:
     return PieceOutput(path)
 
 
-def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
-    """``docs`` with its columns and ``piece_ids array<int>``."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoder(docs: DataFrame, model: str, kind: str) -> Callable[[Batches], Batches]:
     if "piece_ids" in docs.columns:
         raise ValueError("the input has a column piece_ids already")
     where = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         fst = transducer(model, kind)
         for batch in batches:
             for given in byte_slices(batch, where):
@@ -317,19 +319,14 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
                     [*given.columns, lists], [*batch.schema.names, "piece_ids"]
                 )
 
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    schema = docs.select("*").schema.add("piece_ids", ArrayType(IntegerType()))
-    return docs.mapInArrow(run, schema)
+    return run
 
 
-def decode(rows: DataFrame, model: str) -> DataFrame:
-    """``rows`` with ``decoded``, the text of its ``piece_ids``."""
-    where = rows.columns.index("piece_ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoder(model: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         pieces = outputs(model)
         for batch in batches:
+            where = batch.schema.get_field_index("piece_ids")
             for low in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(low, ROWS)
                 values, offsets = _values(rows.column(where))
@@ -338,9 +335,25 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
                     [*rows.columns, pa.array(texts, pa.string())], [*rows.schema.names, "decoded"]
                 )
 
-    from pyspark.sql.types import StringType
+    return run
+
 
-    return rows.mapInArrow(run, rows.select("*").schema.add("decoded", StringType()))
+def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
+    """``docs`` with its columns and ``piece_ids array<int>``."""
+    schema = docs.select("*").schema.add("piece_ids", ArrayType(IntegerType()))
+    return docs.mapInArrow(_encoder(docs, model, kind), schema)
+
+
+def decode(rows: DataFrame, model: str) -> DataFrame:
+    """``rows`` with ``decoded``, the text of its ``piece_ids``."""
+    return rows.mapInArrow(_decoder(model), rows.select("*").schema.add("decoded", StringType()))
+
+
+def encode_and_decode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
+    """Both in one pass, so a task needs one Python worker."""
+    there, back = _encoder(docs, model, kind), _decoder(model)
+    schema = docs.select("*").schema.add("piece_ids", ArrayType(IntegerType()))
+    return docs.mapInArrow(lambda batches: back(there(batches)), schema.add("decoded", StringType()))
 
 
 def _values(lists: pa.ListArray) -> tuple[np.ndarray, list[int]]:
@@ -350,7 +363,7 @@ def _values(lists: pa.ListArray) -> tuple[np.ndarray, list[int]]:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values, offsets = _values(batch.column("piece_ids"))
+        values, offsets = _values(batch.column(batch.schema.get_field_index("piece_ids")))
         data = memoryview(values.astype("<u4", copy=False)).cast("B")
         sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])]
         digests, same = [], []
@@ -376,7 +389,8 @@ def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return decode(encode(docs, model), model).mapInArrow(
-        _digests,
+    there, back = _encoder(docs, model, "bpe"), _decoder(model)
+    return docs.mapInArrow(
+        lambda batches: _digests(back(there(batches))),
         "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean",
     )
