@@ -284,22 +284,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _components(docs).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of ``docs``.
-
-    It is the one that names the component; among several rows with that id (or, in a
-    component without any id, among all) the one whose text has the smallest hash.
-    """
-    winners = (
-        _components(docs).where("doc_id <=> component_id")
-        .groupBy("root").agg(F.min(F.struct(*KEY)).alias("key")).select("key.*").toDF("__k1", "__k2")
-    )
-    k1, k2 = _row_keys()
-    # repeated rows combine on the map side, before any of them is moved
-    rows = docs.withColumns({"__k1": k1, "__k2": k2}).dropDuplicates(["__k1", "__k2"])
-    return rows.join(winners, ["__k1", "__k2"], "left_semi").select(*docs.columns)
-
-
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
