@@ -75,16 +75,18 @@ def exact_sum(count: Column) -> Column:
 
 
 def exact_square_sum(count: Column) -> Column:
-    """The sum of squares of whole numbers, exact in any order of rows.
+    """The sum of squares of whole numbers below 2 ** 47, exact in any order of rows.
 
-    A number is ``a * 2 ** 16 + b``; the sums of ``a * a``, ``a * b`` and ``b * b`` are longs.
+    A number is ``a * 2 ** 16 + b``; ``a * a``, ``a * b`` and ``b * b`` are summed in two halves
+    each. They stay in range for 2 ** 39 rows of numbers up to 2 ** 40, and for 2 ** 25 rows of
+    the largest numbers.
     """
     whole = count.cast("bigint")
     a, b = F.shiftright(whole, 16), whole.bitwiseAND(F.lit((1 << 16) - 1))
     return (
-        F.sum(a * a).cast(WIDE) * F.lit(1 << 32).cast(WIDE)
-        + F.sum(a * b).cast(WIDE) * F.lit(1 << 17).cast(WIDE)
-        + F.sum(b * b).cast(WIDE)
+        exact_sum(a * a) * F.lit(1 << 32).cast(WIDE)
+        + exact_sum(a * b) * F.lit(1 << 17).cast(WIDE)
+        + exact_sum(b * b)
     )
 
 
@@ -99,38 +101,63 @@ def ratio_parts(ratio: Column) -> Column:
 
 
 def exact_ratio_sum(ratio: Column) -> Column:
-    """The sum of ratios in parts of ``RATIO_PARTS``, exact in any order of rows."""
+    """The sum of ratios in parts of ``RATIO_PARTS``, exact in any order of rows.
+
+    Whole parts and fractions are each summed in two halves: in range for 2 ** 39 rows of ratios
+    up to 2 ** 48.
+    """
     split = ratio_parts(ratio)
     return (
-        F.sum(split["whole"]).cast(WIDE) * F.lit(RATIO_PARTS).cast(WIDE)
-        + F.sum(split["parts"]).cast(WIDE)
+        exact_sum(split["whole"]) * F.lit(RATIO_PARTS).cast(WIDE)
+        + exact_sum(split["parts"])
     )
 
 
 def std_thousandths(count: Column, total: Column, squares: Column) -> Column:
     """Population standard deviation of whole numbers, rounded half up to a whole number.
 
-    With the exact ``v = count * squares - total ** 2`` the deviation is ``sqrt(v) / count``.
-    A double gives the nearest whole number up to one; which of the neighbours is right is
-    decided by comparing ``4 * v`` with ``((2 * k + 1) * count) ** 2`` as whole numbers. All of
-    them fit 38 digits while ``count`` times the largest value stays below 10 ** 18.
+    With ``q`` the mean without its fraction, ``r = total - q * count`` and the exact
+    ``s = squares - 2 * q * total + q * q * count`` (the squares of what lies above ``q``) the
+    deviation is ``sqrt(s / count - (r / count) ** 2)``. A double gives the nearest whole number
+    up to one; which of the neighbours is right is decided by comparing
+    ``4 * s - (2 * k + 1) ** 2 * count`` with ``4 * r ** 2 / count`` rounded up, as whole numbers.
+    All of them fit 38 digits while ``squares`` stays below 2 * 10 ** 37.
     """
-    n = count.cast(WIDE)
-    v = n * squares - total * total
-    guess = F.floor(F.sqrt(v.cast("double")) / count.cast("double") + F.lit(0.5)).cast("bigint")
-
-    def decide(pair: Column) -> Column:
-        k, four_v = pair["k"], pair["v"] * F.lit(4).cast(WIDE)
-        above = (F.lit(2) * k + 1).cast(WIDE) * pair["n"]
-        below = (F.lit(2) * k - 1).cast(WIDE) * pair["n"]
+    def wide(number: int) -> Column:
+        return F.lit(number).cast(WIDE)
+
+    def quotient(a: Column, b: Column) -> Column:
+        return F.floor(F.try_divide(a - a % b, b)).cast(WIDE)
+
+    def let(fields: dict[str, Column], body) -> Column:
+        row = F.struct(*[value.alias(name) for name, value in fields.items()])
+        return F.get(F.transform(F.array(row), body), F.lit(0))
+
+    def shifted(g: Column) -> Column:
+        n, q, total = g["n"], quotient(g["total"], g["n"]), g["total"]
+        return let({"n": n, "q": q, "total": total, "squares": g["squares"]}, centred)
+
+    def centred(g: Column) -> Column:
+        n, q, total = g["n"], g["q"], g["total"]
+        r = total - q * n
+        s = g["squares"] - wide(2) * q * total + q * q * n
+        limit = quotient(wide(4) * r * r + n - wide(1), n)
+        share = r.cast("double") / n.cast("double")
+        variance = F.greatest(s.cast("double") / n.cast("double") - share * share, F.lit(0.0))
+        k = F.floor(F.sqrt(variance) + F.lit(0.5)).cast("bigint")
+        return let({"n": n, "s": s, "limit": limit, "k": k}, decide)
+
+    def decide(g: Column) -> Column:
+        k, four_s = g["k"], g["s"] * wide(4)
+        above, below = (F.lit(2) * k + 1).cast(WIDE), (F.lit(2) * k - 1).cast(WIDE)
         return (
-            F.when(four_v >= above * above, k + 1)
-            .when((k > 0) & (four_v < below * below), k - 1)
+            F.when(four_s - above * above * g["n"] >= g["limit"], k + 1)
+            .when((k > 0) & (four_s - below * below * g["n"] < g["limit"]), k - 1)
             .otherwise(k)
         )
 
-    pair = F.array(F.struct(guess.alias("k"), v.alias("v"), n.alias("n")))
-    return F.when(count > 0, F.get(F.transform(pair, decide), F.lit(0)))
+    group = {"n": F.when(count > 0, count).cast(WIDE), "total": total, "squares": squares}
+    return F.when(count > 0, let(group, shifted))
 
 
 def std_metric(thousandths: Column) -> Column:

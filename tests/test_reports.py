@@ -178,6 +178,27 @@ def test_sums_and_deviations_against_whole_numbers(spark):
         assert r["std"] == exact_std(values)
 
 
+def test_sums_beyond_the_range_of_one_long(spark):
+    rows = 12_000_000  # fractions of almost 10 ** 12 parts fill a long after 9.2 million
+    ratio = F.when(F.col("id") < 3, F.lit(2.0**62)).otherwise(F.lit(0.9375))
+    found = spark.range(rows).select(D.exact_ratio_sum(ratio).alias("total")).collect()[0]
+    assert int(found.total) == 3 * 2**62 * 10**12 + (rows - 3) * 937_500_000_000
+
+
+def test_deviation_of_large_values(spark):
+    values = [(i * 7919 % 100003) * 10**9 + i for i in range(200_000)]
+    assert len(values) ** 2 * max(values) ** 2 > 10**38
+    x = F.pmod(F.col("id") * 7919, F.lit(100003)) * F.lit(10**9) + F.col("id")
+    found = spark.range(len(values)).select(x.cast("double").alias("x")).agg(
+        D.exact_square_sum(F.col("x")).alias("squares"),
+        D.std_thousandths(
+            F.count("x"), D.exact_sum(F.col("x")), D.exact_square_sum(F.col("x"))
+        ).alias("std"),
+    ).collect()[0]
+    assert int(found.squares) == sum(v * v for v in values)
+    assert found["std"] == exact_std(values)
+
+
 @pytest.mark.parametrize("keys", [(), ("type",), ("type", "day")])
 def test_wide_and_long_measures_agree(sample, keys):
     wide, long = measures(sample, keys), all_measures(sample, keys)
