@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides a block by itself:
 markup that names its purpose (menus, page headers and footers, sidebars, notices, adverts,
-forms, comments) and a high share of linked text make it bad; enough length with enough stop
+forms, comments) and a high share of linked text make it bad; in or around the article, names
+that may also be a part of it (header, widget) leave it open; enough length with enough stop
 words and few links make it good; everything else, short blocks above all, stays open. The
 second pass gives an open block the label of its nearest decided neighbours in the same
 region of the page (inside or outside the article element). Where they differ, or none is
@@ -58,6 +59,9 @@ _PURPOSE = re.compile(
     r"(?=$|[\s_-])",
     re.IGNORECASE,
 )
+# Words among them that site builders also use in names of the article or its parts.
+_DOUBTFUL = re.compile(r"banner|comment(?!s?$)\w*|header|nav\w*|notice|related|share|widget", re.IGNORECASE)
+_PARTS = re.compile(r"[\s_-]+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
@@ -74,13 +78,15 @@ class Block:
     linked: int  # characters inside links
     purpose: bool  # markup says it is not the article
     article: bool  # inside an article or main element
+    doubtful: bool = False  # in or around the article, a name that may mean either
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page that hold text, in page order."""
     found: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, purpose so far, article so far
+    # tag, purpose so far, article so far, doubtful so far
+    stack: list[tuple[str, bool, bool, bool]] = []
     links = 0
     at, size = 0, len(html)
 
@@ -88,8 +94,10 @@ def blocks(html: str) -> list[Block]:
         text = " ".join("".join(unescape(p) for p, _ in pieces).split())
         if text:
             linked = sum(len(" ".join(unescape(p).split())) for p, inside in pieces if inside)
-            _, purpose, article = stack[-1] if stack else ("", False, False)
-            found.append(Block(text, linked, purpose, article))
+            _, purpose, article, doubtful = stack[-1] if stack else ("", False, False, False)
+            found.append(
+                Block(text, linked, purpose or (doubtful and not article), article, doubtful and article)
+            )
         pieces.clear()
 
     while at < size:
@@ -122,14 +130,16 @@ def blocks(html: str) -> list[Block]:
             pieces.append((" " if tag == "br" else "", links > 0))
             continue
         attrs = token["attrs"]
-        named = False
+        named = unsure = False
         if attrs and tag not in ("html", "body", "article", "main"):
             names = " ".join(" ".join(filter(None, m)) for m in _NAMES.findall(attrs))
-            named = bool(_PURPOSE.search(names)) or bool(_HIDDEN.search(attrs))
+            told = [part for part in _PARTS.split(names) if _PURPOSE.search(part)]
+            unsure = any(map(_DOUBTFUL.fullmatch, told))
+            named = not all(map(_DOUBTFUL.fullmatch, told)) or bool(_HIDDEN.search(attrs))
         if tag == "a":
             links = 1
             continue
-        if tag in _INLINE_TAGS and not named:
+        if tag in _INLINE_TAGS and not (named or unsure):
             continue
         close()
         if tag in _VOID_TAGS:
@@ -138,9 +148,9 @@ def blocks(html: str) -> list[Block]:
             while stack and stack[-1][0] == "p":
                 stack.pop()
             links = 0
-        _, purpose, article = stack[-1] if stack else ("", False, False)
+        _, purpose, article, doubtful = stack[-1] if stack else ("", False, False, False)
         purpose = purpose or named or tag in _BOILERPLATE_TAGS or (tag == "header" and not article)
-        stack.append((tag, purpose, article or tag in _MAIN_TAGS))
+        stack.append((tag, purpose, article or tag in _MAIN_TAGS, doubtful or unsure))
     close()
     return found
 
@@ -149,7 +159,7 @@ def decide(block: Block) -> bool | None:
     """First pass: good, bad, or open."""
     if block.purpose or block.linked > LINK_BAD * len(block.text):
         return False
-    if len(block.text) < LONG or block.linked > LINK_GOOD * len(block.text):
+    if block.doubtful or len(block.text) < LONG or block.linked > LINK_GOOD * len(block.text):
         return None
     words = block.text.lower().split()
     stops = sum(word.strip(".,;:!?()\"'") in STOP_WORDS for word in words)
@@ -179,7 +189,7 @@ def label(page: list[Block]) -> list[bool]:
             continue
         sides = [side for side in (before[i], after[i]) if side is not None]
         labels = {mark for _, mark in sides}
-        if len(labels) == 1 and not (block.article and labels == {False}):
+        if len(labels) == 1 and (block.doubtful or not (block.article and labels == {False})):
             final.append(labels.pop())
         else:
             final.append(block.article)

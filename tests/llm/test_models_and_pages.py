@@ -135,6 +135,24 @@ def test_main_text(html, text):
     assert H.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<article><header class='entry-header'><h1>Title</h1></header><p>{PARAGRAPH}</article>",
+         f"Title\n\n{PARAGRAPH}"),
+        (f"<main><div class='post-header'>Title</div><p>{PARAGRAPH}</main>", f"Title\n\n{PARAGRAPH}"),
+        (f"<div class='elementor-widget-container'><article><p>{PARAGRAPH}</article></div>", PARAGRAPH),
+        (f"<article><div class='elementor-widget-container'><p>{PARAGRAPH}</div></article>", PARAGRAPH),
+        (f"<article><div class='commentary'><p>{PARAGRAPH}</div></article>", PARAGRAPH),
+        (f"<article><p>{PARAGRAPH}<div class='related'><a href=x>Other</a></div></article>", PARAGRAPH),
+        (f"<article><p>{PARAGRAPH}<div class='widget sidebar'>{PARAGRAPH}</div></article>", PARAGRAPH),
+        (f"<div class='site-header'>{PARAGRAPH}</div><article><p>{PARAGRAPH}</article>", PARAGRAPH),
+    ],
+)
+def test_doubtful_names_in_and_around_the_article(html, text):
+    assert H.main_text(html) == text
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     got = {r.page_id: r for r in H.op7_html_extraction(spark, SF_DIR).collect()}
