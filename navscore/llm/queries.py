@@ -6,6 +6,7 @@ from navscore.llm import (
     decontaminate,
     html_blocks,
     lang_ecoc,
+    periodic_runs,
     piece_fst,
     quality_gam,
     quality_rules,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_sentencepiece": piece_fst.op9_sentencepiece,
     "op10_simhash": simhash_gray.op10_simhash,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
