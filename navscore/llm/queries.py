@@ -7,6 +7,7 @@ from navscore.llm import (
     html_blocks,
     lang_ecoc,
     periodic_runs,
+    phrase_tries,
     piece_fst,
     quality_gam,
     quality_rules,
@@ -27,11 +28,13 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_sentencepiece": piece_fst.op9_sentencepiece,
     "op10_simhash": simhash_gray.op10_simhash,
+    "op12_collocations": phrase_tries.op12_collocations,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
+    "op12_collocations": phrase_tries.OP12_SQL,
 }
 
 
