@@ -15,6 +15,7 @@ from navscore.llm import (
     suffix_dedup,
     token_count,
     token_files,
+    toxicity_channel,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_sentencepiece": piece_fst.op9_sentencepiece,
     "op10_simhash": simhash_gray.op10_simhash,
+    "op11_toxicity": toxicity_channel.op11_toxicity,
     "op12_collocations": phrase_tries.op12_collocations,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
