@@ -7,9 +7,10 @@ the map side, and hashes counted ``LEAST`` times or more go into a bitmap for th
 Equal hashes of different phrases only let more candidates through. A bitmap has ``2 ** BITS``
 bits whatever the corpus holds. A last scan reads the words of the surviving hashes.
 
-*Tries.* The candidates and all their parts are sorted, dealt out by ranges and cut into shards
-of at most ``SHARD_BYTES`` of phrases; the task that holds a shard builds its trie over the bytes
-of language, words and closing space. Nodes with several children get a block of their own,
+*Tries.* The candidates and all their parts are dealt out by ranges, and neighbouring ranges are
+put together to shards of about ``SHARD_BYTES`` of phrases; the task that holds a shard builds
+its trie (or several, if one range alone is larger) over the bytes of language, words and
+closing space. Nodes with several children get a block of their own,
 nodes with one child fill the gaps. One trie after the other is broadcast. Each task advances
 the states of all word starts of a slice together, a byte a level, drops those without a
 transition, counts the accepting states with ``bincount`` and sends out the sums of its share
@@ -338,16 +339,12 @@ def _pack(parent: np.ndarray, symbol: np.ndarray, used: int) -> np.ndarray:
 
 
 def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of the sorted phrases of a partition: a row for each phrase with its number in
-    the shard, and one row with the trie."""
-    from pyspark import TaskContext
+    """The tries of the shards of a partition, whose rows are sorted by shard: a row for each
+    phrase with its number in the trie, and one row with the trie."""
 
-    task, sequence = TaskContext.get().partitionId(), 0
-
-    def shard(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    def build(name: str, rows: list[tuple[str, str]]) -> pa.RecordBatch:
         keyed = sorted((f"{lang}\n{phrase} ".encode(), lang, phrase) for lang, phrase in rows)
         trie = Trie.build([key for key, _, _ in keyed])
-        name = f"{task}-{sequence}"
         count = len(keyed)
         return pa.RecordBatch.from_arrays(
             [
@@ -357,19 +354,46 @@ def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([phrase for _, _, phrase in keyed] + [None], pa.string()),
                 pa.array([None] * count + [trie.parts()], pa.list_(pa.binary())),
             ],
-            ["shard", "at", "lang", "phrase", "trie"],
+            ["trie", "at", "lang", "phrase", "parts"],
         )
 
-    rows, size = [], 0
+    rows, size, shard, sequence = [], 0, None, 0
     for batch in batches:
-        for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for own, lang, phrase in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if rows and (own != shard or size >= 2 * SHARD_BYTES):
+                yield build(f"{shard}-{sequence}", rows)
+                rows, size, sequence = [], 0, sequence + 1
+            shard = own
             rows.append((lang, phrase))
             size += len(phrase.encode()) + 2
-            if size >= SHARD_BYTES:
-                yield shard(rows)
-                rows, size, sequence = [], 0, sequence + 1
     if rows:
-        yield shard(rows)
+        yield build(f"{shard}-{sequence}", rows)
+
+
+def tries(phrases: DataFrame) -> DataFrame:
+    """The phrases with the name of their trie and their number in it, and the tries."""
+    spark = phrases.sparkSession
+    size = phrases.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
+    ranges = stored(
+        phrases.repartitionByRange(max(1, -(-4 * size // SHARD_BYTES)), "lang", "phrase")
+        .select("lang", "phrase", F.spark_partition_id().alias("part")),
+        "phrase-ranges",
+    )
+    # one row for each range, four or so to a shard
+    sizes = ranges.groupBy("part").agg(F.sum(F.octet_length("phrase") + 2).alias("size")).collect()
+    shards, filled = [], 0
+    for part, own in sorted(tuple(row) for row in sizes):
+        shards.append((part, filled // SHARD_BYTES))
+        filled += own
+    if not shards:
+        return spark.createDataFrame([], TRIES)
+    named = spark.createDataFrame(shards, "part int, shard long")
+    rows = ranges.join(named, "part").select("shard", "lang", "phrase")
+    rows = rows.repartition(shards[-1][1] + 1, "shard").sortWithinPartitions("shard")
+    return stored(rows.mapInArrow(_tries, TRIES), "tries")
+
+
+TRIES = "trie string, at int, lang string, phrase string, parts array<binary>"
 
 
 def _trie_counts(sent, with_words: bool):
@@ -417,27 +441,20 @@ def phrase_counts(
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("t")
     )
-    found = candidates(texts, least, longest)
-    size = found.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
-    shards = stored(
-        found.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "lang", "phrase")
-        .sortWithinPartitions("lang", "phrase")
-        .mapInArrow(_tries, "shard string, at int, lang string, phrase string, trie array<binary>"),
-        "tries",
-    )
+    built = tries(candidates(texts, least, longest))
     counted, words = None, None
     # one name for each SHARD_BYTES of candidates; the phrases themselves stay distributed
-    for (name,) in shards.where("trie is not null").select("shard").orderBy("shard").collect():
-        trie = shards.where((F.col("shard") == name) & F.col("trie").isNotNull()).first()["trie"]
-        sent = spark.sparkContext.broadcast([bytes(part) for part in trie])
+    for (name,) in built.where("parts is not null").select("trie").orderBy("trie").collect():
+        own = built.where(F.col("trie") == name)
+        parts = own.where("parts is not null").first()["parts"]
+        sent = spark.sparkContext.broadcast([bytes(part) for part in parts])
         sums = texts.mapInArrow(_trie_counts(sent, words is None), "lang string, at int, n long")
         sums = stored(sums.groupBy("lang", "at").agg(F.sum("n").alias("n")), "trie-counts")
         sent.unpersist()
         if words is None:
             words = sums.where("at is null").select("lang", "n")
-        own = shards.where((F.col("shard") == name) & F.col("trie").isNull())
-        own = own.join(sums.where("at is not null").select("at", F.col("n").alias("f")), "at")
-        own = own.select("lang", "phrase", "f")
+        sums = sums.where("at is not null").select("at", F.col("n").alias("f"))
+        own = own.where("at is not null").join(sums, "at").select("lang", "phrase", "f")
         counted = own if counted is None else counted.unionByName(own)
     if counted is None:
         return (

@@ -133,33 +133,37 @@ def test_small_chunks_shards_and_longer_phrases(spark, monkeypatch):
         P.phrase_counts(cases(spark), longest=1)
 
 
-def test_many_shards_give_the_same_counts(monkeypatch):
-    monkeypatch.setattr(P, "SHARD_BYTES", 64)
-    keys = sorted(f"en\nw{i} ".encode() for i in range(40))
-    batch = P.pa.RecordBatch.from_arrays(
-        [P.pa.array(["en"] * 40), P.pa.array([f"w{i}" for i in range(40)])], ["lang", "phrase"]
-    )
+def test_many_shards_give_the_same_counts(spark, monkeypatch):
+    rows = [(lang, text) for lang, text, _ in CASES]
+    monkeypatch.setattr(P, "SHARD_BYTES", 40)
+    counts, words = P.phrase_counts(cases(spark), least=4, longest=3)
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for w in plain_pieces(text):
+            n[lang] += len(w)
+            for k in (1, 2, 3):
+                f.update((lang, " ".join(w[i : i + k])) for i in range(len(w) - k + 1))
+    got = {(r.lang, r.phrase): r.f for r in counts.collect()}
+    assert all(f[key] == count for key, count in got.items())
+    assert {key for key, count in f.items() if count >= 4 and " " in key[1]} <= set(got)
+    assert {r.lang: r.n for r in words.collect()} == {k: v for k, v in n.items()} | {"fr": 0}
 
-    class Task:
-        @staticmethod
-        def get():
-            return Task()
-
-        def partitionId(self):
-            return 7
-
-    monkeypatch.setattr("pyspark.TaskContext", Task)
-    shards = list(P._tries(iter([batch])))
-    assert len(shards) > 1 and len({s.column("shard")[0].as_py() for s in shards}) == len(shards)
-    found = []
-    for shard in shards:
-        trie = P.Trie.of(shard.column("trie")[-1].as_py())
-        for at, phrase in zip(shard.column("at").to_pylist(), shard.column("phrase").to_pylist()):
-            if at is not None:
-                key = f"en\n{phrase} ".encode()
-                assert trie.accept[trie.walk(key)] == at
-                found.append(key)
-    assert sorted(found) == keys
+
+def test_tries_are_cut_to_shards(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_BYTES", 64)
+    phrases = [("en", f"w{i}") for i in range(40)] + [("de", "ä ö")]
+    built = P.tries(spark.createDataFrame(phrases, "lang string, phrase string")).collect()
+    found, names = [], set()
+    for row in built:
+        if row.parts is not None:
+            trie = P.Trie.of(row.parts)
+            own = [r for r in built if r.trie == row.trie and r.parts is None]
+            for r in own:
+                assert trie.accept[trie.walk(f"{r.lang}\n{r.phrase} ".encode())] == r.at
+                found.append((r.lang, r.phrase))
+            names.add(row.trie)
+    assert sorted(found) == sorted(phrases) and 2 <= len(names) <= 6
 
 
 def test_chunks_do_not_change_hashes(monkeypatch):
