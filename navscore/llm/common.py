@@ -19,12 +19,14 @@ WORD_BREAK = f"[{SPACE}]+"
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    A session without that setting (tests) gets a folder under the warehouse, which all
-    executors of a session share as well.
+    A session without that setting gets a folder under the warehouse if it runs on one
+    machine, as in tests; on a cluster the setting is required.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    )
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -46,6 +48,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(columns, name: str) -> str:
+    """A name for a helper column that no column has, in any spelling."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null text counting as empty."""
     return F.coalesce(F.col(column), F.lit(""))

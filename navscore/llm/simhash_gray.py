@@ -15,9 +15,10 @@ member (its local representative), never its pairs. Representatives are connecte
 whole corpus by ``components``.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any other; texts
-of one or two words are one shingle; repeated rows are kept, each with its component; a null
-``doc_id`` stays a row and never names a component unless all of it are null; other columns
-are not carried.
+of one or two words are one shingle; repeated rows are kept, each with its component; very long
+texts are hashed in segments; a null ``doc_id`` stays a row and never names a component unless
+all of it are null; an empty table gives no rows; ``keep_one`` carries all columns, whatever
+they are called, the other functions none.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navscore.llm.common import byte_slices, stored, text_of
+from navscore.llm.common import byte_slices, fresh, stored, text_of
 from navscore.llm.components import components
 
 SHINGLE = 3
@@ -284,6 +285,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _components(docs).select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, with the columns of ``docs``.
+
+    It is the one that names the component; among several rows with that id (or, in a
+    component without any id, among all) the one whose text has the smallest hash. Of rows
+    with one id and text one stays, with the values of one of them.
+    """
+    winners = (
+        _components(docs).where("doc_id <=> component_id")
+        .groupBy("root").agg(F.min(F.struct(*KEY)).alias("key")).select("key.*")
+    )
+    names = [fresh(docs.columns, name) for name in KEY]
+    # repeated rows combine on the map side, before any of them is moved
+    rows = docs.withColumns(dict(zip(names, _row_keys()))).dropDuplicates(names)
+    return rows.join(winners.toDF(*names), names, "left_semi").select(*docs.columns)
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
