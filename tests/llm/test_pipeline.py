@@ -6,7 +6,7 @@ import corpus_pipeline as pipeline
 from navscore.llm import quality_gam
 from tests.llm.test_rules_and_decontamination import plain_hits
 from tests.llm.test_simhash_gray import plain_components, plain_fingerprint
-from tests.llm.test_suffix_dedup import plain_bytes
+from tests.llm.test_suffix_dedup import plain_words
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -30,8 +30,7 @@ def test_every_stage_against_plain_python(spark):
         return [r for r, name in zip(rows, names) if r[0] == name]
 
     def repeats(rows):
-        kept = plain_bytes([t for _, t in rows])
-        return [(d, k.decode("utf-8", "ignore")) for (d, _), k in zip(rows, kept)]
+        return [(d, kept) for (d, _), kept in zip(rows, plain_words([t for _, t in rows]))]
 
     def clean(rows):
         return [r for r in rows if plain_hits(r[1], benchmark)[1] == 0]
