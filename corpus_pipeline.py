@@ -3,6 +3,13 @@
 Every stage takes what its predecessor kept and returns the columns of documents, the last
 one adds the pieces of each text. Between stages the rows are written as Parquet and read
 again.
+
+Defined cases: a null text passes as an empty one would and is given back empty by the last
+stage; very long texts go whole through every stage; of repeated rows one stays behind the
+second stage; ties between near copies go to the smallest id, rows without an id stay unless
+they are near a row with one; empty tables give no rows, and without labels no text passes the
+first stage, where every score is 0.5; further columns of documents, whatever they are called,
+are carried up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navscore.llm import decontaminate, near_copies, piece_fst, quality_gam, suffix_dedup
+from navscore.llm import decontaminate, piece_fst, quality_gam, simhash_gray, suffix_dedup
 from navscore.llm.common import stored, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,13 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a five-word Jaccard of 0.8 or more."""
-    return near_copies.keep_one(docs)
+    """One document of each component of fingerprints within two bits of each other."""
+    return simhash_gray.keep_one(docs)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the bytes of long repeated passages."""
-    return suffix_dedup.dedup(docs)
+    """The documents without passages of fifty words and more that occur more than once."""
+    return suffix_dedup.dedup(docs, suffix_dedup.WORDS)
 
 
 def benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
