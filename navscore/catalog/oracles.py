@@ -60,6 +60,17 @@ summary as (
   join part on q.part_key = p_partkey)"""
 )
 
+# Feeds with gaps, joined from the left: nulls where a vendor lacks a fund-day.
+SPARSE_SUMMARY = (
+    JOINED_SUMMARY.replace("  join hm_feed", "  left join hm_feed")
+    .replace("  join ant_feed", "  left join ant_feed")
+    .replace("  join wind_feed", "  left join wind_feed")
+    .replace("min(hm_r) as hm_r from quotes group by all", "min(hm_r) as hm_r from quotes "
+             "group by all having min(hm_r) > -2")
+    .replace("min(nav) as wind from quotes group by all", "min(nav) as wind from quotes "
+             "where part_key % 3 <> 0 group by all")
+)
+
 ORDER = ("ant", "hm", "jy", "tiantian", "wind")
 
 
@@ -172,6 +183,87 @@ def _as_percent_text(thousandths: str) -> str:
     return f"({value} // 1000) || '.' || lpad(cast({value} % 1000 as varchar), 3, '0') || '%'"
 
 
+def coverage_sql(name: str, scope_name: str) -> str:
+    """A report over the vendors' own rows, with the number of these rows."""
+    keys = GROUPINGS[SCOPES[scope_name][0]]
+    key_list = "".join(f"{k}, " for k in keys)
+    by = f" group by {', '.join(keys)}" if keys else ""
+    same = " and ".join(["true", *[f"g.{k} = s.{k}" for k in keys]])
+    if REPORTS[name].cumulative is not None:
+        values = _bands(name)
+    else:
+        values = METRICS[name]
+    inner = ", ".join(f"{v} as {c}" for c, v in values.items())
+    listed = ", ".join(f"('{code}')" for code in ALL_VENDORS)
+    head = (
+        f"with {SPARSE_SUMMARY}{_long(ALL_VENDORS)}, present as (select * from long where dev is "
+        f"not null), scored as (select {key_list}vendor, count(*) as n, {inner} from present "
+        f"group by {key_list}vendor), groups as (select {key_list}count(*) as fund_count "
+        f"from summary{by})"
+    )
+    if REPORTS[name].cumulative is not None:
+        shares = ", ".join(f"{_as_number(c)} as {c}" for c in values)
+        return (
+            f"{head} select {''.join(f'g.{k}, ' for k in keys)}v.vendor, coalesce(n, 0) as rows, "
+            f"{shares} from groups g cross join (values {listed}) v(vendor) "
+            f"left join scored s on {same} and s.vendor = v.vendor"
+        )
+    columns = []
+    for code in ALL_VENDORS:
+        if REPORTS[name].part != "medians":
+            rows = f"coalesce(max(case when vendor = '{code}' then n end), 0)"
+            columns.append(f"{rows} as {code}_rows")
+        if name == "r1_opposite" and not VENDORS[code].has_return:
+            continue
+        for metric in values:
+            value = f"max(case when vendor = '{code}' then {metric} end)"
+            if metric == "opposite":
+                value = f"coalesce({value}, 0)"
+            else:
+                value = _as_number(value)
+            columns.append(f"{value} as {code}_{metric}")
+    grouped = ", ".join(f"g.{k}" for k in (*keys, "fund_count"))
+    return (
+        f"{head} select {grouped}, {', '.join(columns)} from groups g left join scored s on {same} "
+        f"group by {grouped}"
+    )
+
+
+def groupings_sql(name: str, summary: str) -> str:
+    """A report of all levels by grouping sets."""
+    sets = "grouping sets ((type, day, vendor), (type, vendor), (vendor))"
+    level = "case when grouping(day) = 0 then 'day' when grouping(type) = 0 then 'week' else 'all' end"
+    head = f"with {summary}{_long(ALL_VENDORS)}"
+    if REPORTS[name].cumulative is not None:
+        shares = ", ".join(f"{_as_number(v)} as {c}" for c, v in _bands(name).items())
+        return f"{head} select {level} as level, type, day, vendor, {shares} from long group by {sets}"
+    inner = ", ".join(f"{v} as {c}" for c, v in METRICS[name].items())
+    return (
+        f"{head}, scored as (select {level} as level, type, day, vendor, count(*) as n, {inner} "
+        f"from long group by {sets}) select level, type, day, max(n) as fund_count, "
+        f"{_wide_columns(name, ALL_VENDORS)} from scored group by level, type, day"
+    )
+
+
+def _wide_columns(name: str, vendors, text: bool = False) -> str:
+    """The metrics of each vendor side by side, from one row per group and vendor."""
+    spec = REPORTS[name]
+    columns = []
+    for code in vendors:
+        if name == "r1_opposite" and not VENDORS[code].has_return:
+            continue
+        for metric in METRICS[name]:
+            value = f"max(case when vendor = '{code}' then {metric} end)"
+            label = f"{code}_{metric}"
+            is_percent = metric.endswith("_pct") or spec.percent
+            if metric != "opposite":
+                value = _as_percent_text(value) if text and is_percent else _as_number(value)
+            if text:
+                label = VENDORS[code].label + dict(spec.suffixes)[metric]
+            columns.append(f'{value} as "{label}"')
+    return ", ".join(columns)
+
+
 def report_sql(name: str, scope_name: str, summary: str | None = None, text: bool = False) -> str:
     """A report over the summary CTE; ``text`` gives the display form."""
     grouping, vendors, top = SCOPES[scope_name]
@@ -200,26 +292,12 @@ def report_sql(name: str, scope_name: str, summary: str | None = None, text: boo
             f"{shares} from long group by {key_list}vendor"
         )
 
-    metrics = METRICS[name]
-    inner = ", ".join(f"{v} as {c}" for c, v in metrics.items())
-    columns = []
-    for code in vendors:
-        if name == "r1_opposite" and not VENDORS[code].has_return:
-            continue
-        for metric in metrics:
-            value = f"max(case when vendor = '{code}' then {metric} end)"
-            label = f"{code}_{metric}"
-            is_percent = metric.endswith("_pct") or spec.percent
-            if metric != "opposite":
-                value = _as_percent_text(value) if text and is_percent else _as_number(value)
-            if text:
-                label = VENDORS[code].label + dict(spec.suffixes)[metric]
-            columns.append(f'{value} as "{label}"')
+    inner = ", ".join(f"{v} as {c}" for c, v in METRICS[name].items())
     count_label = COMMON_LABELS["fund_count"] if text else "fund_count"
     return (
         f"{head}, scored as (select {key_list}vendor, count(*) as n, {inner} from long "
         f"group by {key_list}vendor) select {key_columns}max(n) as \"{count_label}\", "
-        f"{', '.join(columns)} from scored{by}"
+        f"{_wide_columns(name, vendors, text)} from scored{by}"
     )
 
 
@@ -319,6 +397,33 @@ def oracle_sql() -> dict[str, str]:
     for scope_name in ("week", "all"):
         for name in REPORTS:
             found[f"text_{scope_name}_{name.split('_')[0]}"] = report_sql(name, scope_name)
+    for name in REPORTS:
+        short = name.split("_")[0]
+        found[f"coverage_{short}_week"] = coverage_sql(name, "week")
+        found[f"groupings_{short}"] = groupings_sql(name, latest_week)
+        kind = "histograms" if REPORTS[name].part == "medians" else "partials"
+        found[f"{kind}_week_{short}"] = report_sql(name, "week", latest_week)
+    for name in ("r2_abs_mean", "r3_abs_median", "r9_abs_cumulative"):
+        short = name.split("_")[0]
+        for scope_name in ("day", "all"):
+            found[f"coverage_{short}_{scope_name}"] = coverage_sql(name, scope_name)
+        found[f"coverage_full_{short}"] = report_sql(name, "week")
+    held = " + ".join(
+        f"case when {code} is null then 0 else {1 << i} end" for i, code in enumerate(ALL_VENDORS)
+    )
+    found["coverage_masks"] = (
+        f"with {SPARSE_SUMMARY} select type, cast({held} as bigint) as present, "
+        "count(*) as fund_days from summary group by all"
+    )
+    for name in ("r2_abs_mean", "r4_abs_std", "r5_rel_mean", "r10_rel_bands"):
+        found[f"partials_all_{name.split('_')[0]}"] = report_sql(name, "all")
+    for name in ("r3_abs_median", "r6_rel_median"):
+        found[f"histograms_all_{name.split('_')[0]}"] = report_sql(name, "all")
+    for kind in ("abs", "rel"):
+        found[f"sketch_errors_{kind}"] = (
+            f"with {table}{_long(ALL_VENDORS)} select type, vendor, count(*) as rows, "
+            "true as within from long group by type, vendor"
+        )
     found["csv_report_week"] = (
         "select columns(*)::varchar from (" + report_sql("r5_rel_mean", "week", text=True) + ")"
     )

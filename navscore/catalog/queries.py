@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,14 @@ from pyspark.sql import types as T
 
 from navscore.catalog import feedlines as L
 from navscore.catalog import tables as TB
-from navscore.operators.summary import build_summary, classify, in_days, restrict_to_list
+from navscore.operators.summary import (
+    build_summary,
+    classify,
+    coverage_counts,
+    in_days,
+    restrict_to_list,
+)
+from navscore.plans import states
 from navscore.plans.reports import COMMON_LABELS, REPORTS, Scope, Scores, display, report
 from navscore.plans.runs import load_feeds
 from navscore.schemas import ALL_VENDORS, GROUPINGS, VENDORS_NO_WIND, summary_columns
@@ -126,6 +134,82 @@ def joined_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_double_metrics(report(name, joined_summary(spark, sf_dir), scope("week")))
 
 
+# --- fund-days that some vendors lack ---------------------------------------------------
+
+
+def sparse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of feeds with gaps, with every disclosed fund-day."""
+    fund_types = classify(TB.fund_classes(spark, sf_dir), TB.class_names(spark, sf_dir))
+    truth = TB.truth_feed(tune(spark), sf_dir)
+    return build_summary(truth, TB.sparse_feeds(spark, sf_dir), fund_types, coverage="any")
+
+
+def any_scope(name: str) -> Scope:
+    return replace(scope(name), coverage="any")
+
+
+def coverage_report(name: str, scope_name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report in which each vendor is scored on the fund-days it has."""
+    summary = sparse_summary(spark, sf_dir)
+    return with_double_metrics(report(name, summary, any_scope(scope_name)))
+
+
+def coverage_full(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report where every vendor has every row: the figures of the default."""
+    summary = table_summary(spark, sf_dir)
+    found = report(name, summary, any_scope("week"))
+    return with_double_metrics(found.drop("rows", *[f"{code}_rows" for code in ALL_VENDORS]))
+
+
+def coverage_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fund-days per type and set of vendors."""
+    return coverage_counts(sparse_summary(spark, sf_dir), GROUPINGS["week"])
+
+
+# --- states of days ---------------------------------------------------------------------
+
+
+def week_report(name: str, scope_: Scope, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the latest seven days from their stored states alone."""
+    summary, path = table_summary(spark, sf_dir), scratch_path(spark, "states")
+    week = latest_days(TB.quotes(spark, sf_dir).select("day"), 7)
+    kinds = (states.state_kind(name),)
+    states.write_states(summary.filter(in_days(week)), path, scope_, week, kinds)
+    return with_double_metrics(states.state_report(spark, name, path, scope_, week))
+
+
+def whole_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of all days from the states of each."""
+    found = states.STATES[states.state_kind(name)](table_summary(spark, sf_dir), scope("all"))
+    return with_double_metrics(states.report_of(name, found, scope("all")))
+
+
+def every_level() -> Scope:
+    return replace(scope("day"), keys=states.ALL_LEVELS)
+
+
+def sketch_errors(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each type and vendor whether the sketched median's rank is within the bound, by the
+    exact counts of the values below and up to it."""
+    week, summary = scope("week"), table_summary(spark, sf_dir)
+    found = states.sketched_medians(states.day_sketches(summary, week), week, (kind,))
+    pairs = [x for c in ALL_VENDORS for x in (F.lit(c), F.col(f"{c}_{kind}_median"))]
+    medians = found.select(
+        "type", F.stack(F.lit(len(ALL_VENDORS)), *pairs).alias("vendor", "median")
+    ).withColumn("median", (F.col("median") * 1000).cast("bigint"))
+    counts = states.day_histograms(summary, week).where(F.col("kind") == kind)
+    rows = F.col("rows")
+    ranked = counts.join(medians, ["type", "vendor"]).groupBy("type", "vendor").agg(
+        F.sum(rows).alias("rows"),
+        F.sum(F.when(F.col("value") < F.col("median"), rows).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("value") <= F.col("median"), rows).otherwise(0)).alias("up_to"),
+    )
+    within = (F.col("below") <= rows * (0.5 + states.RANK_ERROR)) & (
+        F.col("up_to") >= rows * (0.5 - states.RANK_ERROR)
+    )
+    return ranked.select("type", "vendor", "rows", within.alias("within"))
+
+
 # --- feeds, sinks and stored runs -------------------------------------------------------
 
 # Feed name -> loader and the lines it is fed.
@@ -245,6 +329,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for name in REPORTS:
             label = f"text_{scope_name}_{name.split('_')[0]}"
             found[label] = partial(text_report, name, scope_name)
+    for name in REPORTS:
+        short = name.split("_")[0]
+        found[f"coverage_{short}_week"] = partial(coverage_report, name, "week")
+        found[f"groupings_{short}"] = partial(week_report, name, every_level())
+        found[f"{states.state_kind(name)}_week_{short}"] = partial(week_report, name, scope("week"))
+    for name in ("r2_abs_mean", "r3_abs_median", "r9_abs_cumulative"):
+        short = name.split("_")[0]
+        for scope_name in ("day", "all"):
+            found[f"coverage_{short}_{scope_name}"] = partial(coverage_report, name, scope_name)
+        found[f"coverage_full_{short}"] = partial(coverage_full, name)
+    found["coverage_masks"] = coverage_masks
+    for name in ("r2_abs_mean", "r4_abs_std", "r5_rel_mean", "r10_rel_bands"):
+        found[f"partials_all_{name.split('_')[0]}"] = partial(whole_report, name)
+    for name in ("r3_abs_median", "r6_rel_median"):
+        found[f"histograms_all_{name.split('_')[0]}"] = partial(whole_report, name)
+    for kind in ("abs", "rel"):
+        found[f"sketch_errors_{kind}"] = partial(sketch_errors, kind)
     found["csv_report_week"] = csv_report
     found["preview_smallest_groups"] = preview_report
     return found

@@ -12,9 +12,10 @@ once per group. No value becomes a decimal object by itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navscore.schemas import METRIC
@@ -113,51 +114,68 @@ def exact_ratio_sum(ratio: Column) -> Column:
     )
 
 
-def std_thousandths(count: Column, total: Column, squares: Column) -> Column:
-    """Population standard deviation of whole numbers, rounded half up to a whole number.
+def with_std(frame: DataFrame, stds: Mapping[str, tuple[str, str, str]]) -> DataFrame:
+    """``frame`` with population standard deviations of whole numbers, rounded half up.
 
-    With ``q`` the mean without its fraction, ``r = total - q * count`` and the exact
+    ``stds`` maps a new column to the columns that hold its count, total and sum of squares,
+    which go. With ``q`` the mean without its fraction, ``r = total - q * count`` and the exact
     ``s = squares - 2 * q * total + q * q * count`` (the squares of what lies above ``q``) the
     deviation is ``sqrt(s / count - (r / count) ** 2)``. A double gives the nearest whole number
     up to one; which of the neighbours is right is decided by comparing
     ``4 * s - (2 * k + 1) ** 2 * count`` with ``4 * r ** 2 / count`` rounded up, as whole numbers.
     All of them fit 38 digits while ``squares`` stays below 2 * 10 ** 37.
+
+    Each step is a projection over the one before, so a value that is used several times is
+    computed once per group, and all of it stays in generated code.
     """
+    kept = [c for c in frame.columns if c not in {p for parts in stds.values() for p in parts}]
+
     def wide(number: int) -> Column:
         return F.lit(number).cast(WIDE)
 
     def quotient(a: Column, b: Column) -> Column:
         return F.floor(F.try_divide(a - a % b, b)).cast(WIDE)
 
-    def let(fields: dict[str, Column], body) -> Column:
-        row = F.struct(*[value.alias(name) for name, value in fields.items()])
-        return F.get(F.transform(F.array(row), body), F.lit(0))
+    def step(before: DataFrame, fields: Callable[..., dict[str, Column]], names: str) -> DataFrame:
+        columns = []
+        for out in stds:
+            given = {name: F.col(f"{out}__{name}") for name in names.split()}
+            columns += [value.alias(f"{out}__{name}") for name, value in fields(**given).items()]
+        return before.select(*kept, *columns)
 
-    def shifted(g: Column) -> Column:
-        n, q, total = g["n"], quotient(g["total"], g["n"]), g["total"]
-        return let({"n": n, "q": q, "total": total, "squares": g["squares"]}, centred)
+    def shift(n, total, squares):
+        q = quotient(total, n)
+        return {"n": n, "total": total, "squares": squares, "q": q}
 
-    def centred(g: Column) -> Column:
-        n, q, total = g["n"], g["q"], g["total"]
-        r = total - q * n
-        s = g["squares"] - wide(2) * q * total + q * q * n
-        limit = quotient(wide(4) * r * r + n - wide(1), n)
+    def centre(n, total, squares, q):
+        return {"n": n, "r": total - q * n, "s": squares - wide(2) * q * total + q * q * n}
+
+    def estimate(n, r, s):
         share = r.cast("double") / n.cast("double")
         variance = F.greatest(s.cast("double") / n.cast("double") - share * share, F.lit(0.0))
         k = F.floor(F.sqrt(variance) + F.lit(0.5)).cast("bigint")
-        return let({"n": n, "s": s, "limit": limit, "k": k}, decide)
+        return {"n": n, "s": s * wide(4), "limit": quotient(wide(4) * r * r + n - wide(1), n), "k": k}
 
-    def decide(g: Column) -> Column:
-        k, four_s = g["k"], g["s"] * wide(4)
+    def decide(n, s, limit, k):
         above, below = (F.lit(2) * k + 1).cast(WIDE), (F.lit(2) * k - 1).cast(WIDE)
-        return (
-            F.when(four_s - above * above * g["n"] >= g["limit"], k + 1)
-            .when((k > 0) & (four_s - below * below * g["n"] < g["limit"]), k - 1)
+        decided = (
+            F.when(s - above * above * n >= limit, k + 1)
+            .when((k > 0) & (s - below * below * n < limit), k - 1)
             .otherwise(k)
         )
-
-    group = {"n": F.when(count > 0, count).cast(WIDE), "total": total, "squares": squares}
-    return F.when(count > 0, let(group, shifted))
+        return {"std": decided}
+
+    first = []
+    for out, (count, total, squares) in stds.items():
+        n = F.when(F.col(count) > 0, F.col(count)).cast(WIDE)
+        parts = {"n": n, "total": F.col(total).cast(WIDE), "squares": F.col(squares).cast(WIDE)}
+        first += [value.alias(f"{out}__{name}") for name, value in parts.items()]
+    frame = frame.select(*kept, *first)
+    frame = step(frame, shift, "n total squares")
+    frame = step(frame, centre, "n total squares q")
+    frame = step(frame, estimate, "n r s")
+    frame = step(frame, decide, "n s limit k")
+    return frame.select(*kept, *[F.col(f"{out}__std").alias(out) for out in stds])
 
 
 def std_metric(thousandths: Column) -> Column:

@@ -41,11 +41,18 @@ def band_labels(edges, cumulative: bool, percent: bool) -> list[str]:
 
 
 def band_shares(
-    measured: DataFrame, keys, edges, kind: str, cumulative: bool, vendors=ALL_VENDORS
+    measured: DataFrame,
+    keys,
+    edges,
+    kind: str,
+    cumulative: bool,
+    vendors=ALL_VENDORS,
+    coverage: str = "common",
 ) -> DataFrame:
     """``keys``, ``vendor`` and one percent column per band; ``kind`` is ``abs`` or ``rel``.
 
-    Only the aggregated rows are multiplied by the number of vendors.
+    Only the aggregated rows are multiplied by the number of vendors. With ``coverage="any"``
+    a share is one of the rows that hold the vendor, whose number stands in ``rows``.
     """
     names = band_columns(edges, cumulative)
     stacked = []
@@ -55,9 +62,11 @@ def band_shares(
         if not cumulative:
             counts = [up_to[0]] + [high - low for low, high in zip(up_to, up_to[1:])]
         counts = counts + [F.col(f"{code}_{kind}_gt")]
-        stacked += [F.lit(code), *counts]
+        whole = F.col(f"{code}_rows" if coverage == "any" else "fund_count")
+        stacked += [F.lit(code), whole, *counts]
     per_vendor = measured.select(
-        *keys, "fund_count", F.stack(F.lit(len(vendors)), *stacked).alias("vendor", *names)
+        *keys, F.stack(F.lit(len(vendors)), *stacked).alias("vendor", "rows", *names)
     )
-    shares = [share_percent(F.col(name), F.col("fund_count")).alias(name) for name in names]
-    return per_vendor.select(*keys, "vendor", *shares)
+    shares = [share_percent(F.col(name), F.col("rows")).alias(name) for name in names]
+    held = ["rows"] if coverage == "any" else []
+    return per_vendor.select(*keys, "vendor", *held, *shares)

@@ -33,10 +33,11 @@ def _aggregates(part: str, edges, prefix: str = "") -> list:
         return [total(F.col(name)).alias(f"{name}_sum")]
     if what == "std":
         rounded = F.col(f"{name}_rounded")
-        deviation = D.std_thousandths(
-            F.count(rounded), D.exact_sum(rounded), D.exact_square_sum(rounded)
-        )
-        return [deviation.alias(f"{name}_std")]
+        return [
+            F.count(rounded).alias(f"{name}_count"),
+            D.exact_sum(rounded).alias(f"{name}_total"),
+            D.exact_square_sum(rounded).alias(f"{name}_squares"),
+        ]
     limits = [D.edge_value(edge, relative=kind == "rel") for edge in edges[kind]]
     value = F.col(name)
     return [
@@ -45,6 +46,16 @@ def _aggregates(part: str, edges, prefix: str = "") -> list:
     ]
 
 
+def std_columns(names) -> dict[str, tuple[str, str, str]]:
+    """The standard deviations that can be made of columns ``names``; see ``with_std``."""
+    found = {}
+    for name in names:
+        if name.endswith("_squares"):
+            stem = name.removesuffix("_squares")
+            found[f"{stem}_std"] = (f"{stem}_count", f"{stem}_total", name)
+    return found
+
+
 def measures(
     summary: DataFrame,
     keys,
@@ -52,20 +63,44 @@ def measures(
     abs_edges=ABS_EDGES,
     rel_edges=REL_EDGES,
     parts=PARTS,
+    coverage: str = "common",
 ) -> DataFrame:
     """One row per group: ``fund_count`` and, per vendor ``v``, the measures of ``parts``.
 
     ``v_opposite`` counts rows; ``v_abs_sum`` in units and ``v_rel_sum`` in parts of a ratio;
     ``v_abs_std`` and ``v_rel_std`` in whole thousandths; ``v_abs_le_i`` and
-    ``v_rel_le_i`` count rows up to edge ``i``, ``v_abs_gt`` and ``v_rel_gt`` the rest.
+    ``v_rel_le_i`` count rows up to edge ``i``, ``v_abs_gt`` and ``v_rel_gt`` the rest. With
+    ``coverage="any"``, ``v_rows`` counts the rows that hold the vendor.
     """
     edges = {"abs": abs_edges, "rel": rel_edges}
     aggregates = [F.count(F.lit(1)).alias("fund_count")]
     for code in vendors:
+        if coverage == "any":
+            aggregates.append(F.count(f"{code}_abs").alias(f"{code}_rows"))
         for part in parts:
             if part != "opposite" or VENDORS[code].has_return:
                 aggregates += _aggregates(part, edges, f"{code}_")
-    return wide_deviations(summary, keys, vendors).groupBy(*keys).agg(*aggregates)
+    measured = wide_deviations(summary, keys, vendors).groupBy(*keys).agg(*aggregates)
+    stds = std_columns(measured.columns)
+    return D.with_std(measured, stds) if stds else measured
+
+
+def partial_measures(summary: DataFrame, keys, vendors=ALL_VENDORS, edges=None) -> DataFrame:
+    """One row per group and vendor: ``fund_count``, ``rows`` that hold the vendor, and sums,
+    squares and counts that add up over groups."""
+    edges = edges or {"abs": ABS_EDGES, "rel": REL_EDGES}
+    aggregates = [F.count(F.lit(1)).alias("fund_count"), F.count("abs").alias("rows")]
+    for part in PARTS:
+        aggregates += _aggregates(part, edges)
+    return long_deviations(summary, keys, vendors).groupBy(*keys, "vendor").agg(*aggregates)
+
+
+def finished(partial: DataFrame, keys, vendors=ALL_VENDORS, coverage: str = "common") -> DataFrame:
+    """The rows of :func:`partial_measures` in the form of :func:`measures`."""
+    partial = D.with_std(partial, std_columns(partial.columns))
+    names = [c for c in partial.columns if c not in (*keys, "vendor", "fund_count")]
+    wide = by_vendor(partial, keys, [c for c in names if c != "rows" or coverage == "any"], vendors)
+    return wide.drop(*[f"{c}_opposite" for c in vendors if not VENDORS[c].has_return])
 
 
 def all_measures(
@@ -74,13 +109,8 @@ def all_measures(
     vendors=ALL_VENDORS,
     abs_edges=ABS_EDGES,
     rel_edges=REL_EDGES,
+    coverage: str = "common",
 ) -> DataFrame:
     """The result of :func:`measures` with all parts, computed in long form."""
     edges = {"abs": abs_edges, "rel": rel_edges}
-    aggregates = [F.count(F.lit(1)).alias("fund_count")]
-    for part in PARTS:
-        aggregates += _aggregates(part, edges)
-    per_vendor = long_deviations(summary, keys, vendors).groupBy(*keys, "vendor").agg(*aggregates)
-    names = [c for c in per_vendor.columns if c not in (*keys, "vendor", "fund_count")]
-    wide = by_vendor(per_vendor, keys, names, vendors)
-    return wide.drop(*[f"{c}_opposite" for c in vendors if not VENDORS[c].has_return])
+    return finished(partial_measures(summary, keys, vendors, edges), keys, vendors, coverage)

@@ -1,7 +1,9 @@
 """The fund-by-day summary: feeds joined with the disclosed values and the fund types.
 
-All joins are inner joins on the fund and the day, so a fund-day appears only when every
-chosen vendor quoted it. No side is broadcast by hint: the small class tables and fund
+By default all joins are inner joins on the fund and the day, so a fund-day appears only when
+every chosen vendor quoted it (``coverage="common"``). With ``coverage="any"`` the vendors are
+joined from the left: every disclosed fund-day of a classified fund stays, with nulls for the
+vendors that lack it, and :func:`presence` tells which those are. No side is broadcast by hint: the small class tables and fund
 lists fall under Spark's size threshold, a large one takes a shuffled join instead, and
 AQE splits partitions that one hot fund makes too large.
 """
@@ -34,19 +36,46 @@ def classify(fund_classes: DataFrame, class_names: DataFrame) -> DataFrame:
     return fund_classes.join(class_names, "class_code").select("fund_code", "type")
 
 
+# Whether a fund-day needs every vendor, or stays with the vendors it has.
+COVERAGES = ("common", "any")
+
+
+def presence(vendors=ALL_VENDORS) -> Column:
+    """The vendors that a row of the summary holds, as a bit mask: bit ``i`` is set if there is
+    a value of the vendor at position ``i`` of all vendors, whatever ``vendors`` are looked at."""
+    bits = F.lit(0).cast("bigint")
+    for position, code in enumerate(ALL_VENDORS):
+        if code in vendors:
+            held = F.when(F.col(VENDORS[code].nav).isNotNull(), F.lit(1 << position)).otherwise(0)
+            bits = bits + held
+    return bits
+
+
+def coverage_counts(summary: DataFrame, keys, vendors=ALL_VENDORS) -> DataFrame:
+    """``keys``, ``present`` (see :func:`presence`) and the ``fund_days`` with these vendors."""
+    return (
+        summary.select(*keys, presence(vendors).alias("present"))
+        .groupBy(*keys, "present")
+        .agg(F.count(F.lit(1)).alias("fund_days"))
+    )
+
+
 def build_summary(
     truth: DataFrame,
     estimates: Mapping[str, DataFrame],
     fund_types: DataFrame,
     vendors=ALL_VENDORS,
     days=None,
+    coverage: str = "common",
 ) -> DataFrame:
     """Join the feeds into the summary.
 
     ``estimates`` maps a vendor code to its feed; vendors outside ``vendors`` are not
     read. ``days`` restricts every feed before the joins, so that a stored feed
-    partitioned by day is read only in part.
+    partitioned by day is read only in part. ``coverage`` as above.
     """
+    if coverage not in COVERAGES:
+        raise ValueError(f"unknown coverage {coverage!r}")
 
     def restricted(feed: DataFrame) -> DataFrame:
         return feed if days is None else feed.filter(in_days(days))
@@ -61,7 +90,9 @@ def build_summary(
             feed = feed.withColumn(vendor.ret, percent_number(F.col(f"{code}_ratio")))
         quoted = [vendor.nav] + ([vendor.ret] if vendor.has_return else [])
         summary = summary.join(
-            restricted(feed).select("fund_code", "day", *quoted), ["fund_code", "day"]
+            restricted(feed).select("fund_code", "day", *quoted),
+            ["fund_code", "day"],
+            "left" if coverage == "any" else "inner",
         )
     return summary.join(fund_types, "fund_code").select(*summary_columns(vendors))
 

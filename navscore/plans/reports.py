@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navscore.functions import deviation as D
@@ -27,18 +27,28 @@ KINDS = ("abs", "rel")
 
 @dataclass(frozen=True)
 class Scope:
-    """What a report covers: grouping keys, vendors and band edges."""
+    """What a report covers: grouping keys, vendors, band edges, and whether rows that lack a
+    vendor take part (``coverage="any"``): each vendor is then scored on the rows it has."""
 
     keys: tuple[str, ...] = ("type", "day")
     vendors: tuple[str, ...] = ALL_VENDORS
     abs_edges: tuple = field(default=ABS_EDGES)
     rel_edges: tuple = field(default=REL_EDGES)
+    coverage: str = "common"
 
     def measures(self, summary: DataFrame, parts=PARTS) -> DataFrame:
-        return measures(summary, self.keys, self.vendors, self.abs_edges, self.rel_edges, parts)
+        return measures(
+            summary, self.keys, self.vendors, self.abs_edges, self.rel_edges, parts, self.coverage
+        )
 
     def all_measures(self, summary: DataFrame) -> DataFrame:
-        return all_measures(summary, self.keys, self.vendors, self.abs_edges, self.rel_edges)
+        return all_measures(
+            summary, self.keys, self.vendors, self.abs_edges, self.rel_edges, self.coverage
+        )
+
+    def rows(self, code: str) -> Column:
+        """What a vendor's mean or share is taken over: all rows, or those that hold it."""
+        return F.col(f"{code}_rows" if self.coverage == "any" else "fund_count")
 
     def medians(self, summary: DataFrame, kinds=KINDS) -> DataFrame:
         rounded = [f"{kind}_rounded" for kind in kinds]
@@ -53,8 +63,9 @@ class Scope:
 
 def _wide(source: DataFrame, scope: Scope, columns) -> DataFrame:
     """Keys, group size and ``columns`` per vendor; smallest groups first, keys break ties."""
+    held = [f"{code}_rows" for code in scope.vendors if f"{code}_rows" in source.columns]
     per_vendor = [column for code in scope.vendors for column in columns(code)]
-    report = source.select(*scope.keys, "fund_count", *per_vendor)
+    report = source.select(*scope.keys, "fund_count", *held, *per_vendor)
     return report.orderBy("fund_count", *scope.keys)
 
 
@@ -63,7 +74,7 @@ def _opposite(measured: DataFrame, scope: Scope) -> DataFrame:
         if not VENDORS[code].has_return:
             return []
         rows = F.col(f"{code}_opposite")
-        return [rows, D.share_percent(rows, F.col("fund_count")).alias(f"{code}_opposite_pct")]
+        return [rows, D.share_percent(rows, scope.rows(code)).alias(f"{code}_opposite_pct")]
 
     return _wide(measured, scope, columns)
 
@@ -71,7 +82,7 @@ def _opposite(measured: DataFrame, scope: Scope) -> DataFrame:
 def _mean(kind: str, mean):
     def build(measured: DataFrame, scope: Scope) -> DataFrame:
         def columns(code):
-            value = mean(F.col(f"{code}_{kind}_sum"), F.col("fund_count"))
+            value = mean(F.col(f"{code}_{kind}_sum"), scope.rows(code))
             return [value.alias(f"{code}_{kind}_mean")]
 
         return _wide(measured, scope, columns)
@@ -101,7 +112,9 @@ def _median(kind: str):
 def _bands(kind: str, cumulative: bool):
     def build(measured: DataFrame, scope: Scope) -> DataFrame:
         edges = scope.abs_edges if kind == "abs" else scope.rel_edges
-        return band_shares(measured, scope.keys, edges, kind, cumulative, scope.vendors)
+        return band_shares(
+            measured, scope.keys, edges, kind, cumulative, scope.vendors, scope.coverage
+        )
 
     return build
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from navscore.operators.summary import build_summary, classify, in_days, restrict_to_list
+from navscore.plans import states
 from navscore.plans.reports import COMMON_LABELS, REPORTS, Scope, Scores, display
 from navscore.schemas import ALL_VENDORS, GROUPINGS
 from navscore.sources import feeds, store
@@ -48,7 +49,9 @@ def write_rejects(loaded: Mapping[str, feeds.Feed], path: str) -> None:
     feeds.line_counts(loaded).write.mode("overwrite").parquet(f"{root}/lines_by_reason")
 
 
-def daily_summary(loaded: Mapping[str, feeds.Feed], days, vendors=ALL_VENDORS) -> DataFrame:
+def daily_summary(
+    loaded: Mapping[str, feeds.Feed], days, vendors=ALL_VENDORS, coverage: str = "common"
+) -> DataFrame:
     """The summary of ``days``, restricted to the top list when that feed was loaded."""
     truth = loaded["truth"].rows
     if "top_list" in loaded:
@@ -60,6 +63,7 @@ def daily_summary(loaded: Mapping[str, feeds.Feed], days, vendors=ALL_VENDORS) -
         classify(loaded["fund_classes"].rows, loaded["class_names"].rows),
         vendors,
         days,
+        coverage,
     )
 
 
@@ -67,12 +71,15 @@ def write_reports(summary: DataFrame, scope: Scope, work_path: str, csv_path: st
     """Score the summary and write all eleven reports, as people read them, as CSV."""
     scores = Scores(summary, scope, work_path)
     for name in REPORTS:
-        frame = scores.report(name)
-        order = [COMMON_LABELS[c] for c in ("fund_count", *scope.keys, "vendor") if c in frame.columns]
-        store.write_csv(display(name, frame, scope), f"{csv_path.rstrip('/')}/{name}", order)
+        _write_report(name, scores.report(name), scope, csv_path)
     return scores
 
 
+def _write_report(name: str, frame: DataFrame, scope: Scope, csv_path: str) -> None:
+    order = [COMMON_LABELS[c] for c in ("fund_count", *scope.keys, "vendor") if c in frame.columns]
+    store.write_csv(display(name, frame, scope), f"{csv_path.rstrip('/')}/{name}", order)
+
+
 def daily_run(
     spark: SparkSession,
     paths: Mapping[str, str],
@@ -83,16 +90,25 @@ def daily_run(
     vendors=ALL_VENDORS,
     hm_layout: str = "tab",
     encodings: Mapping[str, str] | None = None,
+    coverage: str = "common",
+    states_path: str | None = None,
 ) -> Scores:
     """Load the feeds, store the summary of ``days``, and report by type and day.
 
-    Rejected lines and counts go to ``rejects`` in the work folder.
+    Rejected lines and counts go to ``rejects`` in the work folder. With ``coverage="any"``
+    fund-days that some vendors lack are stored and scored on the vendors they have. With a
+    ``states_path`` the states of the days are stored there for :func:`states_range_run`.
     """
     loaded = load_feeds(spark, paths, hm_layout, encodings)
     write_rejects(loaded, f"{work_path.rstrip('/')}/rejects")
-    store.write_summary(daily_summary(loaded, days, vendors), store_path, days)
-    stored = store.complete_rows(store.read_summary(spark, store_path, days), vendors)
-    return write_reports(stored, Scope(GROUPINGS["day"], tuple(vendors)), work_path, csv_path)
+    store.write_summary(daily_summary(loaded, days, vendors, coverage), store_path, days)
+    stored = store.read_summary(spark, store_path, days)
+    if coverage == "common":
+        stored = store.complete_rows(stored, vendors)
+    scope = Scope(GROUPINGS["day"], tuple(vendors), coverage=coverage)
+    if states_path is not None:
+        states.write_states(stored, states_path, scope, days)
+    return write_reports(stored, scope, work_path, csv_path)
 
 
 def range_run(
@@ -103,23 +119,47 @@ def range_run(
     csv_path: str,
     grouping: str = "week",
     vendors=ALL_VENDORS,
+    coverage: str = "common",
 ) -> Scores:
     """Report a range of stored days by type (``week``) or as a whole (``all``).
 
     Only rows that hold every chosen vendor take part; the days that lack one are written to
-    ``incomplete_days`` in the work folder.
+    ``incomplete_days`` in the work folder. With ``coverage="any"`` all stored rows take part,
+    each vendor on the rows it has.
     """
     stored = store.read_summary(spark, store_path, days)
     left_out = store.incomplete_days(stored, vendors)
     left_out.write.mode("overwrite").parquet(f"{work_path.rstrip('/')}/incomplete_days")
     return write_reports(
-        store.complete_rows(stored, vendors),
-        Scope(GROUPINGS[grouping], tuple(vendors)),
+        store.complete_rows(stored, vendors) if coverage == "common" else stored,
+        Scope(GROUPINGS[grouping], tuple(vendors), coverage=coverage),
         work_path,
         csv_path,
     )
 
 
+def states_range_run(
+    spark: SparkSession,
+    states_path: str,
+    days,
+    csv_path: str,
+    grouping: str = "week",
+    vendors=ALL_VENDORS,
+    coverage: str = "common",
+    sketched: bool = False,
+) -> dict[str, DataFrame]:
+    """The reports of :func:`range_run` from the stored states of the days alone; medians are
+    exact, or of a stated rank error when ``sketched``."""
+    scope = Scope(GROUPINGS[grouping], tuple(vendors), coverage=coverage)
+    found = {
+        name: states.state_report(spark, name, states_path, scope, days, sketched)
+        for name in REPORTS
+    }
+    for name, frame in found.items():
+        _write_report(name, frame, scope, csv_path)
+    return found
+
+
 def text_range_run(
     spark: SparkSession,
     path: str,

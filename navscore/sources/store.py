@@ -25,20 +25,27 @@ def write_summary(summary: DataFrame, path: str, days=None) -> None:
     AQE merge small days and cut a hot one into several files; rows are sorted by fund within
     a file, which keeps per-file fund ranges narrow.
     """
-    before = {} if days is None else _day_files(summary.sparkSession, path, days)
+    write_days(summary, path, days, ("fund_code",))
+
+
+def write_days(rows: DataFrame, path: str, days=None, order=()) -> None:
+    """Store rows as Parquet, one folder per day, sorted by ``order`` within a file; which days
+    are replaced is said at :func:`write_summary`."""
+    spark = rows.sparkSession
+    before = {} if days is None else _day_files(spark, path, days)
     (
-        summary.hint("rebalance", F.col("day"))
-        .sortWithinPartitions("day", "fund_code")
+        rows.hint("rebalance", F.col("day"))
+        .sortWithinPartitions("day", *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")
         .parquet(path)
     )
     if before:
-        after = _day_files(summary.sparkSession, path, days)
+        after = _day_files(spark, path, days)
         stale = [day for day, files in before.items() if after.get(day) == files]
         for day in stale:  # not written by this run, which covers it
-            folder, files = _folder(summary.sparkSession, f"{path.rstrip('/')}/{day}")
+            folder, files = _folder(spark, f"{path.rstrip('/')}/{day}")
             files.delete(folder, True)
 
 

@@ -156,6 +156,10 @@ def exact_std(values):
     return k
 
 
+def std_parts(x):
+    return {"n": F.count(x), "t": D.exact_sum(x), "q": D.exact_square_sum(x)}
+
+
 def test_sums_and_deviations_against_whole_numbers(spark):
     rng = random.Random(4)
     groups = {
@@ -170,8 +174,9 @@ def test_sums_and_deviations_against_whole_numbers(spark):
     found = frame.groupBy("g").agg(
         D.exact_sum(x).alias("total"),
         D.exact_square_sum(x).alias("squares"),
-        D.std_thousandths(F.count(x), D.exact_sum(x), D.exact_square_sum(x)).alias("std"),
+        *[value.alias(name) for name, value in std_parts(x).items()],
     )
+    found = D.with_std(found, {"std": tuple(std_parts(x))})
     for r in found.collect():
         values = groups[r.g]
         assert (int(r.total), int(r.squares)) == (sum(values), sum(v * v for v in values))
@@ -191,10 +196,9 @@ def test_deviation_of_large_values(spark):
     x = F.pmod(F.col("id") * 7919, F.lit(100003)) * F.lit(10**9) + F.col("id")
     found = spark.range(len(values)).select(x.cast("double").alias("x")).agg(
         D.exact_square_sum(F.col("x")).alias("squares"),
-        D.std_thousandths(
-            F.count("x"), D.exact_sum(F.col("x")), D.exact_square_sum(F.col("x"))
-        ).alias("std"),
-    ).collect()[0]
+        *[value.alias(name) for name, value in std_parts(F.col("x")).items()],
+    )
+    found = D.with_std(found, {"std": tuple(std_parts(F.col("x")))}).collect()[0]
     assert int(found.squares) == sum(v * v for v in values)
     assert found["std"] == exact_std(values)
 
