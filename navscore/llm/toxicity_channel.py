@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from navscore.llm.common import byte_slices, fold, labelled_sample, table, text_of
+from navscore.llm.phrase_tries import bitmap, bits_of
 
 SAMPLE = 2000  # labelled documents of each label that propose expressions
 CANDIDATES = 100_000  # the most frequent proposals that are tested on all labelled documents
@@ -82,7 +83,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 PREFIXES = range(3, 9)
 WHOLE = 64  # longer words are known by their beginnings only
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 64 << 20
 
 
 @dataclass
@@ -171,6 +172,14 @@ class Channel:
         """The text in lower case with rows of single characters read as units."""
         return _SPACED.sub(lambda row: self.decode(row.group().replace("\t", " ")), text.lower())
 
+    def tokens(self, text: str) -> list[str]:
+        """The tokens of ``unspaced(text)``."""
+        found = text.lower().split()
+        single = np.fromiter(map(len, found), np.int64, len(found)) == 1
+        if (single[:-2] & single[1:-1] & single[2:]).any():
+            return self.unspaced(text).split()
+        return found
+
 
 class Reader:
     """Readings of tokens by a channel, each taken through ``use`` once and remembered."""
@@ -192,6 +201,30 @@ class Reader:
         return found
 
 
+class Sieve:
+    """Tokens that may hold one of some expressions; the others are remembered and skipped."""
+
+    def __init__(self, channel: Channel, names) -> None:
+        self.channel = channel
+        # an expression shorter than the shortest beginning is a whole word
+        self.heads = {name[1 : 1 + PREFIXES[0]] for name in names}
+        self.clean: set[str] = set()
+        self.size = 0
+
+    def of(self, tokens: list[str]) -> list[str]:
+        """The tokens, each once, in the order of the alphabet."""
+        found = []
+        for token in sorted(set(tokens) - self.clean):
+            if any(w[: PREFIXES[0]] in self.heads for w in _letters(self.channel.read(token))):
+                found.append(token)
+            elif len(token) <= 256:
+                self.size += 2 * len(token) + 100
+                if self.size > MEMO_BYTES:
+                    self.clean, self.size = set(), 2 * len(token) + 100
+                self.clean.add(token)
+        return found
+
+
 def _letters(text: str) -> tuple[str, ...]:
     return tuple(_WORDS.findall(text))
 
@@ -312,12 +345,16 @@ def _occurrences(channel: Channel, wanted):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(channel, _letters)
+        sieve = None if wanted is None else Sieve(channel, wanted)
         known: dict[str, list[str]] = {}
         for batch in batches:
             for rows in byte_slices(batch, 1, 1 << 20):
                 number, names, around, forms = [], [], [], []
                 for row, text in enumerate(rows.column(1).to_pylist()):
-                    words = [w for t in channel.unspaced(text).split() for w in reader.of(t)]
+                    tokens = channel.tokens(text)
+                    if sieve is not None and not sieve.of(tokens):
+                        continue
+                    words = [w for t in tokens for w in reader.of(t)]
                     first: dict[str, int] = {}
                     for i, word in enumerate(words):
                         if word not in first:
@@ -388,6 +425,12 @@ def train(docs: DataFrame, labels: DataFrame, channel: Channel, sample: int = SA
     def found(rows: DataFrame, wanted) -> DataFrame:
         return rows.mapInArrow(_occurrences(channel, wanted), schema)
 
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            kept = batch.filter(pa.array(bits_of(ids.value, codes)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], ["doc_id", "t"])
+
     # the sample is bounded by its parameter, so its ids may be sent to every task
     proposed = found(texts.join(F.broadcast(chosen.select("doc_id")), "doc_id"), None)
     tally = _tally(proposed.join(F.broadcast(chosen), "doc_id"))
@@ -399,7 +442,12 @@ def train(docs: DataFrame, labels: DataFrame, channel: Channel, sample: int = SA
     wanted = {row["name"] for row in proposals}
     if not wanted:
         return {}
-    tally = _tally(found(texts, wanted).join(known, "doc_id"))
+    # a bitmap of bounded size keeps most documents without a label from being read; the join
+    # with the labels decides
+    code = F.xxhash64("doc_id").alias("g")
+    ids = docs.sparkSession.sparkContext.broadcast(bitmap(known.select(code)))
+    near = texts.select("doc_id", "t", code).mapInArrow(labelled, texts.schema)
+    tally = _tally(found(near, wanted).join(known, "doc_id"))
     whole = F.col("name").startswith("=") | (F.col("words") >= SEVERAL)
     rows = tally.where(whole).orderBy("name").collect()
     t, f = (np.array([row[name] for row in rows], float) for name in ("t", "f"))
@@ -420,11 +468,11 @@ def score(docs: DataFrame, channel: Channel, lexicon: dict[str, float]) -> DataF
         return tuple(found)
 
     def compute():
-        reader = Reader(channel, strong)
+        reader, sieve = Reader(channel, strong), Sieve(channel, lexicon)
 
         def of(text: str | None) -> float:
             words: dict[str, float] = {}
-            for token in set(channel.unspaced(text or "").split()):
+            for token in sieve.of(channel.tokens(text or "")):
                 words.update(reader.of(token))
             return 1 - (1 - BASE) * math.prod(1 - words[word] for word in sorted(words))
 
