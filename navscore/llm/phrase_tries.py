@@ -50,8 +50,8 @@ TOP = 2000
 EXPLAINED = 50  # per cent of a phrase's count that a longer candidate must reach
 BITS = 27
 SHARD_BYTES = 6 << 20
-SLICE = 4 << 20
-CHUNK = 1 << 18  # words that are hashed or advanced together
+SLICE = 2 << 20
+CHUNK = 1 << 16  # words that are hashed or advanced together
 SALTS = 32
 
 #: The marks that end a piece.
