@@ -2,17 +2,21 @@
 
 Texts are normalised (A-Z to lower case, words are runs of letters, digits and non-ASCII
 characters). Every benchmark item gives its windows of ten words; an item of fewer words is
-one window. The windows' hashes are a set that each task holds while it scans the windows of
-its documents; a hit of the hash is verified on the words themselves before it counts.
+one window. The windows are a hash set under their rarest word in the benchmark (the longest
+of equals), which each task holds while it scans the words of its documents: at a word that is
+such a key, the window around it is compared word by word before it counts.
 
-The set is broadcast only while the benchmark holds at most ``BROADCAST_WINDOWS`` windows
-(counted first); a larger one is joined on the hash by a shuffle. Only verified hits leave a
-task; they are merged per distinct text, so a passage in a third of all documents adds one
+The set is broadcast in parts of ``BROADCAST_BYTES`` at most, measured first; a benchmark that
+needs several parts costs a scan of the documents for each. Only verified hits leave a task;
+they are merged per distinct text, so a passage in a third of all documents adds one
 row for each document and window and never gathers documents.
 
-Defined cases: a null or wordless text has no words and is clean; items without words give
-no window; repeated documents and items count as rows; a null ``doc_id`` or ``item_id`` is
-kept (a null item is left out of the digest's list but counts); other columns are ignored.
+Defined cases: a null or wordless text has no words and is clean; very long texts are scanned
+whole; items without words give no window; repeated documents and items count as rows; a null
+``doc_id`` or ``item_id`` is kept (a null item is left out of the digest's list but counts);
+an empty table of documents gives no rows, an empty benchmark no hits; other columns, whatever
+they are called, are carried by the functions that return documents (``mark`` gives its own
+columns precedence) and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navscore.llm.common import ascii_lower, let, text_of
+from navscore.llm.common import ascii_lower, fresh, let, text_of
 
 SIZE = 10
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 ITEM_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -32,27 +36,29 @@ def item_words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """Distinct windows of the items with the items they occur in: h, n, win, items."""
+    """Distinct windows of the items with the items they occur in: win, n, items, their key
+    ``word`` and its place ``off`` in the window."""
     words = benchmark.select("item_id", item_words(text_of()).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     windows = words.select(
         "item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win")
     )
-    return windows.groupBy("win").agg(F.collect_set("item_id").alias("items")).select(
-        F.xxhash64("win").alias("h"), F.size("win").alias("n"), "win", "items"
+    distinct = windows.groupBy("win").agg(F.collect_set("item_id").alias("items"))
+    uses = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
+    places = distinct.select("win", F.posexplode("win").alias("off", "word")).join(uses, "word")
+    keys = places.groupBy("win").agg(
+        F.min(F.struct("uses", -F.length("word").alias("length"), "off", "word")).alias("key")
+    )
+    return distinct.join(keys, "win").select(
+        "win", F.size("win").alias("n"), "items", F.col("key.off"), F.col("key.word")
     )
 
 
-def _hashes(words: Column, length: int) -> Column:
-    """Hash of the window that starts at each word and holds ``length`` words."""
-    whole = F.size(words) - length + 1
-    return F.when(
-        whole > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(whole, F.lit(1))),
-            lambda i: F.xxhash64(F.slice(words, i, length)),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+def parts_of(windows: DataFrame) -> int:
+    """The number of parts in which the windows are broadcast."""
+    held = F.octet_length(F.array_join("win", "")) + 16 * F.col("n") + 8 * F.size("items") + 64
+    size = windows.agg(F.sum(held)).first()[0] or 0
+    return max(1, -(-size // BROADCAST_BYTES))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
@@ -61,22 +67,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     ``positions`` are the zero-based numbers of the words inside any occurrence.
     """
     windows = benchmark_windows(benchmark, size)
-    sizes = windows.groupBy("n").agg(F.count(F.lit(1)).alias("windows")).collect()
-    if sum(row["windows"] for row in sizes) <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
+    parts = parts_of(windows)
     words = docs.select(
         "doc_id", F.xxhash64(text_of()).alias("text_key"), item_words(text_of()).alias("w")
-    )
+    ).select("*", F.posexplode("w").alias("at", "token"))
     found = None
-    for length in sorted(row["n"] for row in sizes) or [size]:
-        scanned = words.select(
-            "doc_id", "text_key", "w", F.posexplode(_hashes(F.col("w"), length)).alias("p", "h")
+    for part in range(parts):
+        own = windows.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == part)
+        start = F.col("at") - F.col("off")
+        same = F.when(start >= 0, F.slice("w", start + 1, F.col("n")) == F.col("win"))
+        scanned = words.join(F.broadcast(own), (F.col("token") == F.col("word")) & same).select(
+            "doc_id", "text_key", start.alias("p"), "n", "items"
         )
-        part = scanned.join(
-            windows.where(F.col("n") == length).withColumnRenamed("h", "wh"),
-            (F.col("h") == F.col("wh")) & (F.slice("w", F.col("p") + 1, length) == F.col("win")),
-        ).select("doc_id", "text_key", "p", F.lit(length).alias("n"), "items")
-        found = part if found is None else found.unionByName(part)
+        found = scanned if found is None else found.unionByName(scanned)
     return found.groupBy("doc_id", "text_key").agg(
         F.array_distinct(
             F.flatten(
@@ -90,39 +93,31 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
+def _with_hits(docs: DataFrame, found: DataFrame, columns: dict, how: str) -> DataFrame:
+    """``docs`` joined with ``columns`` of the rows of :func:`hits`."""
+    doc, key = (fresh([*docs.columns, *columns], name) for name in ("hit_doc", "hit_key"))
+    found = found.select(
+        F.col("doc_id").alias(doc),
+        F.col("text_key").alias(key),
+        *[value.alias(name) for name, value in columns.items()],
+    )
+    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(text_of()) == F.col(key))
+    return docs.join(found, same, how).drop(doc, key)
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` with ``hit_positions`` and ``hit_items`` (empty arrays when clean)."""
-    if {"hit_positions", "hit_items"} & set(docs.columns):
-        raise ValueError("the input has a column hit_positions or hit_items already")
-    found = hits(docs, benchmark, size).select(
-        F.col("doc_id").alias("__hit_doc"),
-        F.col("text_key").alias("__hit_key"),
-        F.col("positions").alias("hit_positions"),
-        F.col("items").alias("hit_items"),
-    )
-    return docs.join(
-        found,
-        F.col("doc_id").eqNullSafe(F.col("__hit_doc"))
-        & (F.xxhash64(text_of()) == F.col("__hit_key")),
-        "left",
-    ).select(
-        *[docs[c] for c in docs.columns],
-        F.coalesce("hit_positions", F.array().cast("array<int>")).alias("hit_positions"),
-        F.coalesce("hit_items", F.array().cast("array<bigint>")).alias("hit_items"),
+    docs = docs.drop("hit_positions", "hit_items")
+    given = {"hit_positions": F.col("positions"), "hit_items": F.col("items")}
+    marked = _with_hits(docs, hits(docs, benchmark, size), given, "left")
+    return marked.withColumns(
+        {name: F.coalesce(name, F.array().cast(marked.schema[name].dataType)) for name in given}
     )
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents without any hit, with the columns of ``docs``."""
-    found = hits(docs, benchmark, size).select(
-        F.col("doc_id").alias("__hit_doc"), F.col("text_key").alias("__hit_key")
-    )
-    return docs.join(
-        found,
-        F.col("doc_id").eqNullSafe(F.col("__hit_doc"))
-        & (F.xxhash64(text_of()) == F.col("__hit_key")),
-        "left_anti",
-    )
+    return _with_hits(docs, hits(docs, benchmark, size), {}, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
@@ -151,26 +146,29 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Dat
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     """Hit words and items of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = hits(docs, benchmark).select(
-        F.col("doc_id").alias("__hit_doc"),
-        F.col("text_key").alias("__hit_key"),
-        F.size("positions").cast("long").alias("hit"),
-        F.size("items").cast("long").alias("item_count"),
-        F.sha2(
-            F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ","), 256
-        ).alias("digest"),
-    )
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    given = {
+        "hit": F.size("positions").cast("long"),
+        "item_count": F.size("items").cast("long"),
+        "digest": F.sha2(F.array_join(ids, ","), 256),
+    }
+    # the texts are counted before the join, which then moves none of them
     counted = docs.select(
         "doc_id",
         F.xxhash64(text_of()).alias("text_key"),
         F.size(item_words(text_of())).cast("long").alias("n_words"),
     )
+    found = hits(docs, benchmark).select(
+        F.col("doc_id").alias("hit_doc"),
+        F.col("text_key").alias("hit_key"),
+        *[value.alias(name) for name, value in given.items()],
+    )
     none = F.lit(0).cast("long")
     return counted.join(
         found,
-        F.col("doc_id").eqNullSafe(F.col("__hit_doc")) & (F.col("text_key") == F.col("__hit_key")),
+        F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_key")),
         "left",
     ).select(
         "doc_id",

@@ -116,9 +116,9 @@ def small(spark):
     return docs, spark.createDataFrame(ITEMS, "item_id long, text string")
 
 
-@pytest.mark.parametrize("bound", [0, 1_000_000])
+@pytest.mark.parametrize("bound", [400, 1 << 26])
 def test_hits_against_plain_python(small, monkeypatch, bound):
-    monkeypatch.setattr(D, "BROADCAST_WINDOWS", bound)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", bound)
     docs, items = small
     got = {(r.doc_id, r.text): r for r in D.mark(docs, items).collect()}
     for doc_id, text in DOCS:
@@ -128,6 +128,23 @@ def test_hits_against_plain_python(small, monkeypatch, bound):
         assert set(r.hit_items) == found - {None}
 
 
+def test_parts_are_bounded_in_bytes(small, monkeypatch):
+    windows = D.benchmark_windows(small[1])
+    assert D.parts_of(windows) == 1
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 400)
+    assert D.parts_of(windows) > 3
+
+
+def test_columns_with_names_of_helpers(small):
+    docs, items = small
+    docs = docs.selectExpr("*", "1 as hit_doc", "2 as HIT_KEY", "3 as hit_items", "4 as w")
+    marked = D.mark(docs, items)
+    assert marked.columns == [*[c for c in docs.columns if c != "hit_items"], "hit_positions", "hit_items"]
+    assert {(r.hit_doc, r.HIT_KEY, r.w) for r in marked.collect()} == {(1, 2, 4)}
+    kept = D.drop_documents(docs, items)
+    assert kept.columns == docs.columns and {r.hit_items for r in kept.collect()} == {3}
+
+
 def test_documents_and_spans_removed(small):
     docs, items = small
     kept = D.drop_documents(docs, items).collect()
