@@ -3,16 +3,22 @@
 The pattern attaches one space to what follows it, and keeps a run of white space together
 up to its last character. A space with a character other than white space on either side
 therefore always starts a pre-token: the text can be cut there and equal pieces share their
-result. Pieces are looked up in a memo whose size is bounded; when it is full it is emptied,
-which costs time only.
+result. Pieces are looked up in a memo whose bytes are bounded; when it is full it keeps what
+is wanted just then, which costs time only. Long pieces are not remembered: a text without
+spaces is one piece.
+
+Defined cases: an empty text is one empty piece; no pieces give no results.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
-MEMO = 400_000
+MEMO = 64 << 20  # bytes
+ENTRY = 100  # bytes of a dictionary's entry
+LONG = 256  # characters
 SEGMENT = 1 << 20
 
 _WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
@@ -43,21 +49,43 @@ def segments(text: str) -> Iterator[str]:
 
 
 class Memo:
-    """Results of pieces, computed for many new pieces at a time."""
+    """Results of pieces, computed for many new pieces at a time; at most ``size`` bytes of
+    pieces and results are remembered from one call to the next."""
 
     def __init__(self, solve: Callable[[list[str]], list], size: int = MEMO):
         self.solve, self.size = solve, size
         self.known: dict[str, object] = {}
+        self.held = 0
+
+    @staticmethod
+    def _bytes(entries) -> int:
+        """What the entries take that are remembered."""
+        return sum(getsizeof(p) + getsizeof(r) + ENTRY for p, r in entries if len(p) <= LONG)
+
+    def _add(self, wanted: set[str], new: list[str]) -> list[str]:
+        """Compute ``new`` pieces; those that are not to be remembered are returned."""
+        found = self.solve(new)
+        held = self._bytes(zip(new, found))
+        if self.held + held > self.size:
+            self.known = {p: self.known[p] for p in wanted if p in self.known}
+            self.held = self._bytes(self.known.items())
+        self.known.update(zip(new, found))
+        self.held += held
+        if self.held > self.size:  # this call alone is larger
+            return list(self.known)
+        return [p for p in new if len(p) > LONG]
+
+    def forget(self, pieces: list[str]) -> None:
+        self.held -= self._bytes((p, self.known[p]) for p in pieces)
+        for piece in pieces:
+            del self.known[piece]
 
     def of(self, documents: list[list[str]]) -> list[list]:
         """The results of the pieces of each document; a piece is given with its space."""
-        wanted: set[str] = set()
-        for pieces in documents:
-            wanted.update(pieces)
-        new = [p for p in wanted if p not in self.known]
-        if len(self.known) + len(new) > self.size:
-            self.known = {}
-            new = list(wanted)
-        self.known.update(zip(new, self.solve(new)))
+        wanted: set[str] = set().union(*documents)
+        new = list(wanted.difference(self.known))
+        passing = self._add(wanted, new) if new else []
         find = self.known.__getitem__
-        return [list(map(find, pieces)) for pieces in documents]
+        found = [list(map(find, pieces)) for pieces in documents]
+        self.forget(passing)
+        return found

@@ -9,7 +9,8 @@ is that plus the totals of the files before, one number per file.
 
 Defined cases: null and empty texts consist of the end id; equal ``doc_id`` values follow
 one another in the order of a hash of their texts; a null ``doc_id`` comes first; very long
-texts are cut at safe spaces before they are encoded; other columns are ignored.
+texts are cut at safe spaces before they are encoded; an empty table writes no ids and gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from navscore.llm.common import byte_slices, scratch, text_of
 from navscore.llm.token_count import PATTERN, byte_symbols
 
 END = 2
-MEMO = 800_000  # pieces a worker remembers, some 200 MB
+_MARKS = ".,;:!?"
+MEMO = 160 << 20  # bytes of pieces and ids that a worker remembers
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 # Settings of the ORC writer.
 LAYOUT = {
@@ -81,11 +83,15 @@ class Encoder:
         known, fresh, encode = self.inner.known, {}, self._token
         out = []
         for piece in pieces:
-            spaced_ = " " + piece
-            if piece.isalpha() and piece.isascii():
-                tokens = (spaced_,)
+            if piece.isascii() and piece[:-1].isalpha():
+                if piece[-1].isalpha():
+                    tokens = (" " + piece,)
+                elif piece[-1] in _MARKS:  # a token of its own
+                    tokens = (" " + piece[:-1], piece[-1])
+                else:
+                    tokens = self.split(" " + piece)
             else:
-                tokens = self.split(spaced_)
+                tokens = self.split(" " + piece)
             parts = []
             for token in tokens:
                 ids = fresh.get(token)

@@ -1,5 +1,6 @@
 import random
 import zlib
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -7,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from navscore.llm import chunks, token_count, token_files
+from navscore.llm.chunks import ENTRY, Memo
 from navscore.llm.common import scratch
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -98,3 +100,33 @@ def test_empty_tables(spark):
     path = scratch(spark, "test-files")
     token_files.write(docs, PATH, path)
     assert token_files.read(spark, path).collect() == []
+
+
+def test_memo_is_bounded_in_bytes():
+    calls = []
+
+    def solve(pieces):
+        calls.append(sorted(pieces))
+        return [p.upper().encode() for p in pieces]
+
+    memo = Memo(solve, 2000)
+    assert memo.of([["a", "b", "a"], [], ["b"]]) == [[b"A", b"B", b"A"], [], [b"B"]]
+    assert memo.of([["a"]]) == [[b"A"]] and calls == [["a", "b"]]
+    long = "x" * 1000
+    assert memo.of([[long, "a"]]) == [[long.upper().encode(), b"A"]]
+    assert long not in memo.known and "a" in memo.known
+    for i in range(50):
+        assert memo.of([[f"n{i}", "a"]]) == [[f"N{i}".encode(), b"A"]]
+        assert memo.held <= 2000 and "a" in memo.known
+    many = [f"m{i}" for i in range(100)]
+    assert memo.of([many]) == [[m.upper().encode() for m in many]] and memo.held <= 2000
+    assert memo.held == sum(
+        getsizeof(k) + getsizeof(v) + ENTRY for k, v in memo.known.items()
+    )
+
+
+def test_texts_without_spaces(spark, library):
+    rows = [(i, chr(0x4E00 + i % 7) * 900 + chr(0x5000 + i)) for i in range(40)] + [(99, "z" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in rows}
+    assert {r.doc_id: r.n_tokens for r in token_count.token_counts(docs, PATH).collect()} == want
