@@ -302,8 +302,6 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def _encoder(docs: DataFrame, model: str, kind: str) -> Callable[[Batches], Batches]:
-    if "piece_ids" in docs.columns:
-        raise ValueError("the input has a column piece_ids already")
     where = docs.columns.index("text")
 
     def run(batches: Batches) -> Batches:
@@ -339,18 +337,22 @@ def _decoder(model: str) -> Callable[[Batches], Batches]:
 
 
 def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
-    """``docs`` with its columns and ``piece_ids array<int>``."""
+    """``docs`` with ``piece_ids array<int>``; an input column of that name gives way."""
+    docs = docs.drop("piece_ids")
     schema = docs.select("*").schema.add("piece_ids", ArrayType(IntegerType()))
     return docs.mapInArrow(_encoder(docs, model, kind), schema)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
-    """``rows`` with ``decoded``, the text of its ``piece_ids``."""
+    """``rows`` with ``decoded``, the text of its ``piece_ids``; an input column of that name
+    gives way."""
+    rows = rows.drop("decoded")
     return rows.mapInArrow(_decoder(model), rows.select("*").schema.add("decoded", StringType()))
 
 
 def encode_and_decode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     """Both in one pass, so a task needs one Python worker."""
+    docs = docs.drop("piece_ids", "decoded")
     there, back = _encoder(docs, model, kind), _decoder(model)
     schema = docs.select("*").schema.add("piece_ids", ArrayType(IntegerType()))
     return docs.mapInArrow(lambda batches: back(there(batches)), schema.add("decoded", StringType()))

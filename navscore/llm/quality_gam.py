@@ -14,7 +14,8 @@ without a shuffle.
 Defined cases: null and empty texts are scored on zero features; without labels every score
 is 0.5; a repeated ``doc_id`` gives one training
 row, with the lower label where they differ; repeated documents are scored alike;
-a null ``doc_id`` has no label; ``score`` keeps every column of its input.
+a null ``doc_id`` has no label; very long texts are scored whole; an empty table gives no rows;
+``score`` keeps every column of its input but one named like its own.
 """
 
 from __future__ import annotations
@@ -255,10 +256,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(x, y, weight / weight.mean())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``quality_score``."""
-    if "quality_score" in docs.columns:
-        raise ValueError("the input has a column quality_score already")
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """``docs`` with the column ``name``; an input column of that name gives way."""
+    docs = docs.drop(name)
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +268,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 x = np.array(list(map(features, texts))).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns, pa.array(model.score(x), pa.float64())],
-                    [*rows.schema.names, "quality_score"],
+                    [*rows.schema.names, name],
                 )
 
-    return docs.mapInArrow(run, docs.select("*").schema.add("quality_score", DoubleType()))
+    return docs.mapInArrow(run, docs.select("*").schema.add(name, DoubleType()))
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -57,8 +57,9 @@ def test_quality_edge_cases(spark):
         assert len(rows) == 4 and all(0 <= r.quality_score <= 1 for r in rows)
         assert sorted(r.score or "" for r in rows) == ["", "a", "b", "b"]
     assert Q.score(docs.limit(0), Q.Model()).collect() == []
-    with pytest.raises(ValueError):
-        Q.score(docs.selectExpr("*", "1 AS quality_score"), Q.Model())
+    clashing = Q.score(docs.selectExpr("1 AS quality_score", "*"), Q.Model())
+    assert clashing.columns == [*docs.columns, "quality_score"]
+    assert {r.quality_score for r in clashing.collect()} == {0.5}
 
 
 # -- language
