@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navscore.llm import decontaminate, piece_fst, quality_gam, simhash_gray, suffix_dedup
-from navscore.llm.common import stored, table
+from navscore.llm.common import fresh, stored, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -27,8 +27,9 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; learnt from these documents' labels."""
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality_gam.score(docs, model)
-    return scored.where(F.col("quality_score") >= quality_gam.THRESHOLD).drop("quality_score")
+    name = fresh(docs.columns, "quality_score")
+    scored = quality_gam.score(docs, model, name)
+    return scored.where(F.col(name) >= quality_gam.THRESHOLD).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
