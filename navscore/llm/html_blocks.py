@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass decides a block by itself:
 markup that names its purpose (menus, page headers and footers, sidebars, notices, adverts,
 forms, comments) and a high share of linked text make it bad; in or around the article, names
-that may also be a part of it (header, widget) leave it open; enough length with enough stop
+that may also be a part of it (header, widget) and links (a linked headline) leave it open, but
+for short or linked blocks named after sharing and related pages; enough length with enough stop
 words and few links make it good; everything else, short blocks above all, stays open. The
 second pass gives an open block the label of its nearest decided neighbours in the same
 region of the page (inside or outside the article element). Where they differ, or none is
@@ -11,7 +12,8 @@ decided, the block follows its region: inside an article it stays, outside it go
 
 Each page is handled alone, without a shuffle. Defined cases: null and empty html have no
 text; unclosed, nested and truncated markup is read as far as it goes; repeated rows are
-extracted alike; very long pages are read whole; other columns are ignored.
+extracted alike; very long pages are read whole, in time linear in their length; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,6 +63,8 @@ _PURPOSE = re.compile(
 )
 # Words among them that site builders also use in names of the article or its parts.
 _DOUBTFUL = re.compile(r"banner|comment(?!s?$)\w*|header|nav\w*|notice|related|share|widget", re.IGNORECASE)
+# Words of them that name a part which is no text of the article unless it is long.
+_ASIDE = re.compile(r"related|share", re.IGNORECASE)
 _PARTS = re.compile(r"[\s_-]+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -79,27 +83,32 @@ class Block:
     purpose: bool  # markup says it is not the article
     article: bool  # inside an article or main element
     doubtful: bool = False  # in or around the article, a name that may mean either
+    aside: bool = False  # one of these names tells of sharing or related pages
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page that hold text, in page order."""
     found: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    # tag, purpose so far, article so far, doubtful so far
-    stack: list[tuple[str, bool, bool, bool]] = []
+    # tag, and so far: purpose, article, doubtful, aside
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    open_tags: dict[str, int] = {}
     links = 0
+    nothing = ("", False, False, False, False)
     at, size = 0, len(html)
 
     def close() -> None:
         text = " ".join("".join(unescape(p) for p, _ in pieces).split())
         if text:
             linked = sum(len(" ".join(unescape(p).split())) for p, inside in pieces if inside)
-            _, purpose, article, doubtful = stack[-1] if stack else ("", False, False, False)
-            found.append(
-                Block(text, linked, purpose or (doubtful and not article), article, doubtful and article)
-            )
+            _, purpose, article, doubtful, aside = stack[-1] if stack else nothing
+            named = purpose or (doubtful and not article)
+            found.append(Block(text, linked, named, article, doubtful and article, aside))
         pieces.clear()
 
+    def pop() -> None:
+        open_tags[stack.pop()[0]] -= 1
+
     while at < size:
         token = _TOKEN.search(html, at)
         if token is None:
@@ -114,13 +123,13 @@ def blocks(html: str) -> list[Block]:
         if token["end"]:
             if tag == "a":
                 links = 0
-            elif tag not in _INLINE_TAGS or any(open_[0] == tag for open_ in stack):
+            elif tag not in _INLINE_TAGS or open_tags.get(tag):
                 close()
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
-                        del stack[depth:]
-                        links = 0
-                        break
+                if open_tags.get(tag):
+                    while stack[-1][0] != tag:
+                        pop()
+                    pop()
+                    links = 0
             continue
         if tag in _RAW_TAGS:
             end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.IGNORECASE).search(html, at)
@@ -130,11 +139,12 @@ def blocks(html: str) -> list[Block]:
             pieces.append((" " if tag == "br" else "", links > 0))
             continue
         attrs = token["attrs"]
-        named = unsure = False
+        named = unsure = apart = False
         if attrs and tag not in ("html", "body", "article", "main"):
             names = " ".join(" ".join(filter(None, m)) for m in _NAMES.findall(attrs))
             told = [part for part in _PARTS.split(names) if _PURPOSE.search(part)]
             unsure = any(map(_DOUBTFUL.fullmatch, told))
+            apart = any(map(_ASIDE.fullmatch, told))
             named = not all(map(_DOUBTFUL.fullmatch, told)) or bool(_HIDDEN.search(attrs))
         if tag == "a":
             links = 1
@@ -146,18 +156,24 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag == "p":  # a paragraph ends the one before it
             while stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             links = 0
-        _, purpose, article, doubtful = stack[-1] if stack else ("", False, False, False)
+        _, purpose, article, doubtful, aside = stack[-1] if stack else nothing
         purpose = purpose or named or tag in _BOILERPLATE_TAGS or (tag == "header" and not article)
-        stack.append((tag, purpose, article or tag in _MAIN_TAGS, doubtful or unsure))
+        stack.append(
+            (tag, purpose, article or tag in _MAIN_TAGS, doubtful or unsure, aside or apart)
+        )
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     close()
     return found
 
 
 def decide(block: Block) -> bool | None:
     """First pass: good, bad, or open."""
-    if block.purpose or block.linked > LINK_BAD * len(block.text):
+    linked = block.linked > LINK_BAD * len(block.text)
+    if block.purpose or (linked and not block.article):
+        return False
+    if block.aside and (linked or len(block.text) < LONG):
         return False
     if block.doubtful or len(block.text) < LONG or block.linked > LINK_GOOD * len(block.text):
         return None

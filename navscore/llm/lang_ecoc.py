@@ -19,12 +19,12 @@ never used; repeated rows are predicted alike; other columns are ignored.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ AMBIGUOUS = 0.5  # difference in weighted loss below which two languages are clo
 UNDETERMINED = "und"
 PART = 1 << 20  # bytes of a text that are hashed together
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # letters only: no fractions, circled or Roman numbers
 _FOLD = bytes(
     c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
 )

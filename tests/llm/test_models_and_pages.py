@@ -169,3 +169,31 @@ def test_pages_edge_cases(spark):
     got = sorted((r.n_chars for r in H.extract(pages).collect()))
     assert got == [0, 0, 1, 50_000 * 3 - 2]
     assert H.extract(pages.limit(0)).collect() == []
+
+
+def test_only_letters_are_letters(spark):
+    rows = [(i, t) for i, t in enumerate(["½ ②", "Ⅷ 12", "² ³", "_ 7", "é", "日", "12 x"])]
+    docs = spark.createDataFrame([(100 + i, "the and of with", "en") for i in range(30)]
+        + [(200 + i, "der die und mit", "de") for i in range(30)], "doc_id long, text string, lang string")
+    model = L.train(docs)
+    got = {r.doc_id: r.lang_pred for r in L.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i] == "und" for i, _ in rows] == [True, True, True, True, False, False, False]
+
+
+def test_linked_headline_and_sentence_of_an_article():
+    body = "<p>The rest of it is a text that was written to be read by all of you at home.</p>"
+    page = f'<nav><a href="/">Home</a></nav><article><h1><a href="x">The headline of it</a></h1>{body}'
+    page += f'<p><a href="y">A sentence of the article that is a link from one end to the other.</a></p>{body}'
+    text = H.main_text(page + '<div class="share">Share</div><ul class="related"><li><a>One more page</a></ul></article>')
+    assert text.startswith("The headline of it\n\n") and "one end to the other" in text
+    assert "Share" not in text and "One more" not in text and "Home" not in text
+
+
+def test_deep_unclosed_markup_is_read_in_linear_time():
+    import time
+
+    started = time.process_time()
+    assert H.main_text("<div>" * 80_000 + "</b>" * 80_000 + "end") in ("", "end")
+    assert time.process_time() - started < 4
+    page = "<article>" + "<div><b>" * 5000 + "inner" + "</div></p>" * 5000 + "</article>"
+    assert H.main_text(page) == "inner"
