@@ -424,6 +424,10 @@ def oracle_sql() -> dict[str, str]:
             f"with {table}{_long(ALL_VENDORS)} select type, vendor, count(*) as rows, "
             "true as within from long group by type, vendor"
         )
+    found["committed_week"] = f"with {latest_week} select {everything} from summary"
+    for name in ("truth", "ant", "summary_text"):
+        found[f"ingested_{name}"] = found[f"feed_{name}"]
+    found["ingested_rejects"] = REJECTS_SQL
     found["csv_report_week"] = (
         "select columns(*)::varchar from (" + report_sql("r5_rel_mean", "week", text=True) + ")"
     )

@@ -244,6 +244,36 @@ def stored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_summary(spark, path, code_type=T.LongType())
 
 
+def committed_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest seven days from an atomic store: committed with wrong values, of which a
+    second commit replaces all but what the first got right."""
+    summary = table_summary(spark, sf_dir)
+    days = TB.quotes(spark, sf_dir).select("day")
+    week, late = latest_days(days, 7), latest_days(days, 3)
+    path = scratch_path(spark, "snapshots")
+    rows = summary.filter(in_days(week))
+    wrong = F.when(in_days(late), F.lit(0.0)).otherwise(F.col("jy_nav"))
+    store.commit_summary(rows.withColumn("jy_nav", wrong), path, week)
+    store.commit_summary(summary.filter(in_days(late)), path, late)
+    return store.committed_summary(spark, path, week, T.LongType())
+
+
+def ingested_feed(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed's rows after one write that parts rows and rejected lines."""
+    load, lines = FEEDS[name]
+    return feeds.ingest(load(lines(tune(spark), sf_dir)), scratch_path(spark, "feed"))[0].rows
+
+
+def ingested_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected lines per feed and reason, as the writes counted them."""
+    counted = []
+    for name, (load, lines) in FEEDS.items():
+        feed = load(lines(tune(spark), sf_dir))
+        _, found = feeds.ingest(feed, scratch_path(spark, "feed"))
+        counted += [(name, reason, n) for reason, n in found.items() if reason is not None]
+    return spark.createDataFrame(counted, "feed string, reject_reason string, lines long")
+
+
 def stored_week_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly report of the latest seven days, written day by day and read from
     the stored summaries."""
@@ -320,6 +350,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         found[f"display_{name}_week"] = partial(run_display, name, "week")
     found["display_r8_abs_bands_day"] = partial(run_display, "r8_abs_bands", "day")
     found["store_summary_by_day"] = stored_summary
+    found["committed_week"] = committed_week
+    for name in ("truth", "ant", "summary_text"):
+        found[f"ingested_{name}"] = partial(ingested_feed, name)
+    found["ingested_rejects"] = ingested_rejects
     for name in ("r2_abs_mean", "r3_abs_median", "r11_rel_cumulative"):
         found[f"stored_week_{name}"] = partial(stored_week_report, name)
         found[f"scores_week_{name}"] = partial(scored_report, name)

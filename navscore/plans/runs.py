@@ -40,13 +40,21 @@ def load_feeds(
     return found
 
 
-def write_rejects(loaded: Mapping[str, feeds.Feed], path: str) -> None:
-    """Write the rejected lines of each feed with their reasons, and the number of rows and
-    of rejected lines by reason (``lines_by_reason``, a null reason for rows)."""
-    root = path.rstrip("/")
+def ingest_feeds(
+    spark: SparkSession, loaded: Mapping[str, feeds.Feed], work_path: str
+) -> dict[str, feeds.Feed]:
+    """Write every feed once and read it back from there. Its rejected lines with their reasons
+    go to ``rejects``, and the number of rows and of rejected lines by reason (a null reason
+    for rows) to ``rejects/lines_by_reason``, both in the work folder."""
+    root = work_path.rstrip("/")
+    found, counted = {}, []
     for name, feed in loaded.items():
-        feed.rejected.write.mode("overwrite").parquet(f"{root}/{name}")
-    feeds.line_counts(loaded).write.mode("overwrite").parquet(f"{root}/lines_by_reason")
+        found[name], lines = feeds.ingest(feed, f"{root}/feeds/{name}")
+        counted += [(name, reason, n) for reason, n in lines.items()]
+        found[name].rejected.write.mode("overwrite").parquet(f"{root}/rejects/{name}")
+    counts = spark.createDataFrame(counted, "feed string, reject_reason string, lines long")
+    counts.write.mode("overwrite").parquet(f"{root}/rejects/lines_by_reason")
+    return found
 
 
 def daily_summary(
@@ -92,17 +100,23 @@ def daily_run(
     encodings: Mapping[str, str] | None = None,
     coverage: str = "common",
     states_path: str | None = None,
+    atomic: bool = False,
 ) -> Scores:
     """Load the feeds, store the summary of ``days``, and report by type and day.
 
     Rejected lines and counts go to ``rejects`` in the work folder. With ``coverage="any"``
     fund-days that some vendors lack are stored and scored on the vendors they have. With a
-    ``states_path`` the states of the days are stored there for :func:`states_range_run`.
+    ``states_path`` the states of the days are stored there for :func:`states_range_run`. An
+    ``atomic`` store is changed by one commit, which a run that breaks down does not reach.
     """
-    loaded = load_feeds(spark, paths, hm_layout, encodings)
-    write_rejects(loaded, f"{work_path.rstrip('/')}/rejects")
-    store.write_summary(daily_summary(loaded, days, vendors, coverage), store_path, days)
-    stored = store.read_summary(spark, store_path, days)
+    loaded = ingest_feeds(spark, load_feeds(spark, paths, hm_layout, encodings), work_path)
+    summary = daily_summary(loaded, days, vendors, coverage)
+    if atomic:
+        store.commit_summary(summary, store_path, days)
+        stored = store.committed_summary(spark, store_path, days)
+    else:
+        store.write_summary(summary, store_path, days)
+        stored = store.read_summary(spark, store_path, days)
     if coverage == "common":
         stored = store.complete_rows(stored, vendors)
     scope = Scope(GROUPINGS["day"], tuple(vendors), coverage=coverage)
@@ -120,6 +134,7 @@ def range_run(
     grouping: str = "week",
     vendors=ALL_VENDORS,
     coverage: str = "common",
+    atomic: bool = False,
 ) -> Scores:
     """Report a range of stored days by type (``week``) or as a whole (``all``).
 
@@ -127,7 +142,8 @@ def range_run(
     ``incomplete_days`` in the work folder. With ``coverage="any"`` all stored rows take part,
     each vendor on the rows it has.
     """
-    stored = store.read_summary(spark, store_path, days)
+    read = store.committed_summary if atomic else store.read_summary
+    stored = read(spark, store_path, days)
     left_out = store.incomplete_days(stored, vendors)
     left_out.write.mode("overwrite").parquet(f"{work_path.rstrip('/')}/incomplete_days")
     return write_reports(
@@ -172,7 +188,7 @@ def text_range_run(
 ) -> Scores:
     """The reports of :func:`range_run` from the weekly summary text instead of the store."""
     loaded = load_feeds(spark, {"summary_text": path}, encodings={"summary_text": encoding})
-    write_rejects(loaded, f"{work_path.rstrip('/')}/rejects")
+    loaded = ingest_feeds(spark, loaded, work_path)
     rows = loaded["summary_text"].rows
     rows = rows if days is None else rows.filter(in_days(days))
     return write_reports(rows, Scope(GROUPINGS[grouping], tuple(vendors)), work_path, csv_path)

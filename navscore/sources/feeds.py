@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from navscore.functions import parsing as P
@@ -26,10 +26,12 @@ CODE_LENGTH = 6
 
 @dataclass(frozen=True)
 class Feed:
-    """A parsed feed: ``parsed`` holds the columns, the line and the reject reason."""
+    """A parsed feed: ``parsed`` holds the columns, the line and the reject reason, which is one
+    of ``reasons``."""
 
     parsed: DataFrame
     columns: tuple[str, ...]
+    reasons: tuple[str, ...] = ()
 
     @property
     def rows(self) -> DataFrame:
@@ -56,6 +58,42 @@ def line_counts(loaded: Mapping[str, Feed]) -> DataFrame:
     return lines.groupBy("feed", "reject_reason").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def ingest(feed: Feed, path: str) -> tuple[Feed, dict[str | None, int]]:
+    """The feed written to ``path`` and read back, and its lines by reject reason (None for
+    rows). Lines are read and parsed once: rows and rejected lines part into two folders of
+    one write, which also counts them. Only rejected rows keep their line."""
+    spark = feed.parsed.sparkSession
+    counts = Observation()
+    reason = F.col("reject_reason")
+    parted = feed.parsed.withColumns(
+        {"line": F.when(reason.isNotNull(), F.col("line")), "accepted": reason.isNull()}
+    )
+    labels = {f"reason_{i}": label for i, label in enumerate(feed.reasons)}
+    watched = parted.observe(
+        counts,
+        F.count_if(reason.isNull()).alias("rows"),
+        *[F.count_if(reason == label).alias(name) for name, label in labels.items()],
+    )
+    watched.write.mode("overwrite").partitionBy("accepted").parquet(path)
+    found = counts.get
+    lines = {None: found["rows"]} | {label: found[name] for name, label in labels.items()}
+    stored = spark.read.schema(parted.schema).parquet(path)
+    return IngestedFeed(stored, feed.columns, feed.reasons), {k: n for k, n in lines.items() if n}
+
+
+@dataclass(frozen=True)
+class IngestedFeed(Feed):
+    """A feed that was written by :func:`ingest`: rows and rejected lines are folders."""
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.parsed.filter("accepted").select(*self.columns)
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.parsed.filter("not accepted").select("reject_reason", "line")
+
+
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """The lines of text files, every one of them, in any encoding that extends ASCII.
 
@@ -103,7 +141,9 @@ def _feed(
     checks += [(f"unreadable_{name}", P.unusable(name, name in numbers)) for name in columns]
     reason = F.coalesce(*[F.when(bad, F.lit(label)) for label, bad in checks])
     return Feed(
-        parsed.select("line", *columns, reason.alias("reject_reason")), tuple(columns)
+        parsed.select("line", *columns, reason.alias("reject_reason")),
+        tuple(columns),
+        tuple(label for label, _ in checks),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from navscore.operators.summary import in_days
 from navscore.schemas import ALL_VENDORS, VALUE, VENDORS, summary_columns
+from navscore.sources import snapshots
 
 
 def summary_schema(code_type: T.DataType = T.StringType()) -> T.StructType:
@@ -85,6 +86,28 @@ def read_summary(
     return stored if days is None else stored.filter(in_days(days))
 
 
+def commit_summary(summary: DataFrame, path: str, days=None) -> int:
+    """Replace days of an atomic store in one step; see :mod:`navscore.sources.snapshots`. The
+    columns of vendors that the summary lacks are null."""
+    held = [
+        (F.col(f.name) if f.name in summary.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in summary_schema(summary.schema["fund_code"].dataType)
+    ]
+    return snapshots.commit(summary.select(*held), path, days, ("fund_code",))
+
+
+def committed_summary(
+    spark: SparkSession,
+    path: str,
+    days=None,
+    code_type: T.DataType = T.StringType(),
+    version: int | None = None,
+) -> DataFrame:
+    """The summary of an atomic store as of its last complete commit, or of ``version``."""
+    found = snapshots.read(spark, path, summary_schema(code_type), days, version)
+    return found.select(*summary_columns())
+
+
 def complete_rows(stored: DataFrame, vendors=ALL_VENDORS) -> DataFrame:
     """The rows that hold every chosen vendor, as the joins of a single day would give."""
     return stored.dropna(subset=[VENDORS[code].nav for code in vendors])

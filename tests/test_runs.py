@@ -103,3 +103,44 @@ def test_weekly_run_from_text_equals_the_run_from_the_store(spark, paths, tmp_pa
     for name in REPORTS:
         assert csv_rows(spark, at["text"], name) == csv_rows(spark, at["week"], name), name
     assert spark.read.parquet(f"{at['w2']}/incomplete_days").count() == 0
+
+
+def test_each_feed_is_read_once(spark, paths, tmp_path):
+    """One write reads and parses a feed's text; what follows reads what was written."""
+    from navscore.sources import feeds
+
+    with open(paths["hm"], "a") as feed:
+        feed.write("bad line\n000003\t2021031800\t15:00\tx\t1\n")
+    loaded = runs.load_feeds(spark, paths)
+    plan = loaded["hm"].parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+    work = str(tmp_path / "work")
+    found = runs.ingest_feeds(spark, loaded, work)
+    for name, feed in found.items():
+        for frame in (feed.rows, feed.rejected):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "text" not in plan.lower() or "FileScan parquet" in plan
+            assert all("/work/feeds/" in f for f in frame.inputFiles()), name
+        assert sorted(map(str, feed.rows.collect())) == sorted(map(str, loaded[name].rows.collect()))
+        assert sorted(map(str, feed.rejected.collect())) == sorted(map(str, loaded[name].rejected.collect()))
+    counts = spark.read.parquet(f"{work}/rejects/lines_by_reason")
+    want = feeds.line_counts(loaded)
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert {r.reject_reason for r in counts.where("feed = 'hm'").collect()} == {None, "field_count", "unreadable_hm_nav"}
+
+
+def test_runs_with_an_atomic_store(spark, paths, tmp_path, monkeypatch):
+    at = [str(tmp_path / n) for n in ("store", "work", "csv")]
+    everyone = {k: v for k, v in paths.items() if k != "top_list"}
+    runs.daily_run(spark, everyone, [FIRST, SECOND], *at, atomic=True)
+    assert store.committed_summary(spark, at[0]).count() == 4
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store.snapshots, "_publish", broken)
+    with pytest.raises(RuntimeError):
+        runs.daily_run(spark, everyone, SECOND, *at, vendors=("jy",), atomic=True)
+    monkeypatch.undo()
+    scores = runs.range_run(spark, at[0], (FIRST, SECOND), at[1], at[2], atomic=True)
+    assert sum(r.fund_count for r in scores.report("r2_abs_mean").collect()) == 4
