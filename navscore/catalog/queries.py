@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -248,8 +249,8 @@ def committed_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest seven days from an atomic store: committed with wrong values, of which a
     second commit replaces all but what the first got right."""
     summary = table_summary(spark, sf_dir)
-    days = TB.quotes(spark, sf_dir).select("day")
-    week, late = latest_days(days, 7), latest_days(days, 3)
+    last = TB.quotes(spark, sf_dir).agg(F.max("day")).first()[0]
+    week, late = (last - timedelta(days=6), last), (last - timedelta(days=2), last)
     path = scratch_path(spark, "snapshots")
     rows = summary.filter(in_days(week))
     wrong = F.when(in_days(late), F.lit(0.0)).otherwise(F.col("jy_nav"))
