@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from navscore.catalog.queries import SCOPES
 from navscore.catalog.tables import TABLE_ABS_EDGES
-from navscore.operators.bands import band_columns, band_labels
+from navscore.operators.bands import band_labels
 from navscore.operators.measures import REL_EDGES
 from navscore.plans.reports import COMMON_LABELS, REPORTS
 from navscore.schemas import ALL_VENDORS, GROUPINGS, VENDORS
@@ -154,23 +154,35 @@ METRICS = {
 }
 
 
+# The edges written out, in the units of this SQL (ten-thousandths and ratios), and the names
+# that the edges give the columns.
+ABS_LIMITS = ("10000", "30000", "50000", "100000", "200000")
+ABS_BANDS = ("le_1", "gt_1_le_3", "gt_3_le_5", "gt_5_le_10", "gt_10_le_20", "gt_20")
+ABS_UP_TO = ("le_1", "le_3", "le_5", "le_10", "le_20", "gt_20")
+REL_LIMITS = ("0.0005", "0.001", "0.003", "0.005", "0.01")
+REL_BANDS = (
+    "le_0p0005", "gt_0p0005_le_0p001", "gt_0p001_le_0p003", "gt_0p003_le_0p005",
+    "gt_0p005_le_0p01", "gt_0p01",
+)
+REL_UP_TO = ("le_0p0005", "le_0p001", "le_0p003", "le_0p005", "le_0p01", "gt_0p01")
+
+
 def _bands(name: str) -> dict[str, str]:
-    spec = REPORTS[name]
-    if spec.kind == "abs":
-        value, edges = "dev", TABLE_ABS_EDGES
-        limits = [str(int(e * 10000)) for e in edges]
+    cumulative = name in ("r9_abs_cumulative", "r11_rel_cumulative")
+    if name in ("r8_abs_bands", "r9_abs_cumulative"):
+        value, limits = "dev", ABS_LIMITS
+        columns = ABS_UP_TO if cumulative else ABS_BANDS
     else:
-        value, edges = "ratio", REL_EDGES
-        limits = [f"{e}::double" for e in edges]
+        value, limits = "ratio", [f"{limit}::double" for limit in REL_LIMITS]
+        columns = REL_UP_TO if cumulative else REL_BANDS
     conditions = []
     for i, limit in enumerate(limits):
-        low = f"{value} > {limits[i - 1]} and " if i and not spec.cumulative else ""
+        low = f"{value} > {limits[i - 1]} and " if i and not cumulative else ""
         conditions.append(f"{low}{value} <= {limit}")
     conditions.append(f"{value} > {limits[-1]}")
-    columns = band_columns(edges, spec.cumulative)
     return {
         column: _share(f"count(*) filter (where {condition})")
-        for column, condition in zip(columns, conditions)
+        for column, condition in zip(columns, conditions, strict=True)
     }
 
 
@@ -424,6 +436,9 @@ def oracle_sql() -> dict[str, str]:
             f"with {table}{_long(ALL_VENDORS)} select type, vendor, count(*) as rows, "
             "true as within from long group by type, vendor"
         )
+    for name in REPORTS:
+        found[f"sql_{name.split('_')[0]}"] = report_sql(name, "week")
+    found["sql_range"] = f"with {latest_week} select {everything} from summary"
     found["committed_week"] = f"with {latest_week} select {everything} from summary"
     for name in ("truth", "ant", "summary_text"):
         found[f"ingested_{name}"] = found[f"feed_{name}"]

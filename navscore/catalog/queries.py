@@ -20,7 +20,7 @@ from navscore.operators.summary import (
     in_days,
     restrict_to_list,
 )
-from navscore.plans import states
+from navscore.plans import sqlviews, states
 from navscore.plans.reports import COMMON_LABELS, REPORTS, Scope, Scores, display, report
 from navscore.plans.runs import load_feeds
 from navscore.schemas import ALL_VENDORS, GROUPINGS, VENDORS_NO_WIND, summary_columns
@@ -167,6 +167,27 @@ def coverage_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_counts(sparse_summary(spark, sf_dir), GROUPINGS["week"])
 
 
+# --- reports by SQL ---------------------------------------------------------------------
+
+
+def sql_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report by type, called from SQL."""
+    summary = table_summary(spark, sf_dir)
+    edges = TB.TABLE_ABS_EDGES
+    sqlviews.register(summary, "fund", abs_edges=edges, groupings=("week",), reports=(name,))
+    return with_double_metrics(spark.sql(f"SELECT * FROM fund_{name}_week"))
+
+
+def sql_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest seven days of the summary through the table function."""
+    sqlviews.register(table_summary(spark, sf_dir), "fund", groupings=())
+    last = TB.quotes(spark, sf_dir).agg(F.max("day")).first()[0]
+    columns = ", ".join(summary_columns())
+    return spark.sql(
+        f"SELECT {columns} FROM fund_between(DATE '{last}' - INTERVAL 6 DAY, DATE '{last}')"
+    )
+
+
 # --- states of days ---------------------------------------------------------------------
 
 
@@ -375,6 +396,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             found[f"coverage_{short}_{scope_name}"] = partial(coverage_report, name, scope_name)
         found[f"coverage_full_{short}"] = partial(coverage_full, name)
     found["coverage_masks"] = coverage_masks
+    for name in REPORTS:
+        found[f"sql_{name.split('_')[0]}"] = partial(sql_report, name)
+    found["sql_range"] = sql_range
     for name in ("r2_abs_mean", "r4_abs_std", "r5_rel_mean", "r10_rel_bands"):
         found[f"partials_all_{name.split('_')[0]}"] = partial(whole_report, name)
     for name in ("r3_abs_median", "r6_rel_median"):
