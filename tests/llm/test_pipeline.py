@@ -65,3 +65,32 @@ def test_empty_documents(spark, tmp_path):
         table = spark.read.parquet(f"{SF_DIR}/{name}.parquet")
         table.limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows_and_columns_pass_every_stage(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(60)
+    rows = [tuple(r) for r in docs.collect()]
+    columns = docs.columns
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    odd = [(9000, None, None, "x", 0), (9001, "", "en", None, 0), (None, "a text without id", "en", "x", 17)]
+    odd += [(9002, long, "en", "x", len(long))] + [rows[0], rows[0], rows[1]]
+    extra = [(*r, i, "s", i, None) for i, r in enumerate(rows + odd)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, quality_score int, spans string, k1 int, piece_ids string"
+    assert columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    given = spark.createDataFrame(extra, schema)
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, given, str(tmp_path))
+        assert kept.columns == given.columns, name
+        found = kept.count()
+        if name == "near_duplicates":  # repeated rows, at least, are one
+            assert found < len(extra)
+        elif name == "repeated_text":  # every row stays, if need be with an empty text
+            assert found == len(extra)
+    last = pipeline.pieces(spark, given, str(tmp_path)).collect()
+    assert len(last) == len(extra)
+    by = {r.doc_id: r for r in last}
+    assert by[9000].text == "" and by[9001].piece_ids == [] and by[9002].text == long
+    assert len(pipeline.run(spark, str(tmp_path)).collect()) > 0
