@@ -63,9 +63,11 @@ def build_session(
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder named by ``spark.checkpoint.dir``, or under the
-    warehouse folder where that is unset. Neither is a temporary folder of one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    )
+    """A fresh path in the shared folder named by ``spark.checkpoint.dir``. Where that is unset it
+    is under the warehouse folder of a session on one machine; on a cluster it is required."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
