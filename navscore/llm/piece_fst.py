@@ -18,7 +18,9 @@ every run of spaces, and equal cuts share their result in a bounded memo.
 
 Defined cases: null and empty texts have no pieces and decode to the empty string; the
 escape character itself in a text decodes to a space, as in the library; repeated rows are
-encoded alike; very long texts are encoded in segments; other columns are ignored.
+encoded alike; very long texts are encoded whole, and a very long word takes a step of Python for
+each of its characters; an empty table gives no rows; an input column named like an output gives
+way, other columns are carried.
 """
 
 from __future__ import annotations
