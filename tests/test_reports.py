@@ -136,6 +136,29 @@ def test_medians_of_one_large_and_of_many_groups(spark, keys):
     assert sorted((*r[:-2], float(r[-2]), float(r[-1])) for r in found.collect()) == want
 
 
+@pytest.mark.parametrize("bound", [8 * 1024 * 1024, 0])
+def test_medians_of_small_and_large_groups_together(spark, monkeypatch, bound):
+    monkeypatch.setattr(M, "BROADCAST_BYTES", bound)
+    frame = spark.range(4_000).select(
+        F.when(F.col("id") < 3_000, F.lit(None)).otherwise(F.col("id") % 40).alias("k"),
+        F.when(F.col("id") % 7 > 0, F.xxhash64("id") % 50 + 50).alias("v"),
+        F.when(F.col("id") % 40 == 1, F.lit(None)).otherwise(F.col("id") % 9).alias("w"),
+    )
+    values = {"v": F.col("v"), "w": F.col("w")}
+    mixed, collected, counted = (
+        sorted(M.grouped_medians(frame, ["k"], values, size).collect(), key=lambda r: r.k or -1)
+        for size in (100, 4_000, 0)
+    )
+    assert mixed == collected == counted and len(mixed) == 41
+    assert mixed[0].k is None and mixed[0].fund_count == 3_000
+    assert next(r for r in mixed if r.k == 1).w is None
+
+
+def test_medians_of_small_groups_shuffle_rows_once(spark, sample):
+    plan = report("r3_abs_median", sample, Scope())._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("hashpartitioning") == 1
+
+
 def test_medians_read_the_summary_once(spark, sample, tmp_path):
     path = str(tmp_path / "once")
     sample.write.parquet(path)
