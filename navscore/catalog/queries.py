@@ -214,12 +214,12 @@ def sketch_errors(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each type and vendor whether the sketched median's rank is within the bound, by the
     exact counts of the values below and up to it."""
     week, summary = scope("week"), table_summary(spark, sf_dir)
-    found = states.sketched_medians(states.day_sketches(summary, week), week, (kind,))
+    found = states.sketched_medians(states.day_sketches(summary, week, (kind,)), week, (kind,))
     pairs = [x for c in ALL_VENDORS for x in (F.lit(c), F.col(f"{c}_{kind}_median"))]
     medians = found.select(
         "type", F.stack(F.lit(len(ALL_VENDORS)), *pairs).alias("vendor", "median")
     ).withColumn("median", (F.col("median") * 1000).cast("bigint"))
-    counts = states.day_histograms(summary, week).where(F.col("kind") == kind)
+    counts = states.day_histograms(summary, week, (kind,))
     rows = F.col("rows")
     ranked = counts.join(medians, ["type", "vendor"]).groupBy("type", "vendor").agg(
         F.sum(rows).alias("rows"),

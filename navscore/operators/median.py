@@ -129,15 +129,17 @@ def bucket(value: Column) -> Column:
 
 def value_counts(df: DataFrame, keys, values: Mapping[str, Column]) -> DataFrame:
     """``keys``, ``measure`` (the position in ``values``), ``bucket``, ``value``, ``rows``."""
+    counted = stacked_counts(df, keys, list(values.values()))
+    return counted.select(*keys, "measure", bucket(F.col("value")).alias("bucket"), "value", "rows")
+
+
+def stacked_counts(df: DataFrame, keys, values: list[Column]) -> DataFrame:
+    """``keys``, ``measure`` (the position in ``values``), ``value`` and how many ``rows`` have it."""
     quoted = []
-    for i, value in enumerate(values.values()):
+    for i, value in enumerate(values):
         quoted += [F.lit(i), F.coalesce(value.cast("bigint"), F.lit(MISSING))]
     long = df.select(*keys, F.stack(F.lit(len(values)), *quoted).alias("measure", "value"))
-    return (
-        long.withColumn("bucket", bucket(F.col("value")))
-        .groupBy(*keys, "measure", "bucket", "value")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    return long.groupBy(*keys, "measure", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def locate_middle(counted: DataFrame, keys) -> DataFrame:

@@ -24,11 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navscore.functions.deviation import thousandths_to_metric
-from navscore.operators.deviations import long_deviations
+from navscore.operators.deviations import wide_deviations
 from navscore.operators.measures import finished, partial_measures
-from navscore.operators.median import MISSING, bucket, counted_medians
+from navscore.operators.median import MISSING, bucket, counted_medians, stacked_counts
 from navscore.operators.summary import in_days
 from navscore.plans.reports import KINDS, REPORTS, Scope
+from navscore.schemas import VENDORS
 from navscore.sources import store
 
 VERSION = 1
@@ -68,30 +69,52 @@ def day_partials(summary: DataFrame, scope: Scope) -> DataFrame:
     return _marked(partial_measures(summary, KEYS, scope.vendors, edges), scope)
 
 
-def _values(summary: DataFrame, vendors) -> DataFrame:
-    """One row per row of the summary, vendor and kind, with the rounded deviation."""
-    long = long_deviations(summary, KEYS, vendors)
-    kinds = [x for kind in KINDS for x in (F.lit(kind), F.col(f"{kind}_rounded").cast("bigint"))]
-    return long.select(*KEYS, "vendor", F.stack(F.lit(len(KINDS)), *kinds).alias("kind", "value"))
+def _rounded(summary: DataFrame, vendors, kinds) -> DataFrame:
+    """One row per row of the summary, with the rounded deviations side by side: what is sorted
+    or shuffled is a row of the summary, not one for each vendor and kind."""
+    navs = {VENDORS[code].nav: F.col(VENDORS[code].nav).cast("double") for code in vendors}
+    only = [f"{kind}_rounded" for kind in kinds]
+    return wide_deviations(summary.withColumns(navs), KEYS, vendors, only)
 
 
-def day_histograms(summary: DataFrame, scope: Scope) -> DataFrame:
+def _measures(vendors, kinds) -> list[tuple[str, str]]:
+    """Vendor and kind of each column of :func:`_rounded`."""
+    return [(code, kind) for code in vendors for kind in kinds]
+
+
+def day_histograms(summary: DataFrame, scope: Scope, kinds=KINDS) -> DataFrame:
     """``rows`` per type, day, vendor, kind and value; a missing value is ``MISSING``."""
-    values = _values(summary, scope.vendors).withColumn(
-        "value", F.coalesce("value", F.lit(MISSING).cast("bigint"))
-    )
-    counted = values.groupBy(*KEYS, "vendor", "kind", "value").agg(F.count(F.lit(1)).alias("rows"))
-    return _marked(counted, scope)
+    measures = _measures(scope.vendors, kinds)
+    values = [F.col(f"{code}_{kind}_rounded") for code, kind in measures]
+    counted = stacked_counts(_rounded(summary, scope.vendors, kinds), KEYS, values)
+    # Text is looked up behind the aggregation, whose rows hold the number of the measure.
+    code, kind = [
+        F.element_at(F.array(*[F.lit(name) for name in names]), F.col("measure") + 1)
+        for names in zip(*measures)
+    ]
+    named = counted.select(*KEYS, code.alias("vendor"), kind.alias("kind"), "value", "rows")
+    return _marked(named, scope)
 
 
-def day_sketches(summary: DataFrame, scope: Scope) -> DataFrame:
+def day_sketches(summary: DataFrame, scope: Scope, kinds=KINDS) -> DataFrame:
     """A sketch of the values per type, day, vendor and kind, with the ``rows`` in it."""
-    sketched = _values(summary, scope.vendors).groupBy(*KEYS, "vendor", "kind").agg(
-        F.count(F.lit(1)).alias("fund_count"),
-        F.count("value").alias("rows"),
-        F.kll_sketch_agg_bigint("value", SKETCH_ITEMS).alias("sketch"),
+    measures = _measures(scope.vendors, kinds)
+    aggregates, quoted = [], []
+    for code, kind in measures:
+        value, rows, sketch = (f"{code}_{kind}_{name}" for name in ("rounded", "rows", "sketch"))
+        aggregates += [
+            F.count(value).alias(rows),
+            F.kll_sketch_agg_bigint(value, SKETCH_ITEMS).alias(sketch),
+        ]
+        quoted += [F.lit(code), F.lit(kind), F.col(rows), F.col(sketch)]
+    fund_count = F.count(F.lit(1)).alias("fund_count")
+    grouped = _rounded(summary, scope.vendors, kinds).groupBy(*KEYS).agg(fund_count, *aggregates)
+    sketched = grouped.select(
+        *KEYS,
+        "fund_count",
+        F.stack(F.lit(len(measures)), *quoted).alias("vendor", "kind", "rows", "sketch"),
     )
-    return _marked(sketched, scope)
+    return _marked(sketched.select(*KEYS, "vendor", "kind", "fund_count", "rows", "sketch"), scope)
 
 
 STATES = {"partials": day_partials, "histograms": day_histograms, "sketches": day_sketches}
@@ -147,8 +170,8 @@ def merged_medians(histograms: DataFrame, scope: Scope, kinds=KINDS) -> DataFram
         F.array(*[F.lit(name) for name in _names(scope, kinds)]),
         F.concat_ws("_", "vendor", "kind", F.lit("median")),
     )
-    states = checked(histograms, scope).withColumn("measure", measure.cast("int") - 1)
-    rows = states.where("measure >= 0")
+    wanted = F.col("kind").isin(list(kinds)) & F.col("vendor").isin(list(scope.vendors))
+    rows = checked(histograms, scope).where(wanted).withColumn("measure", measure.cast("int") - 1)
     merged = _merged(rows, scope.keys, ["measure", "value"], {"rows": F.sum("rows")})
     held = F.when(F.col("value") != MISSING, F.col("value"))
     counted = merged.select(*scope.keys, "measure", bucket(held).alias("bucket"), "value", "rows")

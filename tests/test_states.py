@@ -249,3 +249,56 @@ def test_daily_run_with_gaps(spark, paths, tmp_path):  # noqa: F811
     scores = runs.range_run(spark, at[0], (FIRST, SECOND), at[3], at[4], coverage="any")
     row = {r["type"]: r for r in scores.report("r2_abs_mean").collect()}["股票型"]
     assert (row.fund_count, row.wind_rows, row.jy_rows) == (2, 1, 2)
+
+
+# -- what the states of large tables cost
+
+
+def optimized(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("kinds", [("abs", "rel"), ("rel",)])
+def test_histograms_count_every_row_of_each_vendor(gappy, kinds):
+    """One group with a null type, vendors without a value, and one kind alone."""
+    expected = {}
+    for row in gappy.collect():
+        actual = row.report_nav
+        for code in ALL_VENDORS:
+            given = row[f"{code}_nav"]
+            units = None if given is None else round(abs(Fraction(str(given)) - Fraction(str(actual))) * 10**8)
+            share = Fraction(units * 10**5, round(actual * 10**8)) if units is not None and actual else None
+            values = {
+                "abs": None if units is None else (units + 50) // 100,
+                "rel": None if share is None else math.floor(share + Fraction(1, 2)),
+            }
+            for kind in kinds:
+                value = states.MISSING if values[kind] is None else values[kind]
+                key = (row.type, row.day, code, kind, value)
+                expected[key] = expected.get(key, 0) + 1
+    found = states.day_histograms(gappy, ANY, kinds)
+    assert {tuple(r)[:5]: r.rows for r in found.collect()} == expected
+
+
+def test_histograms_are_grouped_by_numbers_alone(gappy):
+    """The text of vendor and kind is neither hashed nor shuffled, nor made for each row."""
+    medians = optimized(states.merged_medians(states.day_histograms(gappy, ANY), ANY))
+    grouped = [line for line in medians.splitlines() if "Aggregate [type" in line and "day" in line]
+    assert grouped and not any("vendor" in line or "kind" in line for line in grouped)
+    filters = [line for line in medians.splitlines() if "Filter" in line]
+    assert not any("concat_ws" in line for line in filters)
+
+
+def test_sketches_read_each_row_of_the_summary_once(gappy):
+    """Vendors and kinds are unfolded behind the aggregation, not in front of it."""
+    plan = optimized(states.day_sketches(gappy, ANY))
+    assert 0 <= plan.index("Generate") < plan.index("Aggregate")
+    found = states.day_sketches(gappy, ANY, ("abs",))
+    rows = {(r.type, r.day, r.vendor, r.kind): (r.fund_count, r.rows) for r in found.collect()}
+    expected = {}
+    for row in gappy.collect():
+        for code in ALL_VENDORS:
+            count, held = expected.get((row.type, row.day, code, "abs"), (0, 0))
+            held += row[f"{code}_nav"] is not None
+            expected[row.type, row.day, code, "abs"] = count + 1, held
+    assert rows == expected
