@@ -202,7 +202,9 @@ def week_report(name: str, scope_: Scope, spark: SparkSession, sf_dir: str) -> D
 
 def whole_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of all days from the states of each."""
-    found = states.STATES[states.state_kind(name)](table_summary(spark, sf_dir), scope("all"))
+    summary, kind = table_summary(spark, sf_dir), states.state_kind(name)
+    only = {} if kind == "partials" else {"kinds": (REPORTS[name].kind,)}
+    found = states.STATES[kind](summary, scope("all"), **only)
     return with_double_metrics(states.report_of(name, found, scope("all")))
 
 
