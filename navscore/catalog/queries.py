@@ -132,7 +132,8 @@ def dimension_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_report(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_double_metrics(report(name, joined_summary(spark, sf_dir), scope("week")))
+    summary, path = joined_summary(spark, sf_dir), scratch_path(spark, "deviations")
+    return with_double_metrics(report(name, summary, scope("week"), path))
 
 
 # --- fund-days that some vendors lack ---------------------------------------------------
@@ -151,8 +152,8 @@ def any_scope(name: str) -> Scope:
 
 def coverage_report(name: str, scope_name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report in which each vendor is scored on the fund-days it has."""
-    summary = sparse_summary(spark, sf_dir)
-    return with_double_metrics(report(name, summary, any_scope(scope_name)))
+    summary, path = sparse_summary(spark, sf_dir), scratch_path(spark, "deviations")
+    return with_double_metrics(report(name, summary, any_scope(scope_name), path))
 
 
 def coverage_full(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,8 +327,9 @@ def text_report(name: str, scope_name: str, spark: SparkSession, sf_dir: str) ->
     """A report from the weekly summary text: lines written to files and read as text."""
     path = scratch_path(spark, "lines")
     L.summary_lines(tune(spark), sf_dir).write.text(path)
-    loaded = load_feeds(spark, {"summary_text": path})
-    return with_double_metrics(report(name, loaded["summary_text"].rows, scope(scope_name)))
+    rows = load_feeds(spark, {"summary_text": path})["summary_text"].rows
+    deviations = scratch_path(spark, "deviations")
+    return with_double_metrics(report(name, rows, scope(scope_name), deviations))
 
 
 def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:

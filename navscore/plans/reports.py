@@ -50,9 +50,13 @@ class Scope:
         """What a vendor's mean or share is taken over: all rows, or those that hold it."""
         return F.col(f"{code}_rows" if self.coverage == "any" else "fund_count")
 
-    def medians(self, summary: DataFrame, kinds=KINDS) -> DataFrame:
+    def medians(self, summary: DataFrame, kinds=KINDS, path: str | None = None) -> DataFrame:
+        """With keys the rows are read twice. ``path`` is for a summary that is dear to make: its
+        rounded deviations are stored there, so that its joins run once."""
         rounded = [f"{kind}_rounded" for kind in kinds]
         deviations = wide_deviations(summary, self.keys, self.vendors, only=rounded)
+        if path is not None and self.keys:
+            deviations = _stored(deviations, path)
         values = {
             f"{code}_{kind}_median": F.col(f"{code}_{kind}_rounded")
             for code in self.vendors
@@ -61,6 +65,11 @@ class Scope:
         return grouped_medians(deviations, self.keys, values)
 
 
+def _stored(frame: DataFrame, path: str) -> DataFrame:
+    frame.write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def _wide(source: DataFrame, scope: Scope, columns) -> DataFrame:
     """Keys, group size and ``columns`` per vendor; smallest groups first, keys break ties."""
     held = [f"{code}_rows" for code in scope.vendors if f"{code}_rows" in source.columns]
@@ -200,11 +209,12 @@ REPORTS = {
 COMMON_LABELS = {"day": "日期", "type": "基金类型", "fund_count": "基金数量", "vendor": "基金名称"}
 
 
-def report(name: str, summary: DataFrame, scope: Scope) -> DataFrame:
-    """One report straight from the summary; only what it needs is computed."""
+def report(name: str, summary: DataFrame, scope: Scope, path: str | None = None) -> DataFrame:
+    """One report straight from the summary; only what it needs is computed. ``path`` as in
+    :meth:`Scope.medians`."""
     spec = REPORTS[name]
     if spec.part == "medians":
-        return spec.build(scope.medians(summary, kinds=(spec.kind,)), scope)
+        return spec.build(scope.medians(summary, (spec.kind,), path), scope)
     return spec.build(scope.measures(summary, parts=(spec.part,)), scope)
 
 
@@ -217,15 +227,9 @@ class Scores:
 
     def __init__(self, summary: DataFrame, scope: Scope, path: str):
         self.scope = scope
-        session = summary.sparkSession
-
-        def stored(frame: DataFrame, label: str) -> DataFrame:
-            target = f"{path.rstrip('/')}/{label}"
-            frame.write.mode("overwrite").parquet(target)
-            return session.read.schema(frame.schema).parquet(target)
-
-        self.measured = stored(scope.all_measures(summary), "measures")
-        self.middles = stored(scope.medians(summary), "medians")
+        folder = path.rstrip("/")
+        self.measured = _stored(scope.all_measures(summary), f"{folder}/measures")
+        self.middles = _stored(scope.medians(summary), f"{folder}/medians")
 
     def report(self, name: str) -> DataFrame:
         spec = REPORTS[name]

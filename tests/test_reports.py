@@ -169,6 +169,16 @@ def test_medians_read_the_summary_once(spark, sample, tmp_path):
     assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
 
 
+def test_medians_of_a_dear_summary_make_it_once(spark, sample, tmp_path):
+    """The counting of groups and the medians both read the stored deviations."""
+    joined = sample.join(sample.select("type").distinct(), "type")
+    scope, path = Scope(("type",)), str(tmp_path / "deviations")
+    for name in ("r3_abs_median", "r6_rel_median"):
+        found = report(name, joined, scope, path)
+        assert found.inputFiles() and all("/deviations/" in file for file in found.inputFiles())
+        assert found.collect() == report(name, joined, scope).collect()
+
+
 def exact_std(values):
     """Population deviation of whole numbers, rounded half up, in whole numbers."""
     n, total = len(values), sum(values)
