@@ -135,10 +135,8 @@ def value_counts(df: DataFrame, keys, values: Mapping[str, Column]) -> DataFrame
 
 def stacked_counts(df: DataFrame, keys, values: list[Column]) -> DataFrame:
     """``keys``, ``measure`` (the position in ``values``), ``value`` and how many ``rows`` have it."""
-    quoted = []
-    for i, value in enumerate(values):
-        quoted += [F.lit(i), F.coalesce(value.cast("bigint"), F.lit(MISSING))]
-    long = df.select(*keys, F.stack(F.lit(len(values)), *quoted).alias("measure", "value"))
+    held = [F.coalesce(value.cast("bigint"), F.lit(MISSING).cast("bigint")) for value in values]
+    long = df.select(*keys, F.posexplode(F.array(*held)).alias("measure", "value"))
     return long.groupBy(*keys, "measure", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 

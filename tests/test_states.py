@@ -285,6 +285,7 @@ def test_histograms_are_grouped_by_numbers_alone(gappy):
     medians = optimized(states.merged_medians(states.day_histograms(gappy, ANY), ANY))
     grouped = [line for line in medians.splitlines() if "Aggregate [type" in line and "day" in line]
     assert grouped and not any("vendor" in line or "kind" in line for line in grouped)
+    assert "posexplode" in medians and "stack(" not in medians  # no object for each value
     filters = [line for line in medians.splitlines() if "Filter" in line]
     assert not any("concat_ws" in line for line in filters)
 
