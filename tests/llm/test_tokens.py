@@ -130,3 +130,49 @@ def test_texts_without_spaces(spark, library):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in rows}
     assert {r.doc_id: r.n_tokens for r in token_count.token_counts(docs, PATH).collect()} == want
+
+
+def test_parts_give_the_pre_tokens_of_their_text(library, texts):
+    cut = library.pre_tokenizer.pre_tokenize_str
+    wide = random.Random(5)
+    alphabet = list("ab's.,9 \n\t") + ["ß", "日", "”", " ", "　", " ", "\x85", "\x1c", "²"]
+    made = ["".join(wide.choices(alphabet, k=wide.randint(0, 40))) for _ in range(3000)]
+    for text in [*texts, *made]:
+        data = text.encode()
+        places = chunks.starts(np.frombuffer(data, np.uint8), np.array([0, len(data)])).tolist()
+        parts = [data[a:b].decode() for a, b in zip(places, [*places[1:], len(data)])]
+        assert [t for part in parts for t, _ in cut(part)] == [t for t, _ in cut(text)]
+    data = np.frombuffer("To be, or not".encode(), np.uint8)
+    assert chunks.starts(data, np.array([0, 2, 2, 13])).tolist() == [0, 2, 5, 6, 9]
+
+
+def test_library_takes_new_pre_tokens_once_and_together(library, monkeypatch):
+    encoder = token_files.Encoder(PATH)
+    calls, plain = [], encoder._tokens
+    monkeypatch.setattr(encoder, "_tokens", lambda tokens: calls.append(tokens) or plain(tokens))
+    words = [f"{a}{b}q{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "rstuvwxyz"]
+    texts = ["".join(f" {word}{mark}" for word in words) for mark in ("", ",", "!?", "\n", "'s")]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.slice(texts)] == want
+    assert [len(tokens) for tokens in calls] == [len(words) + 4]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.slice(texts[::-1])] == want[::-1]
+    assert len(calls) == 1
+    assert encoder.slice([]) == [] and encoder.slice(["", ""]) == [b"", b""]
+
+
+def test_recent_keeps_what_was_wanted_lately():
+    solved = []
+
+    def solve(pieces):
+        solved.extend(pieces)
+        return [p.upper().encode() for p in pieces]
+
+    recent = chunks.Recent(solve, 4000)
+    common = [f"c{i}" for i in range(4)]
+    for i in range(200):
+        pieces = [common[i % 4], f"n{i}", "x" * 1000]
+        assert recent.of(pieces) == [p.upper().encode() for p in pieces]
+        assert recent.held <= 2000 and len(recent.older) + len(recent.newer) < 25
+    assert [solved.count(c) for c in common] == [1] * 4 and "x" * 1000 not in recent.newer
+    many = [f"m{i}" for i in range(100)]
+    assert recent.of(many) == [m.upper().encode() for m in many] and recent.held <= 2000
