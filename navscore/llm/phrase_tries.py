@@ -5,25 +5,29 @@ of its parts of k - 1 words may be frequent, so nothing frequent is lost. Tasks
 hashes of such phrases, the counts are summed over the corpus by a shuffle that combines on
 the map side, and hashes counted ``LEAST`` times or more go into a bitmap for the next level.
 Equal hashes of different phrases only let more candidates through. A bitmap has ``2 ** BITS``
-bits whatever the corpus holds. A last scan reads the words of the surviving hashes.
+bits whatever the corpus holds. A last scan reads the window of every word start: the longest
+phrase from there on that the bitmaps let through. Equal windows are added up over the corpus.
+Whatever candidate starts at a word is the start of its window, so the windows stand for the
+texts from here on, and the candidates are the surviving hashes among their phrases.
 
 *Tries.* The candidates and all their parts are dealt out by ranges, and neighbouring ranges are
 put together to shards of about ``SHARD_BYTES`` of phrases; the task that holds a shard builds
 its trie (or several, if one range alone is larger) over the bytes of language, words and
 closing space. Nodes with several children get a block of their own,
-nodes with one child fill the gaps. One trie after the other is broadcast. Each task advances
-the states of all word starts of a slice together, a byte a level, drops those without a
-transition, counts the accepting states with ``bincount`` and sends out the sums of its share
-of the texts, which are added up. Only these counts decide what is frequent.
+nodes with one child fill the gaps. Each window goes to the shards whose ranges may hold a start
+of it, mostly one. The task of a shard advances the states of all windows of a batch together, a
+byte a level, drops those without a transition and adds the windows' times to the keys of the
+accepting states. Only these counts decide what is frequent.
 
 *Scores.* Parts are joined to their counts, the weakest cut of each phrase is kept, phrases
 that a longer candidate explains are dropped, and the best of each language are ranked: first
 within salted parts of the language, then among the leaders of all parts. Products are
 decimals of 38 digits, exact for counts below 4 * 10 ** 15.
 
-The driver handles one bitmap (16 MB) or one trie (at most some tens of MB) at a time. A corpus
-with more candidates needs more shards, each of which is one more scan of the texts. Every step
-is written to the shared scratch folder, so a lost executor costs the step it was lost in.
+The driver handles one bitmap (16 MB) at a time, and the first phrase and some sizes of each
+shard; tries go from task to task. A corpus with more candidates needs more shards, and no
+more scans of the texts. Every step is written to the shared scratch folder, so a lost executor
+costs the step it was lost in.
 
 Defined cases: a null text is empty and a null language is ``und``; a language without a
 candidate has no row; very long texts and very long words are read whole, in chunks of words;
@@ -33,10 +37,12 @@ gives no rows; other columns are ignored, whatever they are called.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,6 +170,54 @@ def _hash_counts(size: int, known):
     return count
 
 
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.Array]:
+    """The stretches of ``data`` as strings, about ``SLICE`` bytes at a time; a longer one stands
+    alone."""
+    sizes = ends - starts
+    stops = np.cumsum(sizes)
+    row = 0
+    while row < len(stops):
+        done = stops[row - 1] if row else 0
+        to = max(row + 1, int(np.searchsorted(stops, done + SLICE, side="right")))
+        if to == row + 1:
+            taken = data[starts[row] : ends[row]]
+        else:
+            shifts = np.repeat(starts[row:to] - (stops[row:to] - sizes[row:to] - done), sizes[row:to])
+            taken = data[shifts + np.arange(len(shifts))]
+        offsets = np.r_[0, stops[row:to] - done].astype(np.int32)
+        yield pa.StringArray.from_buffers(to - row, pa.py_buffer(offsets), pa.py_buffer(taken))
+        row = to
+
+
+def _windows(longest: int, known):
+    """Language, words and times of the windows of a slice: for each word the longest phrase from
+    there on whose hash and whose parts' hashes are in the bitmaps. One row without a phrase has
+    the words in all."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, maps = Hasher(), [b.value for b in known]
+
+        def rows(lang: str, phrases: pa.Array, times: pa.Array) -> pa.RecordBatch:
+            langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(times), np.int32)))
+            return pa.RecordBatch.from_arrays([langs, phrases, times], ["lang", "phrase", "n"])
+
+        for batch in batches:
+            for lang, words in _by_language(batch):
+                total = pa.array([int(words.real.sum())], pa.int64())
+                yield rows(lang, pa.array([None], pa.string()), total)
+                for first, hashes, open_ in hasher.phrases(words, longest, _salt(lang), maps):
+                    size = np.zeros(len(hashes[0]), np.int64)
+                    for k in range(1, longest + 1):
+                        size[np.flatnonzero(open_[k - 1] & bits_of(maps[k - 1], hashes[k - 1]))] = k
+                    at = np.flatnonzero(size)
+                    starts, ends = words.starts[first + at], words.ends[first + at + size[at] - 1]
+                    for phrases in _strings(words.bytes, starts, ends):
+                        counted = phrases.value_counts()
+                        yield rows(lang, counted.field("values"), counted.field("counts"))
+
+    return read
+
+
 def _phrase_texts(longest: int, known):
     """Language, words and hash of the phrases of two words and more whose hash is in its
     bitmap; a phrase may come several times."""
@@ -205,18 +259,23 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return whole
 
 
-def candidates(texts: DataFrame, least: int, longest: int) -> DataFrame:
+def candidates(texts: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     """Distinct (lang, phrase): every phrase of 2 to ``longest`` words that may occur ``least``
-    times in its language, and all contiguous parts of it."""
+    times in its language, and all contiguous parts of it. And ``(lang, phrase, n)``, the windows
+    of all word starts with their times; without a phrase, the words in all."""
     spark = texts.sparkSession
     known, levels = [], []
     for size in range(1, longest + 1):
         counted = texts.mapInArrow(_hash_counts(size, known), "g long, n long")
         frequent = counted.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         levels.append(stored(frequent.select("g"), f"phrases-{size}"))
-        release(spark)
         known.append(spark.sparkContext.broadcast(bitmap(levels[-1])))
-    read = texts.mapInArrow(_phrase_texts(longest, known), "lang string, phrase string, g long")
+        release(spark)
+    windows = texts.mapInArrow(_windows(longest, known), "lang string, phrase string, n long")
+    windows = stored(windows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "windows")
+    release(spark)
+    read = windows.where("phrase is not null").select("lang", F.col("phrase").alias("t"))
+    read = read.mapInArrow(_phrase_texts(longest, known), "lang string, phrase string, g long")
     survivors = levels[1]
     for level in levels[2:]:
         survivors = survivors.unionByName(level)
@@ -233,9 +292,9 @@ def candidates(texts: DataFrame, least: int, longest: int) -> DataFrame:
     )
     found = stored(read.select("lang", F.explode(parts).alias("phrase")).distinct(), "phrases")
     for sent in known:
-        sent.unpersist()
+        sent.destroy()
     release(spark)
-    return found
+    return found, windows
 
 
 class Trie:
@@ -300,13 +359,21 @@ class Trie:
 
     def hits(self, data: np.ndarray, at: np.ndarray, state: int) -> Iterator[np.ndarray]:
         """Numbers of the keys that are read from each position on, a byte of all a level."""
-        states = np.full(len(at), state, np.int32)
+        for numbers, _ in self.hits_from(data, at, state):
+            yield numbers
+
+    def hits_from(
+        self, data: np.ndarray, at: np.ndarray, state: int
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``hits``, with the index in ``at`` of the position that each key was read from."""
+        states, of = np.full(len(at), state, np.int32), np.arange(len(at))
         while len(at):
             after = self.base[states] + self.codes[data[at]]
             on = np.flatnonzero(self.check[after] == states)
-            at, states = at[on] + 1, after[on]
+            at, states, of = at[on] + 1, after[on], of[on]
             ended = self.accept[states]
-            yield ended[ended >= 0]
+            hit = np.flatnonzero(ended >= 0)
+            yield ended[hit], of[hit]
 
 
 def _common(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -396,38 +463,84 @@ def tries(phrases: DataFrame) -> DataFrame:
 TRIES = "trie string, at int, lang string, phrase string, parts array<binary>"
 
 
-def _trie_counts(sent, with_words: bool):
-    """How often each key of the trie occurs in the texts of a task, and the words in all."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie.of(sent.value)
-        totals = np.zeros(int(trie.accept.max()) + 1, np.int64)
-        sizes: dict[str, int] = {}
-        roots: dict[str, int] = {}
+def _dealt(numbers: list[int], bounds: list[tuple[str, str]]):
+    """The windows with the shards whose ranges hold them or phrases that they start with.
+    ``bounds`` has the first language and phrase of each shard, in order."""
+
+    def shards_of(lang: str, phrase: str) -> Iterator[int]:
+        last = bisect_right(bounds, (lang, phrase))
+        if not last:
+            return
+        yield numbers[last - 1]
+        end = phrase.find(" ")
+        while end >= 0:
+            own = bisect_right(bounds, (lang, phrase[:end]))
+            if own == last:  # what is longer lies between the two
+                return
+            if own:
+                yield numbers[own - 1]
+            end = phrase.find(" ", end + 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, words in _by_language(batch):
-                sizes[lang] = sizes.get(lang, 0) + int(words.real.sum())
-                if lang not in roots:
-                    roots[lang] = trie.walk(f"{lang}\n".encode())
-                if roots[lang] < 0:
-                    continue
-                starts = words.starts[words.real]
-                for first in range(0, len(starts), CHUNK):
-                    some = starts[first : first + CHUNK]
-                    hits = list(trie.hits(words.bytes, some, roots[lang]))
-                    totals += np.bincount(np.concatenate(hits), minlength=len(totals))
-        at = np.flatnonzero(totals)
-        names = list(sizes) if with_words else []
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([None] * len(at) + names, pa.string()),
-                pa.array([*at.tolist(), *[None] * len(names)], pa.int32()),
-                pa.array([*totals[at].tolist(), *[sizes[name] for name in names]], pa.int64()),
-            ],
-            ["lang", "at", "n"],
-        )
+            rows, shards = [], []
+            for row, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(2)))):
+                for shard in dict.fromkeys(shards_of(*key)):
+                    rows.append(row)
+                    shards.append(shard)
+            dealt = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shards, pa.int64()), *dealt.columns], ["shard", *batch.schema.names]
+            )
+
+    return deal
+
+
+def _trie_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each key of the tries of a partition occurs in the windows dealt to its shard.
+    Rows are sorted by shard, a shard's tries before its windows."""
+    own: dict[str, tuple[Trie, np.ndarray]] = {}
+    shard = None
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for name, (_, totals) in own.items():
+            at = np.flatnonzero(totals)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name] * len(at), pa.string()),
+                    pa.array(at, pa.int32()),
+                    pa.array(totals[at], pa.int64()),
+                ],
+                ["trie", "at", "f"],
+            )
 
-    return count
+    for batch in batches:
+        shards = batch.column("shard").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for first, last in zip(cuts, cuts[1:]):
+            if first == last:
+                continue
+            if shards[first] != shard:
+                yield from counted()
+                own, shard = {}, shards[first]
+            rows = batch.slice(first, last - first)
+            names = rows.column("trie")
+            built = len(rows) - names.null_count
+            for row in range(built):
+                trie = Trie.of([rows.column(part)[row].as_py() for part in Trie.FIELDS])
+                own[names[row].as_py()] = trie, np.zeros(int(trie.accept.max()) + 1, np.int64)
+            for some in byte_slices(rows.slice(built), rows.schema.get_field_index("phrase"), SLICE):
+                lang, phrase = (some.column(name).cast(pa.binary()) for name in ("lang", "phrase"))
+                keys = pc.binary_join_element_wise(lang, phrase, b"\n")
+                # no key holds the edge, so none is read on into the next window
+                keys = pc.binary_join_element_wise(keys, bytes([_EDGE]), b" ")
+                at = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset :][: len(keys)]
+                data = np.frombuffer(keys.buffers()[2], np.uint8)
+                times = some.column("n").to_numpy()
+                for trie, totals in own.values():
+                    for numbers, of in trie.hits_from(data, at, 0):
+                        np.add.at(totals, numbers, times[of])
+    yield from counted()
 
 
 def phrase_counts(
@@ -441,27 +554,28 @@ def phrase_counts(
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("t")
     )
-    built = tries(candidates(texts, least, longest))
-    counted, words = None, None
-    # one name for each SHARD_BYTES of candidates; the phrases themselves stay distributed
-    for (name,) in built.where("parts is not null").select("trie").orderBy("trie").collect():
-        own = built.where(F.col("trie") == name)
-        parts = own.where("parts is not null").first()["parts"]
-        sent = spark.sparkContext.broadcast([bytes(part) for part in parts])
-        sums = texts.mapInArrow(_trie_counts(sent, words is None), "lang string, at int, n long")
-        sums = stored(sums.groupBy("lang", "at").agg(F.sum("n").alias("n")), "trie-counts")
-        sent.unpersist()
-        if words is None:
-            words = sums.where("at is null").select("lang", "n")
-        sums = sums.where("at is not null").select("at", F.col("n").alias("f"))
-        own = own.where("at is not null").join(sums, "at").select("lang", "phrase", "f")
-        counted = own if counted is None else counted.unionByName(own)
-    if counted is None:
-        return (
-            spark.createDataFrame([], "lang string, phrase string, f long"),
-            spark.createDataFrame([], "lang string, n long"),
-        )
-    return stored(counted, "phrase-counts"), words
+    phrases, windows = candidates(texts, least, longest)
+    words = windows.where("phrase is null").select("lang", "n")
+    built = tries(phrases)
+    shard = F.substring_index("trie", "-", 1).cast("long")
+    # one row for each SHARD_BYTES of candidates; phrases and tries stay distributed
+    firsts = built.where("at is not null").groupBy(shard.alias("shard"))
+    firsts = firsts.agg(F.min(F.struct("lang", "phrase")).alias("first"))
+    bounds = sorted((tuple(first), number) for number, first in firsts.collect())
+    if not bounds:
+        return spark.createDataFrame([], "lang string, phrase string, f long"), words
+    dealt = windows.where("phrase is not null").mapInArrow(
+        _dealt([number for _, number in bounds], [first for first, _ in bounds]),
+        "shard long, lang string, phrase string, n long",
+    )
+    # a column for each part: Spark takes the size of a list column again with every row of a batch
+    parts = [F.col("parts")[i].alias(part) for i, part in enumerate(Trie.FIELDS)]
+    rows = built.where("parts is not null").select(shard.alias("shard"), "trie", *parts)
+    rows = rows.unionByName(dealt, allowMissingColumns=True)
+    rows = rows.repartition(len(bounds), "shard").sortWithinPartitions("shard", F.col("trie").isNull())
+    sums = rows.mapInArrow(_trie_counts, "trie string, at int, f long")
+    counted = built.where("at is not null").join(sums, ["trie", "at"])
+    return stored(counted.select("lang", "phrase", "f"), "phrase-counts"), words
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:

@@ -150,6 +150,60 @@ def test_many_shards_give_the_same_counts(spark, monkeypatch):
     assert {r.lang: r.n for r in words.collect()} == {k: v for k, v in n.items()} | {"fr": 0}
 
 
+def test_tries_and_texts_do_not_pass_the_driver_for_each_shard(spark, monkeypatch):
+    sent = []
+    context = type(spark.sparkContext)
+    before = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(value) or before(self, value))
+    monkeypatch.setattr(P, "SHARD_BYTES", 40)
+    scans = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            scans.add(batch.num_rows)
+            yield batch
+
+    rows = [(lang, f"{text} " * 2) for lang, text, _ in CASES]
+    docs = spark.createDataFrame(rows, "lang string, text string").mapInArrow(read, "lang string, text string")
+    counts, words = P.phrase_counts(docs, least=4, longest=3)
+    found = {(r.lang, r.phrase): r.f for r in counts.collect()}
+    words = words.collect()
+    assert sum(len(f"{lang}{phrase}") for lang, phrase in found) > 4 * 40  # several shards
+    # a bitmap for each length of phrase, and a scan for each and one for the windows
+    assert [len(value) for value in sent] == [1 << (P.BITS - 3)] * 3
+    assert scans.value == 4 * len(rows)
+    assert {r.lang for r in words} == {"und" if lang is None else lang for lang, _ in rows}
+    assert found["en", "quick fox"] == 36 and found["und", "a b"] == 2 * 20 + 2 * 20
+
+
+def test_windows_are_dealt_to_all_shards_of_their_starts():
+    bounds = [("en", "a"), ("en", "a b"), ("en", "a b c d"), ("en", "b"), ("fr", "a b")]
+    rows = [("de", "x"), ("en", "a"), ("en", "a b c e"), ("en", "a c"), ("en", "zz a"), ("fr", "a b")]
+    batch = P.pa.table({"lang": [r[0] for r in rows], "phrase": [r[1] for r in rows], "n": [*range(6)]})
+    (got,) = P._dealt([3, 4, 6, 7, 9], bounds)(batch.to_batches())
+    dealt = {}
+    for row in got.to_pylist():
+        dealt.setdefault(row["n"], []).append(row["shard"])
+    assert {n: sorted(shards) for n, shards in dealt.items()} == {
+        1: [3],
+        2: [3, 4, 6],
+        3: [3, 6],
+        4: [7],
+        5: [7, 9],
+    }
+
+
+def test_stretches_as_strings(monkeypatch):
+    data = P.np.frombuffer("ab c ä defghi jk ".encode(), P.np.uint8)
+    starts = P.np.array([0, 5, 8, 0, 3, 15])
+    ends = P.np.array([2, 7, 14, 4, 4, 17])
+    for size in (1, 4, 100):
+        monkeypatch.setattr(P, "SLICE", size)
+        got = [text for part in P._strings(data, starts, ends) for text in part.to_pylist()]
+        assert got == [data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+    assert [*P._strings(data, starts[:0], ends[:0])] == []
+
+
 def test_tries_are_cut_to_shards(spark, monkeypatch):
     monkeypatch.setattr(P, "SHARD_BYTES", 64)
     phrases = [("en", f"w{i}") for i in range(40)] + [("de", "ä ö")]
