@@ -572,7 +572,8 @@ def phrase_counts(
     parts = [F.col("parts")[i].alias(part) for i, part in enumerate(Trie.FIELDS)]
     rows = built.where("parts is not null").select(shard.alias("shard"), "trie", *parts)
     rows = rows.unionByName(dealt, allowMissingColumns=True)
-    rows = rows.repartition(len(bounds), "shard").sortWithinPartitions("shard", F.col("trie").isNull())
+    rows = rows.repartition(4 * len(bounds), "shard")  # so that few tasks get several shards
+    rows = rows.sortWithinPartitions("shard", F.col("trie").isNull())
     sums = rows.mapInArrow(_trie_counts, "trie string, at int, f long")
     counted = built.where("at is not null").join(sums, ["trie", "at"])
     return stored(counted.select("lang", "phrase", "f"), "phrase-counts"), words
